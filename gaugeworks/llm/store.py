@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -66,3 +67,20 @@ class Scratch:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+#: Ids that are sent to all executors at most, about 40 MB of hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with a written one-column table of distinct ids.
+
+    The ids are broadcast while there are at most ``BROADCAST_IDS``, counted
+    from the written table, so that wide rows stay where they are; beyond that
+    both sides are shuffled by id.
+    """
+    (key,) = ids.columns
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, how)
