@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, near_dedup, suffix_dedup
+from . import decontaminate, embed_dedup, langid, near_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,16 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,6 +73,13 @@ class Scratch:
 BROADCAST_IDS = 1_000_000
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written table of a few columns, one row a key; broadcast under the same bound."""
+    if facts.count() <= BROADCAST_IDS:
+        facts = F.broadcast(facts)
+    return rows.join(facts, key, how)
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``rows`` semi- or anti-joined with a written one-column table of distinct ids.
 

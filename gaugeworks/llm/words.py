@@ -80,6 +80,8 @@ class Words:
         size = self.ends - self.starts
         view = np.ndarray(shape=(n + 1,), dtype="<u8", buffer=low, strides=(1,))
         h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        #: the first eight bytes of each word, lowered
+        self.lead = view[self.starts] & _MASK[np.minimum(size, 8)]
         which, off = np.arange(len(size)), 0
         while len(which):
             part = view[self.starts[which] + off] & _MASK[np.minimum(size[which] - off, 8)]
