@@ -13,11 +13,16 @@ Plan
 3. In a bucket, candidates form a star around one hub, the member whose buckets
    are largest in sum (a copied original shares more buckets with its copies
    than they do with each other).  Every candidate is confirmed on full sets.
-4. A star may miss a link between two rays.  So while a bucket still holds two
-   components, members that were no hub yet become hubs of further stars, twice
-   as many each round, and only pairs across components are tested.  This ends
-   when every bucket is one component or all its pairs are tested, and no link
-   between bucket members is lost to the star shape.
+4. A star may miss a link between two of its rays.  Rays that link with the hub
+   are together already.  If u does not link with hub h, a link between u and y
+   needs enough in common outside what both keep of h: at least
+   ``least - |h| + max(lost by u, lost by y)`` shingles that both added to h,
+   where ``least`` is the intersection that the threshold asks of |u| and |y|.
+   Where that number is not positive, they share an added one or one that both
+   lost.  So the rays' differences from their hub are indexed, and rays that
+   share enough of them are compared on full sets.  Differences are rare where
+   copies were changed at random, so no pairs of a group are listed for being
+   in one group, and no link between bucket members is lost to the star shape.
 
 Components come from ``components``; nothing but emptiness checks reaches the driver.
 """
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, by_ids
 from .words import Words, distinct_sorted, mix, odd_constants, slices
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 6, 5, 85
@@ -116,6 +121,40 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
 
 
+def _rays(compared: DataFrame, comp: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of rays of one star that may link and are not connected yet."""
+    groups = scratch.table(
+        compared.groupBy("hub").agg(F.count("*").alias("rays"), F.count_if(~F.col("link")).alias("apart")).where("rays > 1 and apart > 0").select("hub"), "groups"
+    )
+    rays = compared.join(groups, "hub", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    rays = scratch.table(rays.withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id"), "rays")
+
+    def meeting(kind: str) -> DataFrame:
+        items = rays.select(
+            "hub", "hub_n", F.explode(kind).alias("item"), F.struct("rep", "n", "link", "comp", F.size("lost").alias("lost"), F.size("added").alias("added")).alias("r")
+        )
+        common = items.groupBy("hub", "item").agg(F.count("*").alias("rays"), F.count_if(~F.col("r.link")).alias("apart")).where("rays > 1 and apart > 0")
+        items = scratch.table(items.join(scratch.table(common.select("hub", "item"), "common"), ["hub", "item"], "left_semi"), kind)
+        u, y = items.where("not r.link").withColumnRenamed("r", "u"), items.drop("hub_n").withColumnRenamed("r", "y")
+        least = F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent))
+        need = least - F.col("hub_n") + F.greatest("u.lost", "y.lost")
+        may = (F.col("u.comp") != F.col("y.comp")) & (F.col("y.link") | (F.col("u.rep") < F.col("y.rep"))) & (100 * F.least("u.n", "y.n") >= percent * F.greatest("u.n", "y.n"))
+        if kind == "lost":
+            may &= need <= 0
+            need = least - F.col("hub_n") + F.col("u.lost") + F.col("y.lost") - F.least("u.added", "y.added")
+        return (
+            u.join(y, ["hub", "item"])
+            .where(may)
+            .select("hub", F.least("u.rep", "y.rep").alias("a"), F.greatest("u.rep", "y.rep").alias("b"), need.alias("need"))
+            .groupBy("hub", "a", "b", "need")
+            .agg(F.count("*").alias("shared"))
+            .where("shared >= need")
+            .select("a", "b")
+        )
+
+    return meeting("added").unionByName(meeting("lost")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -148,66 +187,42 @@ def near_duplicates(
     buckets = scratch.table(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = scratch.table(spread.join(buckets, "key"), "members")
     fame = scratch.table(members.groupBy("rep").agg(F.sum("size").alias("fame")), "fame")
-    texts = _texts(docs, id_col, text_col).join(fame.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    famous = scratch.table(members.join(fame, "rep"), "famous")
+    hubs = scratch.table(
+        famous.groupBy("key")
+        .agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n")), F.struct("fame", -F.col("rep"))).alias("h"))
+        .select("key", "h.*"),
+        "hubs",
+    )
+    texts = by_ids(_texts(docs, id_col, text_col), fame.select(F.col("rep").alias("doc_id")), "left_semi")
     sets = scratch.table(shingle_sets(texts, width).dropDuplicates(["doc_id"]), "sets")
-    active = scratch.table(
-        members.join(fame, "rep").select("key", "rep", "n", "fame", F.col("rep").alias("comp"), F.lit(False).alias("used")), "active"
+    star = scratch.table(
+        members.join(hubs, "key").where("rep <> hub").select("hub", "hub_n", "rep", "n").distinct(), "star"
     )
-    scratch.drop(buckets, members, fame)
-    tested = links = comp = None
-    stars = 1
-    while not active.isEmpty():
-        hubs = scratch.table(
-            active.where("not used")
-            .groupBy("key", F.pmod(F.xxhash64("rep", F.lit(stars)), F.lit(stars)).alias("share"))
-            .agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), F.struct("fame", -F.col("rep"))).alias("h"))
-            .select("key", "h.*"),
-            "hubs",
-        )
-        near = (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = active.join(hubs, "key").where(near).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
-        shared = F.size(F.array_intersect("x", "y"))
-        checked = scratch.table(
-            pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-            .select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("link")),
-            "checked",
-        )
-        scratch.drop(pairs)
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        found = checked.where("link").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            comp = components(links, scratch)
-        label = active.drop("comp")
-        if comp is not None:
-            label = label.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep"))
-        else:
-            label = label.withColumn("comp", F.col("rep"))
-        ever = hubs.select("key", F.col("hub").alias("rep"), F.lit(True).alias("now"))
-        label = scratch.table(
-            label.join(ever, ["key", "rep"], "left").select("key", "rep", "n", "fame", "comp", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")), "labelled"
-        )
-        left = scratch.table(
-            label.groupBy("key")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(~F.col("used")).alias("fresh"))
-            .where("lo < hi and fresh > 1")
-            .select("key"),
-            "left",
-        )
-        after = scratch.table(label.join(left, "key", "left_semi"), "active")
-        scratch.drop(active, hubs, label, left)
-        active = after
-        stars *= 2
-    scratch.drop(sets)
-    named = classes
-    if comp is not None:
-        named = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        named = named.withColumn("component_id", F.lit(None).cast("long"))
+    scratch.drop(buckets, members, fame, famous, hubs)
+    compared = scratch.table(
+        star.join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("x")), "hub")
+        .join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
+        .select("hub", "hub_n", "rep", "n", F.array_except("x", "y").alias("lost"), F.array_except("y", "x").alias("added"))
+        .withColumn("link", (100 + percent) * (F.col("hub_n") - F.size("lost")) >= percent * (F.col("hub_n") + F.col("n"))),
+        "compared",
+    )
+    links = compared.where("link").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    comp = components(links, scratch)
+    pairs = scratch.table(_rays(compared, comp, percent, scratch), "pairs")
+    shared = F.size(F.array_intersect("x", "y"))
+    found = scratch.table(
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+        .where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
+        .select("a", "b"),
+        "found",
+    )
+    scratch.drop(star, pairs, sets)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        comp = components(links, scratch)
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.table(named.select("k1", "k2", "n_shingles", "rep", F.coalesce("component_id", "rep").alias("component_id")), "named")
     out = sk.join(named, ["k1", "k2", "n_shingles"], "left").select(
         "doc_id",
@@ -217,5 +232,5 @@ def near_duplicates(
         F.coalesce("rep", "doc_id").alias("class_id"),
     )
     if links_too:
-        return out, links if links is not None else spark.createDataFrame([], "a long, b long")
+        return out, links
     return out
