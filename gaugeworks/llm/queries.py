@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, near_dedup, suffix_dedup, toxicity
+from . import decontaminate, embed_dedup, langid, near_dedup, packing, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity, op3_token_files, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
