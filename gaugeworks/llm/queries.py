@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, near_dedup, packing, suffix_dedup, token_files, toxicity
+from . import decontaminate, embed_dedup, langid, near_dedup, packing, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity, op3_token_files, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity, op3_token_files, op9_best_fit_packing, op6_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
