@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, near_dedup, packing, suffix_dedup, token_files, toxicity, warc
+from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, packing, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op5_suffix_array_dedup, op7_embedding_near_dedup, op8_language_id, op10_toxicity, op3_token_files, op9_best_fit_packing, op6_warc)}
+    every = (
+        op1_benchmark_decontamination,
+        op2_minhash_near_dedup,
+        op3_token_files,
+        op4_license_scan,
+        op5_suffix_array_dedup,
+        op6_warc,
+        op7_embedding_near_dedup,
+        op8_language_id,
+        op9_best_fit_packing,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
