@@ -142,6 +142,7 @@ def _rays(compared: DataFrame, comp: DataFrame, percent: int, scratch: Scratch)
         if kind == "lost":
             may &= need <= 0
             need = least - F.col("hub_n") + F.col("u.lost") + F.col("y.lost") - F.least("u.added", "y.added")
+        may &= need <= F.least(f"u.{kind}", f"y.{kind}")  # neither has more to share
         return (
             u.join(y, ["hub", "item"])
             .where(may)
