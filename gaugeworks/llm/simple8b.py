@@ -17,21 +17,29 @@ BLOCK, ESCAPE = 240, 15
 
 
 def _lengths(values: np.ndarray) -> np.ndarray:
-    """Bits of each value, at least one."""
-    out = np.ones(values.shape, dtype=np.uint8)
-    rest = values >> np.uint64(1)
-    while rest.any():
-        out += rest > 0
-        rest = rest >> np.uint64(1)
-    return out
+    """Bits of each value, at least one; beyond 53 bits maybe one too many, which only costs an escape."""
+    return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, block offsets into them (one more than blocks) and escaped values."""
+    words, offsets, escaped, done = [], [np.zeros(1, np.int64)], [], 0
+    for at in range(0, len(values), 1000 * BLOCK):  # bounded work space
+        w, o, e = _encode(values[at : at + 1000 * BLOCK])
+        if len(e):
+            w[w >> np.uint64(60) == ESCAPE] += np.uint64(sum(map(len, escaped)))
+        words.append(w)
+        offsets.append(o[1:] + done)
+        escaped.append(e)
+        done += len(w)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *words]), np.concatenate(offsets), np.concatenate([none, *escaped])
+
+
+def _encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``encode``, of a few blocks, one at least."""
     n = len(values)
     blocks = -(-n // BLOCK)
-    if not blocks:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
     padded = np.zeros((blocks, BLOCK + 60), dtype=np.uint64)
     full = np.zeros(blocks * BLOCK, dtype=np.uint64)
     full[:n] = values

@@ -1,30 +1,29 @@
 """Token ids of whole texts with a public tokenizer, each distinct word encoded once.
 
 The tokenizer of ``VOCABULARY`` drops white space and never joins characters
-across it, so a text's ids are those of its words, one after another.  A batch's
-words are dictionary-encoded; only words that the worker has not met yet go to
-the library.  Plain words (Latin letters, digits, signs) go to the library's
-model as pieces, split as its pre-tokenizer splits them; all others go through
-the whole tokenizer.  ``test_tokens`` holds both ways against the library.
+across it, so a text's ids are those of its words, one after another.  A worker
+remembers the ids of the words it has met in a hash table of numpy arrays; only
+new words go to the library.  Plain words (Latin letters, digits, signs) go to
+the library's model in pieces, split as its pre-tokenizer splits them; all
+others go through the whole tokenizer, and so do texts that may hold the name of
+a special token.  The tests hold all ways against the library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from .words import utf8
+from .words import Words, utf8
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers at most; more are encoded anew.
-REMEMBERED = 500_000
+#: Words that a worker remembers at most, about 60 bytes each; then it starts anew.
+REMEMBERED = 1_500_000
 #: Signs and letters that NFC leaves alone and whose lower case is among them again.
-_PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+\Z")
+_PLAIN = re.compile(r"[\x21-\x7e¡-¬®-įı-ſ]+\Z")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _encoders: dict[str, Encoder] = {}
 
@@ -42,6 +41,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """Ids by word: open addressing on the word's hash, confirmed by its first bytes and length."""
+
+    def __init__(self, bits: int = 16):
+        self.clear(bits)
+
+    def clear(self, bits: int = 16) -> None:
+        self.mask = (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.entry = np.full(1 << bits, -1, dtype=np.int32)
+        self.count = 0
+        self.start = np.zeros(1 << bits, dtype=np.int32)
+        self.size = np.zeros(1 << bits, dtype=np.int32)
+        self.check = np.zeros(1 << bits, dtype=np.uint64)
+        self.pool = np.zeros(4 << bits, dtype=np.uint32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 where it is not known."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        rows = np.arange(len(keys))
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(rows):
+            here = self.keys[at]
+            own = here == keys[rows]
+            hit = rows[own]
+            found = self.entry[at[own]]
+            out[hit] = np.where(self.check[found] == check[hit], found, -1)
+            on = ~own & (self.entry[at] >= 0)
+            rows, at = rows[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Remember new, distinct words; returns their entries."""
+        while 2 * (self.count + len(keys)) > self.mask or self.used + len(ids) > len(self.pool):
+            self._grow()
+        entries = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[entries] = self.used + np.cumsum(size) - size
+        self.size[entries], self.check[entries] = size, check
+        self.used += len(ids)
+        self.count += len(keys)
+        self._place(keys, entries)
+        return entries
+
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        rows = np.arange(len(keys))
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(rows):
+            free = self.entry[at] < 0
+            self.keys[at[free]] = keys[rows[free]]
+            self.entry[at[free]] = entries[rows[free]]
+            lost = self.entry[at] != entries[rows]
+            rows, at = rows[lost], (at[lost] + 1) & self.mask
+
+    def _grow(self) -> None:
+        kept = np.flatnonzero(self.entry >= 0)
+        keys, entries = self.keys[kept], self.entry[kept]
+        size = 2 * (self.mask + 1)
+        self.mask = size - 1
+        self.keys, self.entry = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+        self.start, self.size, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.check))
+        self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self._place(keys, entries)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,69 +119,99 @@ class Encoder:
         # the byte alphabet of the pre-tokenizer: one printable character for each byte
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _new(self, words: list[str]) -> list[list[int]]:
-        parts: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
-        pieces = self.pieces
-        for w in words:
+        self.memory = Memory()
+
+    @staticmethod
+    def _marks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.where(words.hashes == 0, np.uint64(1), words.hashes)
+        return keys, words.lead ^ ((words.ends - words.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def _learn(self, listed: list[str], keys: np.ndarray, check: np.ndarray) -> None:
+        """Remember words that are not known; the words are distinct."""
+        single, parts = [], []  # words that are one piece, words that are several
+        for k, w in enumerate(listed):
             if w.isascii() and w.isalpha():
-                p = [w.lower()]
-            elif _PLAIN.match(w) and "<|" not in w:
+                single.append((k, w.lower()))
+            elif _PLAIN.match(w):
                 p = self.split(w.lower())
+                if len(p) == 1:
+                    single.append((k, p[0]))
+                else:
+                    parts.append((k, p))
             else:
-                parts.append(None)
-                continue
-            parts.append(p)
-            for x in p:
-                if x not in pieces:
-                    fresh[x] = None
-        listed = list(fresh)
-        spelled = [x if x.isascii() else x.translate(self.alphabet) for x in listed]
-        got = dict(zip(listed, [e.ids for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)], strict=True))
-        if len(pieces) + len(got) > REMEMBERED:
-            pieces.clear()
-        out = []
-        for w, p in zip(words, parts, strict=True):
-            if p is None:
-                out.append(self.whole.encode(w, add_special_tokens=False).ids)
-            elif len(p) == 1:
-                out.append(got.get(p[0]) or self._piece(p[0]))
-            else:
-                out.append([i for x in p for i in (got.get(x) or self._piece(x))])
-        pieces.update(got)
-        return out
-
-    def _piece(self, x: str) -> list[int]:
-        if x not in self.pieces:  # forgotten meanwhile
-            return self.whole.encode(x, add_special_tokens=False).ids
-        return self.pieces[x]
+                ids = self.whole.encode(w, add_special_tokens=False).ids
+                self.memory.add(keys[k : k + 1], check[k : k + 1], np.array(ids, dtype=np.uint32), np.array([len(ids)]))
+        if single:
+            self._add([w for _, w in single], *(x[[k for k, _ in single]] for x in (keys, check)))
+        if parts:
+            flat = [x for _, p in parts for x in p]
+            found, memory = self._known(flat), self.memory
+            size, start = memory.size[found].astype(np.int64), memory.start[found].astype(np.int64)
+            ends = np.cumsum(size)
+            ids = memory.pool[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
+            last = np.cumsum([len(p) for _, p in parts]) - 1
+            which = [k for k, _ in parts]
+            memory.add(keys[which], check[which], ids, np.diff(np.concatenate([[0], ends[last]])))
+
+    def _known(self, pieces: list[str]) -> np.ndarray:
+        """Entries of pieces, each a word of its own; new ones are encoded."""
+        keys, check = self._marks(Words(pa.array(pieces)))
+        missing = np.flatnonzero(self.memory.find(keys, check) < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            new = missing[first]
+            self._add([pieces[k] for k in new], keys[new], check[new])
+        return self.memory.find(keys, check)
+
+    def _add(self, pieces: list[str], keys: np.ndarray, check: np.ndarray) -> None:
+        spelled = [x if x.isascii() else x.translate(self.alphabet) for x in pieces]
+        got = [e.ids for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        self.memory.add(keys, check, np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(size.sum())), size)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column, row after row, and row offsets into them; nulls count as empty."""
         raw, at = utf8(column)
-        text = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw))
-        special = pc.any(pc.match_substring(text, "<|")).as_py()
-        lists = pc.ascii_split_whitespace(text if special else pc.ascii_lower(text))
-        rows = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        listed = coded.dictionary.to_pylist()
-        known = [self.words.get(w) for w in listed]
-        missing = [k for k, v in enumerate(known) if v is None]
-        for k, ids in zip(missing, self._new([listed[k] for k in missing]), strict=True):
-            known[k] = ids
-        if len(self.words) < REMEMBERED:
-            self.words.update(zip([listed[k] for k in missing], [known[k] for k in missing], strict=True))
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-        pool = np.fromiter(chain.from_iterable(known), dtype=np.uint32, count=int(size.sum()))
-        first = np.cumsum(size) - size
-        count = size[index]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        at = np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], count)
-        return pool[at], ends[rows - rows[0]]
+        marks = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|"))) if len(raw) > 1 else np.zeros(0, np.int64)
+        special = np.unique(np.searchsorted(at, marks, side="right") - 1)
+        words = Words(column)
+        keys, check = self._marks(words)
+        if self.memory.count > REMEMBERED:
+            self.memory.clear()
+        found = self.memory.find(keys, check)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            new = missing[first]
+            data = raw.tobytes()
+            listed = [data[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)]
+            self._learn_new(listed, keys[new], check[new])
+            found[missing] = self.memory.find(keys[missing], check[missing])
+        size = self.memory.size[found].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.memory.pool[np.arange(ends[-1]) + np.repeat(self.memory.start[found] - ends[:-1], size)]
+        rows = ends[words.rows]
+        return self._special(column, special, ids, rows) if len(special) else (ids, rows)
+
+    def _learn_new(self, listed: list[str], keys: np.ndarray, check: np.ndarray) -> None:
+        # pieces first: a piece may be one of the new words as well
+        order = sorted(range(len(listed)), key=lambda k: not (listed[k].isascii() and listed[k].isalpha()))
+        plain = sum(listed[k].isascii() and listed[k].isalpha() for k in order)
+        for part in (order[:plain], order[plain:]):
+            if part:
+                rest = [k for k, e in zip(part, self.memory.find(keys[part], check[part]).tolist(), strict=True) if e < 0]
+                if rest:
+                    self._learn([listed[k] for k in rest], keys[rest], check[rest])
+
+    def _special(self, column: pa.Array, special: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts, at = [], 0
+        size = np.diff(rows)
+        for i in special.tolist():
+            own = np.array(self.whole.encode(column[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+            parts += [ids[rows[at] : rows[i]], own]
+            size[i], at = len(own), i + 1
+        parts.append(ids[rows[at] :])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
 
 
 def with_end(ids: np.ndarray, rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
