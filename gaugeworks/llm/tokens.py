@@ -21,7 +21,7 @@ from .words import Words, utf8
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers at most, about 60 bytes each; then it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 900_000
 #: Signs and letters that NFC leaves alone and whose lower case is among them again.
 _PLAIN = re.compile(r"[\x21-\x7e¡-¬®-įı-ſ]+\Z")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
