@@ -29,8 +29,9 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, PASSES, FOLDS = 500, 8, 5
 #: Languages that are learned at most, those of most documents.
 LANGUAGES = 256
-#: Text and language of a document rejected by a filter: no letters, or a best score under this.
-LEAST_SCORE = 0.5
+#: A filter rejects a text without letters, or one whose best score is under this: no language stands out at all.
+#: Texts that mix languages score higher and are kept.
+LEAST_SCORE = 0.3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
