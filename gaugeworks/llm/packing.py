@@ -55,6 +55,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
                 sums = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), used.tolist(), strict=True)]
                 arrays = [part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(used, pa.int64()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(path).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _PIECES)

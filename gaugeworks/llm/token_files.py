@@ -81,6 +81,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: s
                     yield flush()
         if held:
             yield flush()
+        encoder(path).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long")

@@ -55,6 +55,7 @@ class Memory:
         self.start = np.zeros(1 << bits, dtype=np.int32)
         self.size = np.zeros(1 << bits, dtype=np.int32)
         self.check = np.zeros(1 << bits, dtype=np.uint64)
+        self.hits = np.zeros(1 << bits, dtype=np.int32)
         self.pool = np.zeros(4 << bits, dtype=np.uint32)
         self.used = 0
 
@@ -96,13 +97,25 @@ class Memory:
             lost = self.entry[at] != entries[rows]
             rows, at = rows[lost], (at[lost] + 1) & self.mask
 
+    def shrink(self, least: int = 2) -> None:
+        """Forget the words that were met fewer than ``least`` times."""
+        slots = np.flatnonzero(self.entry >= 0)
+        slots = slots[self.hits[self.entry[slots]] >= least]
+        keys, entries = self.keys[slots], self.entry[slots]
+        size = self.size[entries].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[entries] - ends + size, size)]
+        check = self.check[entries]
+        self.clear()
+        self.add(keys, check, ids, size)
+
     def _grow(self) -> None:
         kept = np.flatnonzero(self.entry >= 0)
         keys, entries = self.keys[kept], self.entry[kept]
         size = 2 * (self.mask + 1)
         self.mask = size - 1
         self.keys, self.entry = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
-        self.start, self.size, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.check))
+        self.start, self.size, self.check, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.check, self.hits))
         self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self._place(keys, entries)
 
@@ -165,7 +178,7 @@ class Encoder:
 
     def _add(self, pieces: list[str], keys: np.ndarray, check: np.ndarray) -> None:
         spelled = [x if x.isascii() else x.translate(self.alphabet) for x in pieces]
-        got = [e.ids for e in self.bare.encode_batch_fast(spelled, add_special_tokens=False)]
+        got = [e.ids for k in range(0, len(spelled), 4096) for e in self.bare.encode_batch_fast(spelled[k : k + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         self.memory.add(keys, check, np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(size.sum())), size)
 
@@ -177,7 +190,9 @@ class Encoder:
         words = Words(column)
         keys, check = self._marks(words)
         if self.memory.count > REMEMBERED:
-            self.memory.clear()
+            self.memory.shrink()
+            if self.memory.count > REMEMBERED // 2:
+                self.memory.clear()
         found = self.memory.find(keys, check)
         missing = np.flatnonzero(found < 0)
         if len(missing):
@@ -187,12 +202,17 @@ class Encoder:
             listed = [data[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)]
             self._learn_new(listed, keys[new], check[new])
             found[missing] = self.memory.find(keys[missing], check[missing])
+        self.memory.hits[: self.memory.count] += np.bincount(found, minlength=self.memory.count).astype(np.int32)
         size = self.memory.size[found].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.memory.pool[np.arange(ends[-1]) + np.repeat(self.memory.start[found] - ends[:-1], size)]
         rows = ends[words.rows]
         return self._special(column, special, ids, rows) if len(special) else (ids, rows)
 
+    def rest(self) -> None:
+        """Keep the frequent words only: a worker that goes on to other work should not hold the others."""
+        self.memory.shrink()
+
     def _learn_new(self, listed: list[str], keys: np.ndarray, check: np.ndarray) -> None:
         # pieces first: a piece may be one of the new words as well
         order = sorted(range(len(listed)), key=lambda k: not (listed[k].isascii() and listed[k].isalpha()))

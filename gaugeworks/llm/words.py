@@ -1,8 +1,8 @@
 """Words and word shingles of whole texts as 64-bit hashes, a batch at a time.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; A-Z are lowered.
-Everything here works on one Arrow batch inside a task, in a few numpy passes
-over its bytes; ``slices`` keeps these passes small for batches of long texts.
+Everything here works on a slice of an Arrow batch inside a task, in a few numpy
+passes over its bytes; ``slices`` keeps the work space of these passes small.
 """
 
 from __future__ import annotations
@@ -36,8 +36,13 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``limit`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes of text, one row at least.
+
+    Buffers of earlier batches go back to the system first: workers live on
+    between tasks, and share their executor's memory with the JVM.
+    """
+    pa.default_memory_pool().release_unused()
     size = utf8(batch.column(column))[1]
     at = 0
     while at < batch.num_rows:
