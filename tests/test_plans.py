@@ -97,9 +97,19 @@ def test_streamed_windows_match_the_batch(spark, tmp_path):
 
 
 def test_streamed_cases_match_the_batch(spark, tmp_path):
-    events, stream = _events(spark, tmp_path)
-    state.cases(stream, "error", "purchase", "40 days", 10**4).writeStream.outputMode("append").format("memory").queryName("cases").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    opened = events.where("event_type = 'error'").groupBy("user_id").agg(F.min("ts").alias("opened"))
-    want = events.where("event_type = 'purchase'").join(opened, "user_id").where("ts > opened").groupBy("user_id").agg(F.min("ts").alias("settled"))
-    got = {r.user_id: r.settled for r in spark.table("cases").where("state = 'settled'").collect()}
-    assert got == {r.user_id: r.settled for r in want.collect()}
+    events, _ = _events(spark, tmp_path)
+    # a last event of another user moves the watermark past all others
+    last = events.limit(1).withColumns({"user_id": F.lit(-1).cast("long"), "event_type": F.lit("view"), "ts": F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz")})
+    last.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = windows.event_stream(spark, str(tmp_path / "in"), events.schema, 1)
+    for days in (60, 2):
+        name = f"cases_{days}"
+        state.cases(stream, "error", "purchase", "40 days", days).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        ts = F.col("ts").cast("timestamp")
+        opened = events.where("event_type = 'error'").groupBy("user_id").agg(F.min(ts).alias("opened"))
+        settles = events.where("event_type = 'purchase'").select("user_id", ts.alias("settled"))
+        in_time = (F.col("settled") > F.col("opened")) & (F.col("settled") <= F.col("opened") + F.make_interval(days=F.lit(days)))
+        want = opened.join(settles, "user_id", "left").groupBy("user_id", "opened").agg(F.min(F.when(in_time, F.col("settled"))).alias("settled"))
+        got = {(r.user_id, r.opened, r.settled, r.state) for r in spark.table(name).collect()}
+        assert got == {(r.user_id, r.opened, r.settled, "settled" if r.settled else "stale") for r in want.collect()}
+        assert len(got) > 5
