@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 
 def subset_pairs(rows: DataFrame, block: str, id_col: str, tokens: str) -> DataFrame:
-    """Pairs of rows of one block where all tokens of ``a`` are among those of ``b``, with their Jaccard similarity.
+    """(block, a, b, a_rows, b_rows, similarity): where all tokens of ``a`` are among those of ``b``, with their Jaccard similarity.
 
-    ``a`` meets ``b`` by its rarest token only: that token must be in ``b`` too,
-    so blocks are not paired with themselves, and common tokens join little.
-    Rows without tokens pair with nothing.
+    Rows of equal token sets are one class, which stands under its least id with
+    its number of rows, so copies are never paired.  A class meets others by its
+    rarest token only: that token must be in ``b`` too, so blocks are not paired
+    with themselves, and common tokens join little.  Rows without tokens pair
+    with nothing.
     """
-    each = rows.select(block, id_col, tokens, F.explode(F.array_distinct(tokens)).alias("_t"))
+    classes = rows.groupBy(block, F.sort_array(F.array_distinct(tokens)).alias("_s")).agg(F.min(id_col).alias("_id"), F.count("*").alias("_rows"))
+    each = classes.withColumn("_t", F.explode("_s"))
     rarity = each.groupBy(block, "_t").agg(F.count("*").alias("_n"))
-    rarest = each.join(rarity, [block, "_t"]).groupBy(block, id_col).agg(F.min_by("_t", F.struct("_n", "_t")).alias("_t"), F.first(tokens).alias("_a"))
-    a = rarest.withColumnRenamed(id_col, "a")
-    b = each.select(block, F.col(id_col).alias("b"), F.col(tokens).alias("_b"), "_t")
+    rarest = each.join(rarity, [block, "_t"]).groupBy(block, F.col("_id").alias("a")).agg(F.min_by("_t", F.struct("_n", "_t")).alias("_t"), F.first("_s").alias("_a"), F.first("_rows").alias("a_rows"))
+    b = each.select(block, F.col("_id").alias("b"), F.col("_s").alias("_b"), F.col("_rows").alias("b_rows"), "_t")
     inside = F.size(F.array_except("_a", "_b")) == 0
-    return a.join(b, [block, "_t"]).where((F.col("a") != F.col("b")) & inside).select(block, "a", "b", (F.size(F.array_distinct("_a")) / F.size(F.array_union("_a", "_b"))).alias("similarity"))
+    return rarest.join(b, [block, "_t"]).where((F.col("a") != F.col("b")) & inside).select(block, "a", "b", "a_rows", "b_rows", (F.size("_a") / F.size("_b")).alias("similarity"))
 
 
 def merged(rows: DataFrame, key: str, name: str, amount: str, overrides: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows in one broadcast block; more queries are taken block by block.
+#: Query rows in one broadcast block, about (ids are dealt by hash); more queries are taken block by block.
 BLOCK = 256
 
 
@@ -18,8 +18,8 @@ def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind:
     final ranking.
     """
     ids = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"), F.col(kind).alias("_k"))
-    blocks = ids.withColumn("_block", F.expr(f"cast((row_number() over (order by query) - 1) div {BLOCK} as int)"))
     n = -(-queries.count() // BLOCK)
+    blocks = ids.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(max(n, 1))))
     out = None
     for b in range(n):
         block = F.broadcast(blocks.where(F.col("_block") == b).drop("_block"))

@@ -366,13 +366,13 @@ def loglog_interpolation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with m as (select date_trunc('month', o_orderdate)::date as month, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as amount from orders where o_orderpriority = '1-URGENT' and o_custkey % 50 = 0 group by 1),
+with m as (select date_trunc('month', o_orderdate)::date as month, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as amount from orders where o_orderpriority = '1-URGENT' and o_totalprice >= 490000 group by 1),
 a as (select unnest(generate_series((select min(month) from m)::timestamp, (select max(month) from m)::timestamp, interval 1 month))::date as month)
 select cast(a.month as varchar) as month, coalesce(n, 0) as n, amount from a left join m using (month)
 """)
 def dense_month_axis(spark: SparkSession, d: str) -> DataFrame:
     """WIN-10: months without rows appear; counts are 0 there and amounts null."""
-    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_custkey % 50 = 0")
+    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 490000")
     months = rows.groupBy(F.trunc(_day("o_orderdate"), "month").alias("month")).agg(F.count("*").alias("n"), aggregates.exact_sum("o_totalprice").alias("amount"))
     return windows.dense_months(months, "month", ["n"]).withColumn("month", F.col("month").cast("string"))
 
@@ -409,13 +409,13 @@ def semi_and_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with a as (select o_orderkey, sum(cast(o_totalprice as decimal(18,2))) as stated from orders where o_orderkey % 9 <> 0 group by 1), b as (select l_orderkey as o_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as found from lineitem where l_orderkey % 8 <> 0 group by 1)
+with a as (select o_orderkey, sum(cast(o_totalprice as decimal(18,2))) as stated from orders where o_orderstatus <> 'P' group by 1), b as (select l_orderkey as o_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as found from lineitem where l_returnflag <> 'N' group by 1)
 select o_orderkey, cast(stated as double) as stated, cast(found as double) as found, cast(coalesce(stated, 0) - coalesce(found, 0) as double) as delta from a full join b using (o_orderkey) where abs(coalesce(stated, 0) - coalesce(found, 0)) > 100000
 """)
 def full_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-26: two totals by key, either side may lack a key; gaps beyond a tolerance."""
-    a = table(spark, d, "orders").where("o_orderkey % 9 <> 0").groupBy("o_orderkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("stated"))
-    b = table(spark, d, "lineitem").where("l_orderkey % 8 <> 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("found"))
+    a = table(spark, d, "orders").where("o_orderstatus <> 'P'").groupBy("o_orderkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("stated"))
+    b = table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("found"))
     return joins.reconcile(a, b, "o_orderkey", "stated", "found", 100000).select("o_orderkey", *(F.col(c).cast("double").alias(c) for c in ("stated", "found", "delta")))
 
 

@@ -13,19 +13,18 @@ from .catalog import _day, query
 
 
 @query("""
-with a as (select p_partkey as i, p_brand, p_size, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) as t from part where p_partkey % 10 = 0),
-b as (select p_partkey as j, p_brand, p_size as s2, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) as u from part where p_partkey % 10 = 1),
-c as (select i, j, len(list_intersect(t, u)) > 0 as share from a join b using (p_brand) where abs(p_size - s2) <= 5),
+with o as (select *, cast(o_orderdate as date) as day, list_distinct(regexp_extract_all(lower(o_orderpriority), '[a-z]+')) as t from orders),
+c as (select a.o_orderkey as i, b.o_orderkey as j, len(list_intersect(a.t, b.t)) > 0 as share from o a join o b on b.o_custkey = a.o_custkey and abs(b.day - a.day) <= 60 where a.o_orderstatus = 'F' and b.o_orderstatus = 'O'),
 k as (select i, count(*) as n, count(*) filter (share) as ns, max(j) as any_j, max(j) filter (share) as share_j from c group by 1)
 select i, n, case when n = 1 then any_j when ns = 1 then share_j end as j from k
 """)
 def candidate_by_token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-12: a range join; several candidates are decided by the only one that shares a word."""
-    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(names.words(F.col("p_name"))).alias("t"))
-    a = part.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "i")
-    b = part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("j"), "p_brand", F.col("p_size").alias("s2"), F.col("t").alias("u"))
+    """JOIN-12: a closed order and the customer's open ones within sixty days; several are decided by the only one that shares a word."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", _day("o_orderdate").alias("day"), F.array_distinct(names.words(F.col("o_orderpriority"))).alias("t"))
+    a = orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_orderkey").alias("i"), "day", "t")
+    b = orders.where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("j"), F.col("day").alias("seen"), F.col("t").alias("u"))
     share = F.arrays_overlap("t", "u")
-    k = a.join(b, "p_brand").where(F.abs(F.col("p_size") - F.col("s2")) <= 5).groupBy("i").agg(F.count("*").alias("n"), F.count_if(share).alias("ns"), F.max("j").alias("any_j"), F.max(F.when(share, F.col("j"))).alias("share_j"))
+    k = a.join(b, "o_custkey").where(F.abs(F.datediff("seen", "day")) <= 60).groupBy("i").agg(F.count("*").alias("n"), F.count_if(share).alias("ns"), F.max("j").alias("any_j"), F.max(F.when(share, F.col("j"))).alias("share_j"))
     return k.select("i", "n", F.when(F.col("n") == 1, F.col("any_j")).when(F.col("ns") == 1, F.col("share_j")).alias("j"))
 
 
@@ -117,25 +116,26 @@ def ordered_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, case when o_orderkey % 3 = 0 and o_orderstatus <> 'F' then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_orderstatus from orders where o_orderkey % 2 = 1 and o_orderkey % 5 = 0
+select o_orderkey, case when o_orderpriority = '1-URGENT' and o_orderstatus <> 'F' then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderstatus <> 'P' union all select o_orderkey, o_orderstatus from orders where o_orderstatus = 'P' and o_totalprice >= 250000
 """)
 def stamped_and_inserted(spark: SparkSession, d: str) -> DataFrame:
     """SNK-04, SNK-05: fields stamped onto known keys, unknown keys appended."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    old = orders.where("o_orderkey % 2 = 0")
-    marks = orders.where("o_orderkey % 3 = 0 and o_orderstatus <> 'F'").withColumn("o_orderstatus", F.lit("X"))
-    return sinks.inserted(sinks.stamped(old, marks, ["o_orderkey"], ["o_orderstatus"]), orders.where("o_orderkey % 5 = 0"), ["o_orderkey"])
+    orders = table(spark, d, "orders")
+    old = orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus")
+    marks = orders.where("o_orderpriority = '1-URGENT' and o_orderstatus <> 'F'").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    new = orders.where("o_totalprice >= 250000").select("o_orderkey", "o_orderstatus")
+    return sinks.inserted(sinks.stamped(old, marks, ["o_orderkey"], ["o_orderstatus"]), new, ["o_orderkey"])
 
 
 @query("""
-with a as (select s_suppkey, s_name, s_nationkey from supplier where s_suppkey % 7 <> 0), b as (select s_suppkey, case when s_suppkey % 11 = 0 then 'changed' else s_name end as s_name, s_nationkey from supplier where s_suppkey % 13 <> 0)
+with a as (select s_suppkey, s_name, s_nationkey from supplier where s_acctbal < 8000), b as (select s_suppkey, case when s_nationkey = 3 then 'changed' else s_name end as s_name, s_nationkey from supplier where s_acctbal >= 1000)
 select *, 'left' as side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)
 """)
 def differing_rows(spark: SparkSession, d: str) -> DataFrame:
     """SNK-07, SET-06: what two versions of a table do not share."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    changed = s.where("s_suppkey % 13 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 11 == 0, "changed").otherwise(F.col("s_name")))
-    return sinks.differing(s.where("s_suppkey % 7 <> 0"), changed)
+    s, columns = table(spark, d, "supplier"), ["s_suppkey", "s_name", "s_nationkey"]
+    changed = s.where("s_acctbal >= 1000").withColumn("s_name", F.when(F.col("s_nationkey") == 3, "changed").otherwise(F.col("s_name")))
+    return sinks.differing(s.where("s_acctbal < 8000").select(*columns), changed.select(*columns))
 
 
 @query("""

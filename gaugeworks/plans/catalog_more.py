@@ -91,12 +91,12 @@ def normalized_name_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with w as (select p_partkey as id, p_brand, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) as t from part)
-select a.p_brand, a.id as a, b.id as b, len(a.t) / cast(len(list_distinct(list_concat(a.t, b.t))) as double) as similarity from w a join w b on a.p_brand = b.p_brand and a.id <> b.id and len(list_intersect(a.t, b.t)) = len(a.t)
+with w as (select p_brand, list_sort(list_distinct(regexp_extract_all(lower(case when p_size < 10 then p_name || ' ' || p_type else p_name end), '[a-z]+'))) as t, min(p_partkey) as id, count(*) as n from part group by 1, 2)
+select a.p_brand, a.id as a, b.id as b, a.n as a_rows, b.n as b_rows, len(a.t) / cast(len(list_distinct(list_concat(a.t, b.t))) as double) as similarity from w a join w b on a.p_brand = b.p_brand and a.id <> b.id and len(list_intersect(a.t, b.t)) = len(a.t)
 """)
 def token_subset_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-21, FN-08: names whose words are all in another name of the brand."""
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.array_distinct(names.words(F.concat_ws(" ", "p_name", "p_type"))).alias("t"))
+    """JOIN-21, FN-08: names whose words are all in another name of the brand (small parts carry their type in the name)."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", names.words(F.when(F.col("p_size") < 10, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name"))).alias("t"))
     return linkage.subset_pairs(rows, "p_brand", "p_partkey", "t")
 
 
@@ -138,15 +138,15 @@ def recursive_cone(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with nodes as (select 'n' || n_nationkey as node from nation where n_nationkey % 4 <> 0 union all select 's' || s_suppkey from supplier where s_suppkey % 9 <> 0), e as (select 'n' || s_nationkey as src, 's' || s_suppkey as dst from supplier where s_suppkey % 5 <> 0),
+with nodes as (select 'n' || n_nationkey as node from nation where n_regionkey <> 0 union all select 's' || s_suppkey from supplier where s_acctbal >= 1000), e as (select 'n' || s_nationkey as src, 's' || s_suppkey as dst from supplier where s_acctbal < 8000),
 x as (select src as node from e union select dst from e)
 select 'dangling' as rule, node from x where node not in (select node from nodes) union all select 'orphan', node from nodes where node not in (select node from x)
 """)
 def graph_violations(spark: SparkSession, d: str) -> DataFrame:
     """GRF-02: edge ends that are no node, nodes without edges."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    nodes = n.where("n_nationkey % 4 <> 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).unionByName(s.where("s_suppkey % 9 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
-    edges = s.where("s_suppkey % 5 <> 0").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
+    nodes = n.where("n_regionkey <> 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).unionByName(s.where("s_acctbal >= 1000").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    edges = s.where("s_acctbal < 8000").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
     return graph.violations(nodes, edges)
 
 
