@@ -260,11 +260,11 @@ def filtered_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select c_custkey from customer where c_custkey not in (select o_custkey from orders)
+select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_totalprice > 300000)
 """)
 def resumable_keys(spark: SparkSession, d: str) -> DataFrame:
     """SRC-25: keys that a resumed pull still has to fetch."""
-    return fresh_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return fresh_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""
