@@ -9,6 +9,13 @@ bytes.
 For prediction the trained filters become tables: what two neighbouring bytes
 contribute to each filter is one row of a 65,536-row table, so a filter of any
 width here costs at most two lookups a byte.
+
+A softmax names some language for anything, so a second model decides whether a
+text is in a learned language at all: how usual its letters and their neighbours
+are in the languages that the network finds likeliest in each window.  What is
+usual is measured for each language on its training documents, each under the
+counts of the others, so the limit follows from the language and not from the
+number of languages.
 """
 
 from __future__ import annotations
@@ -29,12 +36,48 @@ WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, PASSES, FOLDS = 500, 8, 5
 #: Languages that are learned at most, those of most documents.
 LANGUAGES = 256
-#: A filter rejects a text without letters, or one whose best score is under this: no language stands out at all.
-#: Texts that mix languages score higher and are kept.
-LEAST_SCORE = 0.3
+#: Whether a text is in a learned language is decided by ``Usual`` alone, so no score is too small: those of
+#: texts that mix languages are small, and the least possible one depends on the number of languages.
+LEAST_SCORE = 0.0
+#: Bytes of a piece that is refused or not, hashed values of a gram, languages a window is compared with (the
+#: likeliest ones), documents a language needs to be judged by, and spreads that a piece may lie above the usual.
+PIECE, GRAMS, NEAR, FEW, REACH = 64, 1 << 16, 4, 5, 4.0
+#: Added to each gram's count; units of a bit.
+_PRIOR, _UNIT = 0.1, 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+# A-Z lowered, digits alike, other ASCII blank; bytes of other scripts stay
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[:128] = 32
+_PLAIN[65:91] = _PLAIN[97:123] = np.arange(97, 123)
+_PLAIN[48:58] = 48
+
+
+@dataclass
+class Usual:
+    """For each language how many bits more than usual a gram costs (in ``_UNIT``), and the spread of pieces.
+
+    Languages of fewer than ``FEW`` documents are not ``judged``.
+    """
+
+    excess: np.ndarray  # (languages, GRAMS)
+    spread: np.ndarray
+    judged: np.ndarray
+
+    def refused(self, windows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters in refused pieces and in all pieces of each window; ``p`` are its languages' probabilities."""
+        near = np.argsort(-np.where(self.judged, p, -1), axis=1, kind="stable")[:, :NEAR]
+        gram, counts = grams(windows)
+        least = None  # a text may mix languages word by word
+        for k in range(near.shape[1]):
+            value = np.take(self.excess.ravel(), near[:, k, None] * GRAMS + gram)
+            least = value if least is None else np.minimum(least, value, out=least)
+        n = _by_piece(counts)
+        over = _by_piece(np.where(counts, least, 0)) / _UNIT > REACH * self.spread[near].max(axis=1)[:, None] * np.sqrt(n)
+        return (n * over).sum(axis=1), n.sum(axis=1)
+
+
 @dataclass
 class Network:
     """Weights; ``languages`` in the order of the output."""
@@ -45,6 +88,7 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    usual: Usual | None = None
 
     def tables(self) -> list[list[tuple[int, np.ndarray]]]:
         """For each width, (byte place, rows by byte pair or byte) of which the filter values are the sum."""
@@ -60,6 +104,48 @@ class Network:
         return tables
 
 
+def grams(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each byte with its two neighbours, and whether it counts: a letter that no digit stands next to."""
+    b = _PLAIN[windows]
+    wide = b.astype(np.uint32)
+    code = ((wide[:, :-2] << 16 | wide[:, 1:-1] << 8 | wide[:, 2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    return code.astype(np.int64), (b[:, 1:-1] > 96) & (b[:, :-2] != 48) & (b[:, 2:] != 48)
+
+
+def _by_piece(values: np.ndarray) -> np.ndarray:
+    """Sums over the pieces of each window, from one value for each gram."""
+    return np.add.reduceat(values, np.arange(0, values.shape[1], PIECE), axis=1, dtype=np.int64)
+
+
+def usual(windows: np.ndarray, labels: np.ndarray, docs: np.ndarray, languages: int) -> Usual:
+    """Learn from windows, their languages and the documents they come from."""
+    excess = np.full((languages, GRAMS), np.iinfo(np.int16).max, dtype=np.int16)
+    spread, judged = np.ones(languages), np.zeros(languages, dtype=bool)
+    for k in range(languages):
+        mine = np.flatnonzero(labels == k)
+        own = np.unique(docs[mine], return_inverse=True)[1]
+        if not len(mine) or own.max() + 1 < FEW:
+            continue
+        gram, counts = grams(windows[mine])
+        total = np.bincount(gram[counts], minlength=GRAMS)
+        # each document under the counts of the others
+        owner = np.repeat(own, counts.sum(axis=1))
+        _, at, held = np.unique(owner * GRAMS + gram[counts], return_inverse=True, return_counts=True)
+        others = total.sum() - np.bincount(owner, minlength=own.max() + 1)
+        cost = np.zeros(gram.shape)
+        cost[counts] = np.log2(others[owner] + _PRIOR * GRAMS) - np.log2(total[gram[counts]] - held[at] + _PRIOR)
+        n = _by_piece(counts)
+        some = n >= 8
+        if not some.any():
+            continue
+        mean = np.add.reduceat(cost, np.arange(0, cost.shape[1], PIECE), axis=1)[some] / n[some]
+        middle = np.median(mean)
+        spread[k] = max(1.0, np.quantile((mean - middle) * np.sqrt(n[some]), 0.9))
+        excess[k] = np.rint((np.log2(total.sum() + _PRIOR * GRAMS) - np.log2(total + _PRIOR) - middle) * _UNIT)
+        judged[k] = True
+    return Usual(excess, spread, judged)
+
+
 def pooled(windows: np.ndarray, tables: list, bias: np.ndarray) -> np.ndarray:
     """Max-pooled filter values of byte windows (n x WINDOW)."""
     n, size = windows.shape
@@ -170,15 +256,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows.sort(key=lambda r: (r["l"], str(r["i"]), r["parts"]))
     languages = sorted(counts)
     number = {k: i for i, k in enumerate(languages)}
-    texts = [(p.encode()[:WINDOW], number[r["l"]]) for r in rows for p in r["parts"]]
+    texts = [(p.encode()[:WINDOW], number[r["l"]], k) for k, r in enumerate(rows) for p in r["parts"]]
     if not texts:
         return None
-    raw = np.frombuffer(b"".join(t.ljust(WINDOW) for t, _ in texts), dtype=np.uint8).reshape(-1, WINDOW)
-    return fit(raw, np.array([y for _, y in texts]), languages)
+    raw = np.frombuffer(b"".join(t.ljust(WINDOW) for t, _, _ in texts), dtype=np.uint8).reshape(-1, WINDOW)
+    labels = np.array([y for _, y, _ in texts])
+    network = fit(raw, labels, languages)
+    network.usual = usual(raw, labels, np.array([k for _, _, k in texts]), len(languages))
+    return network
 
 
 def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row: ``und`` and 0 for null texts and those without a letter."""
+    """(doc_id, lang_pred, score) of each row: ``und`` and 0 for texts in no learned language.
+
+    These are null texts, those without a letter, and those that have more than
+    half of their letters in pieces that no language explains.  Texts for which
+    the best language is not judged (of too few documents) are not refused.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +285,21 @@ def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id",
                 if network and letter.any():
                     raw, at = utf8(part.column("text"))
                     windows, owner, used = cut(raw, at)
-                    p = np.empty((len(windows), len(network.languages)))
+                    p, strange = np.empty((len(windows), len(network.languages))), np.zeros((2, len(windows)))
+                    judge = network.usual if network.usual is not None and network.usual.judged.any() else None
                     for lo in range(0, len(windows), 64):
-                        p[lo : lo + 64] = softmax(pooled(windows[lo : lo + 64], tables, network.bias) @ network.out + network.out_bias)
+                        some = windows[lo : lo + 64]
+                        p[lo : lo + 64] = softmax(pooled(some, tables, network.bias) @ network.out + network.out_bias)
+                        if judge:
+                            strange[:, lo : lo + 64] = judge.refused(some, p[lo : lo + 64])
                     total = np.zeros((n, p.shape[1]))
                     for k in range(p.shape[1]):
                         total[:, k] = np.bincount(owner, weights=p[:, k] * used, minlength=n)
                     total /= np.maximum(np.diff(at), 1)[:, None]
                     best = total.argmax(axis=1)
+                    if judge:
+                        refused, of = (np.bincount(owner, weights=x, minlength=n) for x in strange)
+                        letter &= (2 * refused <= of) | ~judge.judged[best]
                     names = np.where(letter, np.array(network.languages, dtype=object)[best], "und")
                     score = np.where(letter, np.clip(total[np.arange(n), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
@@ -211,8 +312,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Trains on rows whose language is not null and whose fold (crc32 of the id as
     text, modulo 5) is not 0; fold 0 is held out.  Predictions see the text
-    alone.  Rows with a null id are scored, held_out null.  Without any labelled
-    row all predictions are ``und``.  An empty table gives an empty result;
+    alone; texts in no learned language are ``und``.  Rows with a null id are
+    scored, held_out null.  Without any labelled row all predictions are ``und``.  An empty table gives an empty result;
     other columns are not read.
     """
     found = identified(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)

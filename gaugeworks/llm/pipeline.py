@@ -16,10 +16,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose best language scores under ``LEAST_SCORE``, go; rows without an id stay."""
+    """Documents without a letter, and those in no learned language, go; rows without an id stay."""
     scratch = Scratch(spark, "stage1")
     found = langid.identified(docs, langid.train(docs))
-    rejected = scratch.table(found.where((F.col("lang_pred") == "und") | (F.col("score") < langid.LEAST_SCORE)).select("doc_id").where("doc_id is not null").distinct(), "rejected")
+    rejected = scratch.table(found.where(F.col("lang_pred") == "und").select("doc_id").where("doc_id is not null").distinct(), "rejected")
     return by_ids(docs, rejected, "left_anti").select(*docs.columns)
 
 
