@@ -48,6 +48,7 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
 }
 PHRASES = ["Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "under the terms of the {}"]
+_GNU = "This {} you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 NOTICES = {
     "MIT": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -56,6 +57,10 @@ NOTICES = {
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": [_GNU.format("program is free software;", "GNU General Public License", "2")],
+    "LGPL-2.1": [_GNU.format("library is free software;", "GNU Lesser General Public License", "2.1")],
+    "LGPL-3.0": [_GNU.format(f"{what} is free software:", "GNU Lesser General Public License", "3") for what in ("program", "library")],
+    "AGPL-3.0": [_GNU.format("program is free software:", "GNU Affero General Public License", "3")],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
