@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cone(edges: DataFrame, start: DataFrame, limit: int = 50) -> DataFrame:
+def cone(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
     """(root, node, depth): everything reachable along (src, dst) edges and the least number of steps.
 
     A breadth-first frontier: each round joins the newest nodes only, and nodes
-    already reached are not visited again, so cycles end.
+    already reached are not visited again, so cycles end.  Rounds go on until
+    nothing is new; with a ``limit``, cones deeper than that raise an error.
     """
     reached = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct()
     frontier = reached
-    for depth in range(1, limit + 1):
+    for depth in itertools.count(1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        fresh = step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        fresh = step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).localCheckpoint()
         if fresh.isEmpty():
             break
+        if limit is not None and depth > limit:
+            raise ValueError(f"cones are deeper than {limit} steps")
         reached, frontier = reached.unionByName(fresh), fresh
+        if depth % 8 == 0:
+            reached = reached.localCheckpoint()
     return reached
 
 
