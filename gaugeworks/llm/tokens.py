@@ -52,11 +52,12 @@ class Memory:
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
         self.entry = np.full(1 << bits, -1, dtype=np.int32)
         self.count = 0
-        self.start = np.zeros(1 << bits, dtype=np.int32)
-        self.size = np.zeros(1 << bits, dtype=np.int32)
-        self.check = np.zeros(1 << bits, dtype=np.uint64)
-        self.hits = np.zeros(1 << bits, dtype=np.int32)
-        self.pool = np.zeros(4 << bits, dtype=np.uint32)
+        # no more than half of the slots are taken
+        self.start = np.zeros(1 << (bits - 1), dtype=np.int32)
+        self.size = np.zeros(1 << (bits - 1), dtype=np.int32)
+        self.check = np.zeros(1 << (bits - 1), dtype=np.uint64)
+        self.hits = np.zeros(1 << (bits - 1), dtype=np.uint8)  # 2: more than once
+        self.pool = np.zeros(1 << bits, dtype=np.uint32)
         self.used = 0
 
     def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -76,8 +77,10 @@ class Memory:
 
     def add(self, keys: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Remember new, distinct words; returns their entries."""
-        while 2 * (self.count + len(keys)) > self.mask or self.used + len(ids) > len(self.pool):
+        while 2 * (self.count + len(keys)) > self.mask:
             self._grow()
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2 + len(ids), dtype=np.uint32)])
         entries = np.arange(self.count, self.count + len(keys), dtype=np.int32)
         self.pool[self.used : self.used + len(ids)] = ids
         self.start[entries] = self.used + np.cumsum(size) - size
@@ -98,7 +101,7 @@ class Memory:
             rows, at = rows[lost], (at[lost] + 1) & self.mask
 
     def shrink(self, least: int = 2) -> None:
-        """Forget the words that were met fewer than ``least`` times."""
+        """Forget the words that were met in fewer than ``least`` (1 or 2) calls."""
         slots = np.flatnonzero(self.entry >= 0)
         slots = slots[self.hits[self.entry[slots]] >= least]
         keys, entries = self.keys[slots], self.entry[slots]
@@ -116,7 +119,6 @@ class Memory:
         self.mask = size - 1
         self.keys, self.entry = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
         self.start, self.size, self.check, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.check, self.hits))
-        self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self._place(keys, entries)
 
 
@@ -202,7 +204,7 @@ class Encoder:
             listed = [data[a:b].decode() for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)]
             self._learn_new(listed, keys[new], check[new])
             found[missing] = self.memory.find(keys[missing], check[missing])
-        self.memory.hits[: self.memory.count] += np.bincount(found, minlength=self.memory.count).astype(np.int32)
+        self.memory.hits[found] = np.minimum(self.memory.hits[found] + 1, 2)
         size = self.memory.size[found].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.memory.pool[np.arange(ends[-1]) + np.repeat(self.memory.start[found] - ends[:-1], size)]
