@@ -3,14 +3,19 @@
 Plan
 ----
 1. Each document becomes its ids and an end id; only documents longer than a
-   sequence are cut, into full pieces and a rest.  A piece is a small row.
+   sequence are cut, into full pieces and a rest.  A piece is a small row with a
+   number of its own.
 2. Every partition packs its pieces best-fit, longest first.  Sequences that are
    full up to ``SLACK`` are emitted.
-3. The underfull ones are items of the next round: they keep their pieces, are
-   dealt anew to a quarter of the partitions and packed best-fit again.  Rounds
-   end when one partition is left, or earlier when a round joins fewer than one
-   item in fifty: then what is left does not fit together.  A partition never
-   gets more than about ``ITEMS`` items, so no task holds the corpus.
+3. The underfull ones are items of the next round: they are dealt anew to a
+   quarter of the partitions and packed best-fit again.  A round carries item
+   numbers and lengths only, and writes where each item went; the pieces follow
+   at the end, round by round.
+4. An item that fits with none of the others (its length and the least of all
+   exceed a sequence) is emitted too.  Rounds end when nothing is left or when
+   one partition holds all that is left, so no two items that fit together stay
+   apart for want of a round.  A partition never gets more than about ``ITEMS``
+   items, so no task holds the corpus.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .arrow import mapped
+from .store import Scratch, looked_up
 from .tokens import encoder, vocabulary_path, with_end
 from .words import slices
 
@@ -33,14 +39,18 @@ LENGTH, END = 4096, 1
 #: Free places of a sequence that counts as full; items of a partition; partitions joined each round.
 SLACK, ITEMS, FAN_IN = 4, 200_000, 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_SEQUENCES = "sequence_id long, used int, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document; null texts have the end id alone."""
+    """(doc_id, piece, start, length, ids_crc32, number) of every document; null texts have the end id alone.
+
+    ``number`` tells pieces apart, those of repeated rows as well; it changes
+    when the result is computed again, so write it before use.
+    """
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_ = np.int64(TaskContext.get().partitionId()) << 38
         for whole in batches:
             for part in slices(whole, "text"):
                 ids, rows = with_end(*encoder(path).encode(part.column("text")), end)
@@ -53,16 +63,17 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
                 raw = memoryview(ids.astype("<u4").tobytes())
                 at = (rows[owner] + start) * 4
                 sums = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), used.tolist(), strict=True)]
-                arrays = [part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(used, pa.int64()), pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                arrays = [part.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(used, pa.int64()), pa.array(sums, pa.int64()), pa.array(next_ + np.arange(len(owner)))]
+                next_ += len(owner)
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "number"])
         encoder(path).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, _PIECES)
+    return mapped(rows, run, f"{_PIECES}, number long")
 
 
 def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
-    """Items by sequence: longest first, each into the fullest sequence that has room."""
+    """Items by sequence: longest first (of equals in given order), each into the fullest sequence that has room (of equals the first)."""
     free: list[tuple[int, int]] = []  # (room, sequence), ascending
     out: list[list[int]] = []
     for i in np.argsort(-sizes, kind="stable").tolist():
@@ -81,68 +92,73 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
 
 
 def _pack(length: int, turn: int):
-    """One round over a partition's sequences, a piece being a sequence of its own at first."""
+    """One round over a partition's items (item, used): where each goes, and how full that sequence is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
+        parts = [(b.column("item").to_numpy(), b.column("used").to_numpy()) for b in batches if b.num_rows]
+        if not parts:
             return
-        rows = pa.Table.from_batches(tables).combine_chunks()
-        used = rows.column("used").to_numpy()
-        lists = rows.column("pieces").chunk(0)
-        ends = lists.offsets.to_numpy()
-        flat = lists.values
+        item, used = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(item)  # arrival differs between attempts
+        item, used = item[order], used[order]
         bins = best_fit(used, length)
         order = np.array([i for b in bins for i in b])
-        count = np.diff(ends)
-        size = np.array([count[b].sum() for b in bins])
-        at = np.concatenate([[0], np.cumsum(count[order])])
-        take = np.repeat(ends[order] - at[:-1], count[order]) + np.arange(at[-1])
-        rounds = TaskContext.get().partitionId()
-        ids = (np.int64(turn) << 56) + (np.int64(rounds) << 32) + np.arange(len(bins))
-        filled = np.array([used[b].sum() for b in bins])
-        packed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat.take(pa.array(take)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(filled, pa.int32()), packed], names=["sequence_id", "used", "pieces"])
+        count = np.array([len(b) for b in bins])
+        owner = np.repeat(np.arange(len(bins)), count)
+        ends = np.cumsum(used[order])
+        filled = np.add.reduceat(used[order], np.cumsum(count) - count)
+        offset = ends - used[order] - (np.cumsum(filled) - filled)[owner]
+        ids = (np.int64(turn) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + owner
+        for lo in range(0, len(order), 1 << 16):
+            cut = slice(lo, lo + (1 << 16))
+            arrays = [item[order[cut]], ids[cut], offset[cut], filled[owner[cut]]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["item", "sequence", "offset", "filled"])
 
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, slack: int = SLACK) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, slack: int = SLACK, items: int = ITEMS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece.
 
     ``offset`` is the piece's place in its sequence; places are gapless from 0.
     Null and empty texts are documents of the end id alone.  Rows with a null id
-    are packed like others; rows that share an id are documents of their own.
-    An empty table gives an empty result; other columns are not read.
+    are packed like others; rows that share an id, repeated ones too, are
+    documents of their own.  Pieces of equal length are packed in the order of
+    their numbers.  An empty table gives an empty result; other columns are not
+    read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     cut = scratch.table(pieces(docs, vocabulary, id_col, text_col, length, end), "pieces")
-    piece = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    items = cut.select(F.lit(-1).cast("long").alias("sequence_id"), F.col("length").cast("int").alias("used"), F.array(piece).alias("pieces"))
-    left, done, turn = cut.count(), [], 0
-    parts = max(-(-left // ITEMS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    open_ = cut.select(F.col("number").alias("item"), F.col("length").alias("used"))
+    left, turn, rounds = cut.count(), 1, []
+    parts = max(-(-left // items), int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = max(1, min(parts, left // 2000))
     while left:
-        # dealt by the pieces themselves: the same rows again after a lost executor
-        dealt = items.repartition(parts, F.xxhash64("pieces", F.lit(turn)))
-        round_ = scratch.table(dealt.mapInArrow(_pack(length, turn), _SEQUENCES), "round")
-        last = parts == 1
-        if not last:
-            under = round_.where(F.col("used") < length - slack)
-            after = under.count()
-            last = turn > 0 and after > left - left // 50 and parts <= -(-after // ITEMS)
-        if last:
-            done.append(round_)
+        # dealt by the items' own numbers: the same rows again after a lost executor
+        dealt = open_.repartition(parts, F.xxhash64("item", F.lit(turn)))
+        rounds.append(scratch.table(mapped(dealt, _pack(length, turn), "item long, sequence long, offset long, filled long"), "round"))
+        if parts == 1:
+            break
+        under = rounds[-1].where((F.col("offset") == 0) & (F.col("filled") < length - slack)).select(F.col("sequence").alias("item"), F.col("filled").alias("used"))
+        least = under.agg(F.min("used")).first()[0]
+        if least is None:
             break
-        done.append(round_.where(F.col("used") >= length - slack))
-        items, left, turn = under, after, turn + 1
-        parts = max(-(-parts // FAN_IN), -(-left // ITEMS), 1)
-    if not done:
+        open_ = under.where(F.col("used") + least <= length)
+        left, turn = open_.count(), turn + 1
+        if left < 2:
+            break
+        parts = max(-(-parts // FAN_IN), -(-left // items), 1)
+    if not rounds:
         return spark.createDataFrame([], f"{_PIECES}, sequence_id long, offset long")
-    all_ = done[0]
-    for d in done[1:]:
-        all_ = all_.unionByName(d)
-    # offsets: lengths of the pieces before, within one array of a sequence
-    places = F.transform("pieces", lambda p, i: F.aggregate(F.slice("pieces", 1, i), F.lit(0).cast("long"), lambda s, q: s + q["length"]))
-    return all_.select("sequence_id", F.explode(F.arrays_zip(F.col("pieces").alias("p"), places.alias("offset"))).alias("e")).select("e.p.*", "sequence_id", F.col("e.offset").alias("offset"))
+    # from the last round back: where each round's sequences end up
+    place = None
+    for round_ in reversed(rounds):
+        if place is None:
+            place = round_.select("item", "sequence", "offset")
+        else:
+            above = place.select(F.col("item").alias("sequence"), F.col("sequence").alias("_s"), F.col("offset").alias("_o"))
+            joined = looked_up(round_, above, "sequence", "left")
+            place = scratch.table(joined.select("item", F.coalesce("_s", "sequence").alias("sequence"), (F.col("offset") + F.coalesce("_o", F.lit(0))).alias("offset")), "place")
+    found = place.select(F.col("item").alias("number"), F.col("sequence").alias("sequence_id"), "offset")
+    return cut.join(found, "number").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
