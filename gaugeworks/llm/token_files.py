@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
+from .arrow import mapped
 from .files import put
-from .store import Scratch
+from .store import Scratch, looked_up
 from .tokens import encoder, vocabulary_path, with_end
 from .words import slices
 
@@ -55,7 +56,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: s
 
     Lazy: the files are there when the result has been computed.  A null text
     has the end id alone; rows with a null id are left out; rows that share an
-    id stand side by side, by text.  An empty table writes no file.
+    id, repeated ones too, stand side by side, by text.  An empty table writes no
+    file.  Other columns are not read.
     """
     path = vocabulary or vocabulary_path()
 
@@ -84,18 +86,25 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, id_col: s
         encoder(path).rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long")
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return mapped(dealt, run, "file string, n_docs long, n_ids long")
 
 
-def read(spark: SparkSession, folder: str, summaries: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files; ``summaries`` is a written result of ``write``."""
+def read(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of all documents, from the files of ``folder`` alone.
+
+    Files are decoded once; how many ids each holds, and so where the next one
+    starts, is counted from what was decoded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                doc_ids, sizes, ids = unpacked(data.as_buffer().to_pybytes())
+                doc_ids, sizes, ids = unpacked(data.as_buffer())
                 at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                raw = ids.astype("<u4").tobytes()
+                if at[-1] != len(ids):
+                    raise ValueError(f"damaged token file {name}")
+                raw = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(doc_ids)), pa.array(doc_ids), pa.array(at[:-1]), pa.array(sizes.astype(np.int64)), pa.array(sums, pa.int64())],
@@ -103,11 +112,12 @@ def read(spark: SparkSession, folder: str, summaries: DataFrame) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    found = scratch.table(mapped(files, run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long"), "decoded")
     # one row a file: a few for each million documents
+    held = found.groupBy("file").agg(F.sum("n_tokens").alias("n_ids"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    base = summaries.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    found = files.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return found.join(base, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    base = scratch.table(held.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")), "bases")
+    return looked_up(found, base, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,4 +127,4 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
     summaries = scratch.table(write(docs, folder, vocabulary, id_col, text_col), "summaries")
     if summaries.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read(docs.sparkSession, folder, summaries)
+    return read(docs.sparkSession, folder, scratch)
