@@ -20,22 +20,21 @@ number of languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import mapped
 from .words import slices, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-#: Documents of each language that training reads at most (about), windows of each, and passes.
-PER_LANGUAGE, PASSES, FOLDS = 500, 8, 5
-#: Languages that are learned at most, those of most documents.
-LANGUAGES = 256
+#: Documents of each language that training reads at most (about), whole texts, and passes.
+PER_LANGUAGE, PASSES, FOLDS = 200, 8, 5
 #: Whether a text is in a learned language is decided by ``Usual`` alone, so no score is too small: those of
 #: texts that mix languages are small, and the least possible one depends on the number of languages.
 LEAST_SCORE = 0.0
@@ -44,7 +43,7 @@ LEAST_SCORE = 0.0
 PIECE, GRAMS, NEAR, FEW, REACH = 64, 1 << 16, 4, 5, 4.0
 #: Added to each gram's count; units of a bit.
 _PRIOR, _UNIT = 0.1, 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 # A-Z lowered, digits alike, other ASCII blank; bytes of other scripts stay
@@ -242,35 +241,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from labelled documents outside fold 0; None if there are none.
 
     A hash of the id draws about ``per_language`` documents of each language,
-    from each up to three stretches of its text.
+    whose texts are read whole; every language is learned.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where((fold(F.col("i"), FOLDS) != 0) & F.col("l").isNotNull() & (F.length("t") > 0))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
     drawn = labelled.where((F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / (1 << 30)) < F.coalesce(share[F.col("l")], F.lit(0.0)))
-    n = F.length("t")
-    spots = F.array_distinct(F.array(F.lit(1), F.greatest(F.lit(1), (n / 2).cast("int")), F.greatest(F.lit(1), n - WINDOW)))
-    rows = drawn.select("i", "l", F.transform(spots, lambda s: F.substring("t", s, F.lit(WINDOW))).alias("parts")).collect()
-    rows.sort(key=lambda r: (r["l"], str(r["i"]), r["parts"]))
+    rows = sorted(drawn.select("l", "i", "t").collect(), key=lambda r: (r["l"], str(r["i"]), r["t"]))
+    if not rows:
+        return None
     languages = sorted(counts)
     number = {k: i for i, k in enumerate(languages)}
-    texts = [(p.encode()[:WINDOW], number[r["l"]], k) for k, r in enumerate(rows) for p in r["parts"]]
-    if not texts:
-        return None
-    raw = np.frombuffer(b"".join(t.ljust(WINDOW) for t, _, _ in texts), dtype=np.uint8).reshape(-1, WINDOW)
-    labels = np.array([y for _, y, _ in texts])
-    network = fit(raw, labels, languages)
-    network.usual = usual(raw, labels, np.array([k for _, _, k in texts]), len(languages))
+    windows, owner, _ = cut(*utf8(pa.array([r["t"] for r in rows], pa.large_string())))
+    labels = np.array([number[r["l"]] for r in rows])[owner]
+    network = fit(windows, labels, languages)
+    network.usual = usual(windows, labels, owner, len(languages))
     return network
 
 
 def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row: ``und`` and 0 for texts in no learned language.
 
-    These are null texts, those without a letter, and those that have more than
-    half of their letters in pieces that no language explains.  Texts for which
+    These are null texts, those without a letter (Unicode category L), and those
+    that have more than half of their letters in pieces that no language explains.
+    Of equally likely languages the first in the alphabet is named.  Texts for which
     the best language is not judged (of too few documents) are not refused.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -304,7 +300,7 @@ def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id",
                     score = np.where(letter, np.clip(total[np.arange(n), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -313,8 +309,9 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Trains on rows whose language is not null and whose fold (crc32 of the id as
     text, modulo 5) is not 0; fold 0 is held out.  Predictions see the text
     alone; texts in no learned language are ``und``.  Rows with a null id are
-    scored, held_out null.  Without any labelled row all predictions are ``und``.  An empty table gives an empty result;
-    other columns are not read.
+    scored, held_out null; repeated rows are scored each.  Without any labelled
+    row all predictions are ``und``.  An empty table gives an empty result; other
+    columns are not read.
     """
     found = identified(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "lang_pred", "score")
