@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
+from .arrow import mapped
 from .langid import fold
-from .store import Scratch, by_ids, looked_up
+from .store import Scratch, by_ids, looked_up, one_text
 from .words import Words, mix, slices, utf8
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -30,7 +31,7 @@ FIT_ROWS = 20_000
 #: Documents with label 1 that a learned entry needs.
 SUPPORT = 3
 
-# Insults, and second persons.
+# Insults, and second persons.
 INSULTS = "idiot moron stupid loser pathetic scum trash worthless disgusting clown dumb fool jerk imbecile cretin ugly filthy garbage bastard bitch asshole shit fuck crap freak creep vermin retard pig coward liar idiota estupido imbecil basura asqueroso connard salaud imbécile débile ordure dummkopf arschloch depp trottel abschaum".split()
 SECOND = "you your yours yourself u ur youre du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros eres".split()
 
@@ -182,7 +183,7 @@ def _odds(t: np.ndarray, c: np.ndarray, n_toxic: float, n_clean: float) -> np.nd
 
 def lexicon(labelled: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """Learn log odds from (text, toxic); keeps every entry well above chance (about 32 bytes each on the driver)."""
-    counts = labelled.select("text", "toxic").mapInArrow(_counted, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = mapped(labelled.select("text", "toxic"), _counted, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t") + 0.1, F.col("c") + 0.5
     odds = F.log(t / (n_toxic - F.col("t") + 0.9)) - F.log(c / (n_clean - F.col("c") + 0.5))
     good = counts.where((F.col("t") >= SUPPORT) & (odds - 2 * F.sqrt(1 / t + 1 / c) > 0.5))
@@ -204,9 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "toxic")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     marks = scratch.table(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = one_text(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), scratch)
     labelled = looked_up(texts, marks, "doc_id")
-    total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = total.get(0, 0), total.get(1, 0)
     if not n_clean or not n_toxic:
         base = float(n_toxic > 0) if n_clean + n_toxic else 0.0
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(y), rows], names=["doc_id", "toxic", "x"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    got = drawn.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {id_type}, toxic int, x array<double>").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).toPandas()
+    got = mapped(drawn.select("doc_id", "text", "toxic"), run, f"doc_id {id_type}, toxic int, x array<double>").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, FEATURES))
     return Model(words, trees.fit(x, got["toxic"].to_numpy(), got["held"].to_numpy()))
@@ -241,7 +242,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.boosted.score(x))], names=["doc_id", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -249,7 +250,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labels are read outside the fold crc32(id as text) modulo 4 = 2, which is
     held out; a document with several labels has the largest, labels other than
-    0 and 1 are left out.  Null texts are scored as empty ones.  Without labels
+    0 and 1 and those of no document are left out; of rows that share an id one
+    text, the least, is learned from, so repeated rows count once.  Every row is
+    scored.  Null texts are scored as empty ones, equal texts alike.  Without labels
     all scores are 0; with labels of one value they are that value.  Rows with a
     null id are scored, held_out null.  An empty table gives an empty result;
     other columns are not read.
