@@ -19,11 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import mapped
 from .files import put
 from .store import Scratch
 
 #: Payload bytes of a file (about), of the dictionary, and of the records it is built from.
 FILE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 10, 4 << 20
+#: Bytes of a record that the dictionary takes or leaves as one, and of the first step into a frame.
+PIECE_BYTES, STEP = 16 << 10, 1 << 10
 LEVEL = 3
 #: The magic number of a dictionary's skippable frame and of a Zstandard frame.
 _SKIPPABLE, _DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
@@ -54,13 +57,11 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def _dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from records drawn evenly over the file; raw content where there are too few to train on."""
+    """A dictionary from pieces drawn evenly over all records, of long ones from every part; raw content where there are too few to train on."""
     import zstandard
 
-    total, drawn, step = sum(map(len, records)), [], 1
-    if total > SAMPLE_BYTES:
-        step = -(-total // SAMPLE_BYTES)
-    drawn = [r[: 64 << 10] for r in records[::step]]
+    pieces = [r[k : k + PIECE_BYTES] for r in records for k in range(0, len(r), PIECE_BYTES)]
+    drawn = pieces[:: max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))]
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, drawn)) // 16))
     try:
         return zstandard.train_dictionary(size, drawn, k=512, d=8).as_bytes()
@@ -85,15 +86,21 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     magic, size = struct.unpack_from("<II", data)
     if magic != _SKIPPABLE:
         raise ValueError("no dictionary at the start of the archive")
-    raw = data[8 : 8 + size]
+    raw = bytes(memoryview(data)[8 : 8 + size])
     kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
-    rest = memoryview(data)[8 + size :]
-    while len(rest):
-        reader = press.decompressobj()
-        whole = reader.decompress(rest)
-        used = len(rest) - len(reader.unused_data)
-        rest = rest[used:]
+    view, at = memoryview(data), 8 + size
+    while at < len(view):
+        # one frame in growing steps: its end is not known before
+        reader, parts, step = press.decompressobj(), [], STEP
+        while not reader.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            given = view[at : at + step]
+            parts.append(reader.decompress(given))
+            at, step = at + len(given), 2 * step
+        at -= len(reader.unused_data)
+        whole = b"".join(parts)
         head, _, block = whole.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, block[: int(fields["Content-Length"])]
@@ -150,7 +157,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
         if held:
             yield flush()
 
-    return referred.repartition("page_id").sortWithinPartitions("page_id", "digest").select("page_id", "url", "payload", "digest", "owner").mapInArrow(run, "file string, n_records long")
+    dealt = referred.repartition("page_id").sortWithinPartitions("page_id", "digest").select("page_id", "url", "payload", "digest", "owner")
+    return mapped(dealt, run, "file string, n_records long")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +171,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
-                for head, block in records(data.as_buffer().to_pybytes()):
+                for head, block in records(data.as_buffer()):
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response" and digest != base64.b32encode(hashlib.sha1(block).digest()).decode():
                         raise ValueError(f"damaged record {head['WARC-Record-ID']}")
@@ -173,7 +181,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
