@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import mapped
 from .words import Words, odd_constants, slices, utf8
 
 WIDTH, CONTAINMENT, MISS = 5, 0.8, 1e-6
 
-# Names of licenses as statements give them, and their usual notices.
+# Names of licenses as statements give them, and their notices and texts.
 NAMES = {
     "MIT": ["MIT License"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
@@ -212,11 +213,11 @@ def licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", 1 << 20):
                 best = _named(_matches(*_shingles(part.column("text"), width), found, sets, containment), [n for n, _ in named])
                 keys = sorted(best)
                 ids = part.column("doc_id").take(pa.array([r for r, _ in keys], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([n for _, n in keys], pa.string()), pa.array([best[k] for k in keys], pa.float64())], names=["doc_id", "license", "containment"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, license string, containment double")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, license string, containment double")
