@@ -2,13 +2,14 @@
 
 Items are small sets of five-word shingles, documents are large ones, so the
 Jaccard similarity of a pair says little and the containment of the item does.
-Items are partitioned by set size.  Each partition has its own sketch, the
-``SKETCH`` least shingle hashes of an item, and its own least number of sketch
-hashes that a document must hold: five standard deviations below what the
-wanted containment gives for that sketch size, so that a contaminated document
-fails with a chance below one in a million.  Small items whose sketch is their
-whole set lose nothing at all.  A document is probed with all its shingles, so
-its length does not weaken the search.  Candidates are then verified: the share
+Items are partitioned by set size, sizes doubling from class to class.  Each
+class has its own sketch, the ``SKETCH`` times class number least shingle hashes
+of an item, and its own least number of sketch hashes that a document must hold:
+five standard deviations below what the wanted containment gives for that sketch
+length, so that a contaminated document fails with a chance below one in a
+million.  Classes up to 32 shingles keep whole sets and lose nothing at all.  A
+document is probed with all its shingles, so its length does not weaken the
+search, and only for the classes whose items it is large enough to hold.  Candidates are then verified: the share
 of the item's distinct shingles, compared as strings, that the whole document
 holds.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .store import Scratch, by_ids
 
-WIDTH, CONTAINMENT, SKETCH = 5, 0.8, 24
+WIDTH, CONTAINMENT, SKETCH = 5, 0.8, 8
 #: Sketch rows that are broadcast at most, about 40 MB; sets: shingle rows with their strings.
 BROADCAST_SKETCHES, BROADCAST_SHINGLES = 500_000, 200_000
 
@@ -48,17 +49,20 @@ def _positions(rows: DataFrame, tokens: str, width: int) -> DataFrame:
 
 
 def item_sketches(items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, sketch: int = SKETCH) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, text) as shingles (item_id, shingle, n_item) and sketches (item_id, size_class, hash, least_hits)."""
+    """Items (item_id, text) as shingles (item_id, shingle, n_item) and sketches (item_id, size_class, least_size, hash, least_hits)."""
     tokens = items.select("item_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"), words(F.col("text")).alias("words"))
     every = _positions(tokens, "words", width).select("item_id", _shingle("words", width).alias("shingle"), _hash("hashes", width).alias("hash")).distinct()
     per_item = Window.partitionBy("item_id")
     counted = every.withColumn("n_item", F.count("*").over(per_item)).withColumn("rank", F.row_number().over(per_item.orderBy("hash", "shingle")))
-    # sizes double from class to class; a class of small sets keeps them whole
-    k = F.least("n_item", F.lit(sketch))
-    least = F.greatest(F.lit(1), F.floor(k * containment - 5 * F.sqrt(k * containment * (1 - containment))))
     shingles = counted.select("item_id", "shingle", "n_item")
-    sketches = counted.where(F.col("rank") <= sketch).select(
-        "item_id", F.ceil(F.log2("n_item")).cast("int").alias("size_class"), "hash", F.when(F.col("n_item") <= sketch, F.ceil(k * containment)).otherwise(least).cast("long").alias("least_hits")
+    # class c holds the sizes above 2**(c - 1) and up to 2**c; the first one 1 and 2
+    classed = counted.withColumn("size_class", F.greatest(F.lit(1), F.ceil(F.log2("n_item")).cast("int")))
+    length = sketch * F.col("size_class")
+    k = F.least("n_item", length)
+    least = F.greatest(F.lit(1), F.floor(k * containment - 5 * F.sqrt(k * containment * (1 - containment))))
+    smallest = F.when(F.col("size_class") == 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.col("size_class") - 1) + 1)
+    sketches = classed.where(F.col("rank") <= length).select(
+        "item_id", "size_class", F.ceil(smallest * containment).cast("int").alias("least_size"), "hash", F.when(F.col("n_item") <= length, F.ceil(k * containment)).otherwise(least).cast("long").alias("least_hits")
     )
     return shingles, sketches
 
@@ -79,7 +83,8 @@ def contaminated(
     letters and digits), n_shared those that the document holds anywhere.
     Items of fewer than five words have no shingle and match nothing; null and
     empty texts likewise; rows with a null id are left out.  Repeated rows count
-    once: pairs are distinct, and rows that share an id count as one text.  An
+    once: pairs are distinct, and rows that share an id count as one text.  Of
+    items that share an id the shingles count as one item's.  An
     empty table on either side gives an empty result.  Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
@@ -88,17 +93,16 @@ def contaminated(
     shingles, sketches = item_sketches(items, width, containment)
     shingles, sketches = scratch.table(shingles, "shingles"), scratch.table(sketches, "sketches")
 
-    probes = sketches.groupBy("hash").agg(F.collect_list(F.struct("item_id", "size_class", "least_hits")).alias("items"))
-    if sketches.count() <= BROADCAST_SKETCHES:
-        probes = F.broadcast(probes)
+    probes = F.broadcast(sketches) if sketches.count() <= BROADCAST_SKETCHES else sketches
     tokens = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     hits = (
         _positions(tokens, "hashes", width)
-        .select("doc_id", _hash("hashes", width).alias("hash"))
+        .select("doc_id", (F.size("hashes") - width + 1).alias("places"), _hash("hashes", width).alias("hash"))
         .join(probes, "hash")
-        .distinct()
-        .select("doc_id", F.explode("items").alias("i"))
-        .groupBy("doc_id", "i.item_id", "i.size_class", "i.least_hits")
+        .where("places >= least_size")
+        .groupBy("doc_id", "item_id", "size_class", "least_hits", "hash")
+        .agg(F.lit(1).alias("held"))
+        .groupBy("doc_id", "item_id", "size_class", "least_hits")
         .agg(F.count("*").alias("hits"))
     )
     pairs = scratch.table(hits.where("hits >= least_hits").select("doc_id", "item_id"), "pairs")
@@ -120,7 +124,7 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents in ``leaks``; all columns stay, null ids too."""
+    """``docs`` without the documents in ``leaks``; all columns stay, null ids too; null ids in ``leaks`` take nothing away."""
     scratch = Scratch(docs.sparkSession, "clean")
     ids = scratch.table(leaks.select(F.col("doc_id").alias(id_col)).distinct(), "ids")
     return by_ids(docs, ids, "left_anti")
