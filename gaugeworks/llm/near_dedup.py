@@ -19,10 +19,11 @@ Plan
    ``least - |h| + max(lost by u, lost by y)`` shingles that both added to h,
    where ``least`` is the intersection that the threshold asks of |u| and |y|.
    Where that number is not positive, they share an added one or one that both
-   lost.  So the rays' differences from their hub are indexed, and rays that
-   share enough of them are compared on full sets.  Differences are rare where
-   copies were changed at random, so no pairs of a group are listed for being
-   in one group, and no link between bucket members is lost to the star shape.
+   lost.  So the rays' differences from their hub are indexed, each ray under as many
+   of its rarest ones as it takes to meet every ray that it may link with, and
+   pairs that meet are compared by what they lost and added, which tells their
+   full intersection.  No pairs of a group are listed for being in one group,
+   and no link between bucket members is lost to the star shape.
 
 Components come from ``components``; nothing but emptiness checks reaches the driver.
 """
@@ -31,12 +32,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import mapped
 from .components import components
 from .store import Scratch, by_ids
 from .words import Words, distinct_sorted, mix, odd_constants, slices
@@ -45,6 +48,12 @@ BANDS, ROWS, WIDTH, PERCENT = 32, 6, 5, 85
 _SEED = 20240311
 
 
+@lru_cache(4)
+def _permutations(bins: int) -> np.ndarray:
+    """For each bin its own fixed permutation of all bins."""
+    return np.argsort(np.random.default_rng(_SEED).random((bins, bins)), axis=1)
+
+
 def densified(values: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
     """One row of ``bins`` minima for each set of sorted distinct hashes; no set is empty.
 
@@ -59,7 +68,7 @@ def densified(values: np.ndarray, rows: np.ndarray, bins: int) -> np.ndarray:
     flat, filled = np.zeros(n * bins, dtype=np.uint64), np.zeros(n * bins, dtype=bool)
     flat[place[first]] = values[first]
     filled[place[first]] = True
-    order = np.argsort(np.random.default_rng(_SEED).random((bins, bins)), axis=1)
+    order = _permutations(bins)
     empty = np.flatnonzero(~filled)
     row, col = (empty // bins) * bins, empty % bins
     for attempt in range(bins):
@@ -85,6 +94,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
 
+def _set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128-bit keys of sorted sets, 0 of empty ones."""
+    key = np.zeros((len(at) - 1, 2), dtype=np.int64)
+    for i in np.flatnonzero(np.diff(at)):
+        key[i] = np.frombuffer(hashlib.blake2b(values[at[i] : at[i + 1]].tobytes(), digest_size=16).digest(), dtype=np.int64)
+    return key
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, bands): set size, 128-bit key of the set and bucket keys."""
 
@@ -93,9 +110,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
             for part in slices(whole, "text"):
                 values, at = distinct_sorted(*Words(part.column("text")).shingles(width))
                 n = np.diff(at)
-                key = np.zeros((len(n), 2), dtype=np.int64)
-                for i in np.flatnonzero(n):
-                    key[i] = np.frombuffer(hashlib.blake2b(values[at[i] : at[i + 1]].tobytes(), digest_size=16).digest(), dtype=np.int64)
+                key = _set_keys(values, at)
                 some = np.flatnonzero(n)
                 keys = band_keys(densified(values, np.concatenate([[0], np.cumsum(n[some])]), bands * rows), bands, rows)
                 ends = np.zeros(len(n) + 1, dtype=np.int32)
@@ -105,55 +120,79 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                     names=["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return mapped(_texts(docs, id_col, text_col), run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, items): each document's distinct shingle hashes; docs has doc_id and text."""
+    """(doc_id, k1, k2, items): each document's distinct shingle hashes and their key; docs has doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
                 values, at = distinct_sorted(*Words(part.column("text")).shingles(width))
                 items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), items], names=["doc_id", "items"])
+                key = _set_keys(values, at)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[:, 0]), pa.array(key[:, 1]), items], names=["doc_id", "k1", "k2", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, items array<long>")
 
 
 def _rays(compared: DataFrame, comp: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of rays of one star that may link and are not connected yet."""
+    """(a, b): links between rays of one star that are not connected yet.
+
+    A ray is what it lost and what it added to the hub, so the intersection of
+    two rays follows from their differences, without their full sets.  For a link
+    two rays must share a number of added (or else of lost) items; each ray is
+    listed under its rarest items only, as many as make sure that a pair with
+    enough in common meets under one of them, so an item that many rays added (a
+    footer, say) pairs none for its own sake.
+    """
     groups = scratch.table(
         compared.groupBy("hub").agg(F.count("*").alias("rays"), F.count_if(~F.col("link")).alias("apart")).where("rays > 1 and apart > 0").select("hub"), "groups"
     )
     rays = compared.join(groups, "hub", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     rays = scratch.table(rays.withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id"), "rays")
+    few, many = F.least("u.n", "y.n"), F.greatest("u.n", "y.n")
+    least = F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent))
 
     def meeting(kind: str) -> DataFrame:
-        items = rays.select(
-            "hub", "hub_n", F.explode(kind).alias("item"), F.struct("rep", "n", "link", "comp", F.size("lost").alias("lost"), F.size("added").alias("added")).alias("r")
-        )
+        # no partner asks less of a ray than one of the least size that may link with it
+        asked = F.ceil(F.col("n") * percent / 100) - F.col("hub_n") + F.size("lost")
+        if kind == "lost":
+            asked = F.lit(1)  # sharing one is all that is known
+        facts = F.struct("rep", "n", "link", "comp", F.size("lost").alias("lost"), F.size("added").alias("added"))
+        items = rays.select("hub", "hub_n", F.explode(kind).alias("item"), facts.alias("r"), asked.alias("asked"))
         common = items.groupBy("hub", "item").agg(F.count("*").alias("rays"), F.count_if(~F.col("r.link")).alias("apart")).where("rays > 1 and apart > 0")
-        items = scratch.table(items.join(scratch.table(common.select("hub", "item"), "common"), ["hub", "item"], "left_semi"), kind)
-        u, y = items.where("not r.link").withColumnRenamed("r", "u"), items.drop("hub_n").withColumnRenamed("r", "y")
-        least = F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent))
+        listed = items.join(scratch.table(common.select("hub", "item", "rays"), "common"), ["hub", "item"])
+        mine = Window.partitionBy("hub", "r.rep")
+        ranked = listed.withColumn("held", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("rays", "item")))
+        kept = scratch.table(ranked.where(F.col("rank") <= F.col("held") - F.greatest("asked", F.lit(1)) + 1).select("hub", "hub_n", "item", "r"), kind)
+        u, y = kept.where("not r.link").withColumnRenamed("r", "u"), kept.drop("hub_n").withColumnRenamed("r", "y")
         need = least - F.col("hub_n") + F.greatest("u.lost", "y.lost")
-        may = (F.col("u.comp") != F.col("y.comp")) & (F.col("y.link") | (F.col("u.rep") < F.col("y.rep"))) & (100 * F.least("u.n", "y.n") >= percent * F.greatest("u.n", "y.n"))
-        if kind == "lost":
+        may = (F.col("u.comp") != F.col("y.comp")) & (F.col("y.link") | (F.col("u.rep") < F.col("y.rep"))) & (100 * few >= percent * many)
+        if kind == "lost":  # where no added item need be shared
             may &= need <= 0
             need = least - F.col("hub_n") + F.col("u.lost") + F.col("y.lost") - F.least("u.added", "y.added")
         may &= need <= F.least(f"u.{kind}", f"y.{kind}")  # neither has more to share
-        return (
-            u.join(y, ["hub", "item"])
-            .where(may)
-            .select("hub", F.least("u.rep", "y.rep").alias("a"), F.greatest("u.rep", "y.rep").alias("b"), need.alias("need"))
-            .groupBy("hub", "a", "b", "need")
-            .agg(F.count("*").alias("shared"))
-            .where("shared >= need")
-            .select("a", "b")
-        )
+        return u.join(y, ["hub", "item"]).where(may).select("hub", F.col("u.rep").alias("a"), F.col("y.rep").alias("b"))
+
+    pairs = scratch.table(meeting("added").unionByName(meeting("lost")).distinct(), "pairs")
+    x = rays.select("hub", "hub_n", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("lost").alias("al"), F.col("added").alias("aa"))
+    z = rays.select("hub", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("lost").alias("bl"), F.col("added").alias("ba"))
+    shared = F.col("hub_n") - F.size(F.array_union("al", "bl")) + F.size(F.array_intersect("aa", "ba"))
+    both = pairs.join(x, ["hub", "a"]).join(z, ["hub", "b"]).where((100 + percent) * shared >= percent * (F.col("an") + F.col("bn")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    return meeting("added").unionByName(meeting("lost")).distinct()
+
+def _one_set(sk: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Sketches with one set an id; where ids have several, the rows as they were given come second."""
+    ends = F.struct("n_shingles", "k1", "k2")
+    several = scratch.table(sk.groupBy("doc_id").agg(F.min(ends).alias("least"), F.max(ends).alias("most")).where("least <> most").select("doc_id", "least.*"), "several")
+    if several.isEmpty():
+        return sk, None
+    rest = by_ids(sk, several.select("doc_id"), "left_anti")
+    one = sk.join(several, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    return scratch.table(rest.unionByName(one), "sketches"), sk.select("doc_id")
 
 
 def near_duplicates(
@@ -173,13 +212,16 @@ def near_duplicates(
     and are kept.  Texts of fewer than five words have one shingle, their whole
     word sequence.  Equal sets share a ``class_id``, the least id among them.
     Rows with a null id are no documents and are left out; repeated rows come
-    back as often as they were given.  An empty table gives an empty result, and
-    other columns of ``docs`` are not read.  With ``links_too`` the confirmed
+    back as often as they were given.  Rows that share an id but not the text are
+    one document under that id, and the one of the least set key is its text; all
+    of them come back with that document's values.  An empty table gives an empty
+    result, and other columns of ``docs`` are not read.  With ``links_too`` the confirmed
     links between classes, (a, b), come second.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     sk = scratch.table(sketches(docs, id_col, text_col, bands, rows, width), "sketches")
+    sk, given = _one_set(sk, scratch)
     classes = scratch.table(
         sk.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
     )
@@ -196,7 +238,8 @@ def near_duplicates(
         "hubs",
     )
     texts = by_ids(_texts(docs, id_col, text_col), fame.select(F.col("rep").alias("doc_id")), "left_semi")
-    sets = scratch.table(shingle_sets(texts, width).dropDuplicates(["doc_id"]), "sets")
+    chosen = classes.select("k1", "k2", F.col("rep").alias("doc_id"))
+    sets = scratch.table(shingle_sets(texts, width).join(chosen, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items"), "sets")
     star = scratch.table(
         members.join(hubs, "key").where("rep <> hub").select("hub", "hub_n", "rep", "n").distinct(), "star"
     )
@@ -210,16 +253,8 @@ def near_duplicates(
     )
     links = compared.where("link").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     comp = components(links, scratch)
-    pairs = scratch.table(_rays(compared, comp, percent, scratch), "pairs")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = scratch.table(
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-        .where(100 * shared >= percent * (F.size("x") + F.size("y") - shared))
-        .select("a", "b"),
-        "found",
-    )
-    scratch.drop(star, pairs, sets)
+    found = scratch.table(_rays(compared, comp, percent, scratch), "found")
+    scratch.drop(star, sets)
     if not found.isEmpty():
         links = links.unionByName(found)
         comp = components(links, scratch)
@@ -232,6 +267,6 @@ def near_duplicates(
         (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"),
         F.coalesce("rep", "doc_id").alias("class_id"),
     )
-    if links_too:
-        return out, links
-    return out
+    if given is not None:
+        out = given.join(out.dropDuplicates(["doc_id"]), "doc_id")
+    return (out, links) if links_too else out
