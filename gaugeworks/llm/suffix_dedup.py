@@ -6,15 +6,25 @@ Plan
    GRAM + 1`` consecutive word grams the one of least hash (leftmost of equals)
    is a minimiser, and the suffix that begins there is retained.  Both copies of
    a repeated passage of ``LENGTH`` words retain the same suffix inside it.
-2. The retained suffixes are sorted by their leading gram, range-partitioned
-   over (gram, document, place), so that even a gram found everywhere is spread
-   over tasks.  Each suffix is compared with its neighbours; the rows at
-   partition borders, two a partition, are compared in a second small step.
-3. Where neighbours agree, the match is extended left and right: every window of
-   ``LENGTH`` words around the agreeing place is looked up, and overlapping
-   windows that occur twice make up maximal spans.  The windows decide, so the
-   result is exact: a word is in a span if and only if it lies in a passage of
-   ``LENGTH`` words that occurs at two places.
+2. The retained suffixes are sorted by their leading gram, which stands as one
+   symbol in front of the words that follow it.  Suffixes whose gram no
+   neighbour shares can't match and go; the others are given their context, the
+   ``LENGTH - GRAM`` words after the gram and those before it.
+3. They are sorted by gram and the words that follow, word by word, and each is
+   compared with its two neighbours: the longer common prefix is as far as it
+   matches any suffix to the right.  Sorted by gram and the words before, read
+   backwards, the same comparison tells how far it matches to the left.
+   Suffixes that reach fewer than ``LENGTH`` words in both directions go.
+4. The windows of ``LENGTH`` words within a suffix's reach are looked up: one
+   neighbour may match further right and another further left, and a passage's
+   first place may be in neither.  Windows that occur twice make up the maximal
+   spans, so the result is exact: a word is in a span if and only if it lies in
+   a passage of ``LENGTH`` words that occurs at two places.
+
+All sorts are range partitions over (gram, words, document, place), so that even
+a gram found everywhere is spread over tasks.  The first and the last row of a
+partition have a neighbour elsewhere; they count as agreeing with it as far as
+possible, two rows a partition, and step 4 decides.
 
 Documents with the same word sequence are one class before that, and only the
 one of least id takes part; the others are copies of it as a whole.
@@ -23,18 +33,20 @@ one of least id takes part; the others are copies of it as a whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch, by_ids
+from .arrow import mapped
+from .store import Scratch, by_ids, one_text
 from .words import Words, slices, utf8
 
 LENGTH, GRAM = 50, 20
 _PLACE = np.uint64((1 << 24) - 1)
+_REACH = "doc_id long, place int, reach int"
 
 
 def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -91,41 +103,88 @@ def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     names=["doc_id", "n_words", "k1", "k2", "grams", "places"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, k1 long, k2 long, grams array<long>, places array<int>")
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes those that agree with a neighbour, and the partition's border rows."""
-    held: list[np.ndarray] | None = None
-    first = True
+    return mapped(docs, run, "doc_id long, n_words long, k1 long, k2 long, grams array<long>, places array<int>")
 
-    def out(gram, doc, place, agrees, border):
-        keep = agrees | border
-        arrays = [gram[keep], doc[keep], place[keep], agrees[keep], border[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["gram", "doc_id", "place", "agrees", "border"])
 
+def _sorted_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], bool, bool]]:
+    """Columns of the batches, each batch led by the last two rows before it; whether it begins and ends the partition."""
+    held, ahead = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("gram", "doc_id", "place")]
-        carried = held is not None
-        if carried:
-            now = [np.concatenate([a, b]) for a, b in zip(held[:3], now, strict=True)]
-        same = now[0][1:] == now[0][:-1]
-        agrees = np.zeros(len(now[0]), dtype=bool)
-        agrees[1:] |= same
-        agrees[:-1] |= same
-        if carried:
-            agrees[0] |= held[3]
-        border = np.zeros(len(agrees), dtype=bool)
-        border[0] = first
-        # the last row waits for its successor
-        if len(agrees) > 1:
-            yield out(*(x[:-1] for x in now), agrees[:-1], border[:-1])
-            first = False
-        held = [*(x[-1:] for x in now), agrees[-1]]
-    if held is not None:
-        yield out(*held[:3], np.array([held[3]]), np.array([True]))
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns]
+        if ahead is not None and len(ahead[0]) > 1:
+            yield ahead, held is None, False
+            held = [x[-2:] for x in ahead]
+        ahead = now if ahead is None else [np.concatenate([x[-2:], y]) for x, y in zip(ahead, now, strict=True)]
+    if ahead is not None:
+        yield ahead, held is None, True
+
+
+def _judged(width: int, columns: tuple[str, ...], common) -> Callable:
+    """Sorted rows as (doc_id, place, reach): the larger common prefix with either neighbour, ``width`` at a partition's ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins, ends in _sorted_runs(batches, columns):
+            n = len(rows[0])
+            pair = common(rows)  # of each row with its successor
+            reach = np.zeros(n, dtype=np.int64)
+            reach[1:] = pair
+            reach[:-1] = np.maximum(reach[:-1], pair)
+            if begins:
+                reach[0] = width
+            if ends:
+                reach[-1] = width
+            # led rows: the first is only a neighbour, the last waits for its successor
+            take = slice(0 if begins else min(1, n - 1), n if ends else n - 1)
+            doc, place = (rows[columns.index(k)][take] for k in ("doc_id", "place"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(reach[take].astype(np.int32))], names=["doc_id", "place", "reach"])
+
+    return run
+
+
+def _same_gram(rows: list[np.ndarray]) -> np.ndarray:
+    return (rows[0][1:] == rows[0][:-1]).astype(np.int64)
+
+
+def _common_words(rows: list[np.ndarray]) -> np.ndarray:
+    """Words that each row's context shares with its successor's from its start; none across grams."""
+    width = len(rows[1][0]) // 2
+    words = np.frombuffer(b"".join(rows[1]), dtype=">u2").reshape(-1, width)
+    alike = (words[1:] == words[:-1]) & (words[1:] != 0)
+    return np.where(rows[0][1:] == rows[0][:-1], np.where(alike.all(axis=1), width, (~alike).argmax(axis=1)), 0)
+
+
+def _contexts(length: int, gram: int):
+    """The retained suffixes of (doc_id, text, places) with the words after and, backwards, before their gram.
+
+    A word is two bytes of its hash, 0 beyond the text: contexts of equal words
+    are equal, and a chance agreement of others only makes more to look up.
+    """
+    width = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                words = Words(part.column("text"))
+                hashes, rows = words.grams(gram)
+                places = part.column("places")
+                found = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+                short = np.maximum(words.hashes & np.uint64(0xFFFF), 1).astype(">u2")
+                short = np.concatenate([short, np.zeros(1, ">u2")])
+                first, last = words.rows[:-1][of], words.rows[1:][of]
+                after = (first + found + gram)[:, None] + np.arange(width)
+                before = (first + found - 1)[:, None] - np.arange(width)
+                after = short[np.where(after < last[:, None], after, -1)]
+                before = short[np.where(before >= first[:, None], before, -1)]
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                kind = pa.binary(2 * width)
+                sides = [pa.FixedSizeBinaryArray.from_buffers(kind, len(found), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (after, before)]
+                arrays = [pa.array(hashes[rows[of] + found].view(np.int64)), pa.array(ids[of]), pa.array(found.astype(np.int32)), *sides]
+                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "doc_id", "place", "after", "before"])
+
+    return run
 
 
 def _windows(length: int, gram: int):
@@ -136,11 +195,11 @@ def _windows(length: int, gram: int):
                 hashes, rows = words.grams(length)
                 n = np.diff(rows)
                 places = part.column("places")
-                found = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                found, left, right = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in places.flatten().flatten())
                 of = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-                # windows that hold the gram at an agreeing place
+                # windows that lie within the reach of a suffix
                 mark = np.zeros(len(hashes) + 1, dtype=np.int64)
-                lo, hi = np.maximum(found - (length - gram), 0), np.minimum(found + 1, n[of])
+                lo, hi = np.maximum(found - left, 0), np.minimum(found + gram + right - length + 1, n[of])
                 some = lo < hi
                 np.add.at(mark, rows[of[some]] + lo[some], 1)
                 np.add.at(mark, rows[of[some]] + hi[some], -1)
@@ -164,33 +223,42 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with ``removed`` true; ``first_doc_id`` is the least document that such a
     span repeats.  Passages that overlap their own first place lose only the
     part beyond it.  Texts that are null, empty or shorter than ``length`` words
-    have no spans; rows with a null id are left out; rows that share an id count
-    as one text, the one of the least key.  Other columns are not read.
+    have no spans; rows with a null id are left out; rows that share an id,
+    repeated ones too, are one text, the least of them.  An empty table gives an
+    empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    texts = one_text(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"), scratch)
     kept = scratch.table(suffixes(texts, length, gram), "suffixes")
     long = kept.where(F.col("n_words") >= length)
-    classes = scratch.table(long.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n")), "classes")
+    classes = scratch.table(long.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     spread = (
         long.join(classes.select("k1", "k2", "n_words", F.col("rep").alias("doc_id")), ["k1", "k2", "n_words", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id"])
         .select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("s"))
         .select(F.col("s.grams").alias("gram"), "doc_id", F.col("s.places").alias("place"))
     )
     array = scratch.table(spread, "spread")
-    ordered = array.repartitionByRange("gram", "doc_id", "place").sortWithinPartitions("gram", "doc_id", "place")
-    near = scratch.table(ordered.mapInArrow(_neighbours, "gram long, doc_id long, place int, agrees boolean, border boolean"), "near")
+
+    def reaches(rows: DataFrame, order: tuple[str, ...], width: int, common) -> DataFrame:
+        return mapped(rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order), _judged(width, order, common), _REACH)
+
+    def of_documents(found: DataFrame, value: Column) -> DataFrame:
+        places = scratch.table(found.groupBy("doc_id").agg(F.collect_list(value).alias("places")), "places")
+        return by_ids(texts, places.select("doc_id"), "left_semi").join(places, "doc_id")
+
+    agreeing = scratch.table(reaches(array, ("gram", "doc_id", "place"), 1, _same_gram).where("reach > 0"), "agreeing")
     scratch.drop(array)
-    borders = near.where("border").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    agreeing = near.where("agrees").select("doc_id", "place").unionByName(
-        near.where("border and not agrees").join(borders, "gram", "left_semi").select("doc_id", "place")
-    )
-    places = scratch.table(agreeing.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
-    scratch.drop(near)
-    some = by_ids(texts, places.select("doc_id"), "left_semi").join(places, "doc_id")
-    windows = scratch.table(some.mapInArrow(_windows(length, gram), "window long, doc_id long, place int"), "windows")
+    context = mapped(of_documents(agreeing, F.col("place")), _contexts(length, gram), "gram long, doc_id long, place int, after binary, before binary")
+    context = scratch.table(context, "context")
+    scratch.drop(agreeing)
+    right, left = (reaches(context, ("gram", side, "doc_id", "place"), length - gram, _common_words) for side in ("after", "before"))
+    none = F.lit(None).cast("int")
+    both = right.select("doc_id", "place", F.col("reach").alias("right"), none.alias("left")).unionByName(left.select("doc_id", "place", none.alias("right"), F.col("reach").alias("left")))
+    both = both.groupBy("doc_id", "place").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") + gram + F.col("right") >= length)
+    both = scratch.table(both, "reaches")
+    scratch.drop(context)
+    some = of_documents(both, F.struct("place", "left", "right"))
+    windows = scratch.table(mapped(some, _windows(length, gram), "window long, doc_id long, place int"), "windows")
     twice = scratch.table(
         windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("f")).where("n > 1").select("window", F.col("f.doc_id").alias("first_doc"), F.col("f.place").alias("first_place")),
         "twice",
@@ -261,4 +329,4 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     ids = cuts.select(id_col)
     rest = by_ids(docs, ids, "left_anti")
     changed = by_ids(docs, ids, "left_semi").join(cuts, id_col).select(*docs.columns, "__cuts")
-    return rest.unionByName(changed.mapInArrow(_cut(text_col), docs.schema))
+    return rest.unionByName(mapped(changed, _cut(text_col), docs.schema))
