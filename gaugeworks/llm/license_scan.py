@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mapped
+from .license_texts import TEXTS
 from .words import Words, odd_constants, slices, utf8
 
 WIDTH, CONTAINMENT, MISS = 5, 0.8, 1e-6
@@ -69,9 +70,9 @@ NOTICES = {
 
 
 def templates() -> list[tuple[str, str]]:
-    """(license, text) of the built-in templates: each phrase with each name, then the notices."""
+    """(license, text) of the built-in templates: each phrase with each name, the notices, whole texts of short licenses."""
     out = [(k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES]
-    return out + [(k, t) for k, texts in NOTICES.items() for t in texts]
+    return out + [(k, t) for known in (NOTICES, TEXTS) for k, texts in known.items() for t in texts]
 
 
 _SPLIT = np.arange(256, dtype=np.uint8)
@@ -174,14 +175,14 @@ def _matches(hashes: np.ndarray, rows: np.ndarray, found: list[SizeClass], sets:
 
 
 def _named(best: dict[tuple[int, int], tuple[float, np.ndarray]], names: list[str]) -> dict[tuple[int, str], float]:
-    """Best share of each (row, license), without those that a better match of another license explains."""
+    """Best share of each (row, license), without those whose found shingles another license explains, by more of them or by a better match."""
     out: dict[tuple[int, str], float] = {}
     by_row: dict[int, list[tuple[int, float, np.ndarray]]] = {}
     for (row, m), (share, there) in best.items():
         by_row.setdefault(row, []).append((m, share, there))
     for row, found in by_row.items():
         for m, share, there in found:
-            if not any(names[o] != names[m] and s > share and np.isin(there, t).all() for o, s, t in found):
+            if not any(names[o] != names[m] and (len(t) > len(there) or s > share) and np.isin(there, t).all() for o, s, t in found):
                 out[row, names[m]] = max(out.get((row, names[m]), 0.0), share)
     return out
 
@@ -199,11 +200,13 @@ def licenses(
     ``known`` lists (license, template text); the built-in ones by default.  A
     license is found when ``containment`` or more of the distinct shingles of one
     of its templates stand close together in the text; the best share is given.
-    Where all that was found of a template belongs to a better match of another
-    license (a neighbouring version's statement, say), only that one is given.
+    Where all that was found of a template belongs to a longer or better match of
+    another license (a neighbouring version's statement, say, or a text with one
+    clause more), only that one is given.
     Templates of fewer than five words have no shingles and are never found, nor
     is anything in null, empty or shorter texts.  Rows with a null id are
-    scanned; repeated rows are found each.  Other columns are not read.
+    scanned; repeated rows are found each.  An empty table gives an empty result;
+    other columns are not read.
     """
     named = known if known is not None else templates()
     texts = pa.array([t for _, t in named], pa.string())
