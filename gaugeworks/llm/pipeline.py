@@ -16,7 +16,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those in no learned language, go; rows without an id stay."""
+    """Documents without a letter, and those in no learned language, go; rows without an id stay.
+
+    ``docs`` must have the column ``lang``, from which the classifier learns.
+    """
     scratch = Scratch(spark, "stage1")
     found = langid.identified(docs, langid.train(docs))
     rejected = scratch.table(found.where(F.col("lang_pred") == "und").select("doc_id").where("doc_id is not null").distinct(), "rejected")
@@ -24,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays."""
+    """Of each group of near duplicates the document of least id stays; rows that share its id stay with it."""
     scratch = Scratch(spark, "stage2")
     gone = scratch.table(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return by_ids(docs, gone, "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, packing, suffix_dedup, token_files, toxicity, warc
+from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+        "op5_suffix_array_dedup": oracles.REPEATED_SPANS,
+        "op6_warc": oracles.ARCHIVES,
+        "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
+    }
