@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Abbreviations that names spell both ways.
+#: Abbreviations that names spell both ways.
 SHORT = {"dept": "department", "twp": "township", "co": "county", "univ": "university", "hosp": "hospital", "assn": "association", "dist": "district", "st": "saint", "ft": "fort", "mt": "mount", "ctr": "center", "auth": "authority"}
 STOP = ["the", "of", "and", "for", "in", "a", "an"]
 
@@ -21,11 +21,21 @@ def words(text: Column) -> Column:
 
 
 def normalized(name: Column, short: dict[str, str] = SHORT) -> Column:
-    """Lower-cased words with abbreviations spelled out and immediate repeats removed."""
+    """Lower-cased words with abbreviations spelled out, immediate repeats and a repeated ending of 3, 2 or 1 words removed."""
     table = F.create_map(*(F.lit(v) for p in short.items() for v in p))
     spelled = F.transform(words(name), lambda w: F.coalesce(F.element_at(table, w), w))
     once = F.filter(spelled, lambda w, i: (i == 0) | (w != F.coalesce(F.get(spelled, i - 1), F.lit(""))))
-    return F.array_join(once, " ")
+    return F.array_join(without_repeated_ending(once), " ")
+
+
+def without_repeated_ending(tokens: Column, longest: int = 3) -> Column:
+    """Tokens without a last run of ``longest`` tokens, then of fewer, that repeats the run just before it."""
+    for k in range(longest, 0, -1):
+        n = F.size(tokens)
+        start = F.greatest(n - 2 * k + 1, F.lit(1))
+        twice = (n >= 2 * k) & (F.slice(tokens, start, k) == F.slice(tokens, F.greatest(n - k + 1, F.lit(1)), k))
+        tokens = F.when(twice, F.slice(tokens, F.lit(1), F.greatest(n - k, F.lit(0)))).otherwise(tokens)
+    return tokens
 
 
 def stems(text: Column) -> Column:

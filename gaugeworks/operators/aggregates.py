@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.classify import band
+from gaugeworks.operators.ranges import running
 
 
 def exact_sum(x: Column | str) -> Column:
@@ -29,28 +30,44 @@ def grouping_sets(rows: DataFrame, sets: Sequence[Sequence[str]], *aggs: Column)
 
 
 def percentiles(rows: DataFrame, group: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation; nulls are dropped."""
-    return rows.groupBy(*group).agg(F.count(value).alias("n"), *(F.percentile(value, p).alias(k) for k, p in at.items()))
+    """Exact percentiles with linear interpolation; nulls are dropped, a group of nulls alone has null percentiles.
+
+    Values are counted first and ranked by ranges, so no task holds a group's values.
+    """
+    v = F.col(value).cast("double")
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count("*").alias("_c"))
+    sizes = rows.groupBy(*group).agg(F.count(value).alias("n"))
+    ranked = running(by_value, group, "_v", ["_c"]).join(sizes, list(group))
+
+    def at_rank(r: Column) -> Column:
+        return F.max(F.when((r < F.col("_c_upto")) & (r >= F.col("_c_upto") - F.col("_c")), F.col("_v")))
+
+    picks = []
+    for k, p in at.items():
+        place = (F.col("n") - 1) * F.lit(float(p))
+        picks += [at_rank(F.floor(place)).alias(f"_lo_{k}"), at_rank(F.ceil(place)).alias(f"_hi_{k}")]
+    found = ranked.groupBy(*group).agg(*picks)
+    between = [(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * ((F.col("n") - 1) * F.lit(float(p)) % 1)).alias(k) for k, p in at.items()]
+    return sizes.join(found, list(group), "left").select(*group, "n", *between)
 
 
 def upper_median(rows: DataFrame, group: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
-    """Middle value, the upper one of an even count; ranked in a window, so no list is gathered."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w))
+    """Middle value, the upper one of an even count; values are counted and ranked by ranges."""
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     sizes = rows.groupBy(*group).agg(F.count(value).alias("_n"))
-    return ranked.join(sizes, list(group)).where("_r = floor(_n / 2) + 1").select(*group, F.col(value).alias(name))
+    ranked = running(by_value, group, value, ["_c"]).join(sizes, list(group))
+    return ranked.where("floor(_n / 2) >= _c_upto - _c and floor(_n / 2) < _c_upto").select(*group, F.col(value).alias(name))
 
 
 def rank_auc(rows: DataFrame, value: str, label: str, group: Sequence[str] = ()) -> DataFrame:
     """Chance that a positive row exceeds a negative one, ties half; null without both classes.
 
-    Values are counted first, so the window runs over distinct values, and equal
-    values get their mean rank from the running count.
+    Values are counted first and ranked by ranges of values, so no task holds all
+    of them; equal values get their mean rank from the running count.
     """
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     by_value = rows.groupBy(*group, v.alias("_v")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_value.withColumn("_w", F.col("_p") * (2 * below + F.col("_n")))
+    wins = running(by_value, group, "_v", ["_n"]).withColumn("_w", F.col("_p") * (2 * F.col("_n_upto") - F.col("_n")))
     total = wins.groupBy(*group).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum("_w").alias("_w"))
     pairs = 2.0 * F.col("positives") * F.col("negatives")
     return total.select(*group, "positives", "negatives", F.when(pairs > 0, F.round(F.col("_w") / pairs, 6)).alias("auc"))
@@ -75,9 +92,9 @@ def top_per_group(rows: DataFrame, group: Sequence[str], item: str, amount: Colu
 
 def allocate(totals: DataFrame, weights: DataFrame, key: str, total: str, weight: str) -> DataFrame:
     """Each key's total over its weight rows in proportion, evenly where the weights sum to 0."""
-    w = Window.partitionBy(key)
-    share = F.when(F.sum(weight).over(w) > 0, F.col(weight) / F.sum(weight).over(w)).otherwise(1 / F.count("*").over(w))
-    return weights.join(totals, key).withColumn("allocated", F.col(total) * share)
+    whole = weights.groupBy(key).agg(F.sum(weight).alias("_whole"), F.count("*").alias("_parts"))
+    share = F.when(F.col("_whole") > 0, F.col(weight) / F.col("_whole")).otherwise(1 / F.col("_parts"))
+    return weights.join(totals, key).join(whole, key).withColumn("allocated", F.col(total) * share).drop("_whole", "_parts")
 
 
 def standardized(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ranges import checkpointed
+
 
 def cone(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
     """(root, node, depth): everything reachable along (src, dst) edges and the least number of steps.
@@ -19,14 +21,14 @@ def cone(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFr
     frontier = reached
     for depth in itertools.count(1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        fresh = step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).localCheckpoint()
+        fresh = checkpointed(step.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
         if limit is not None and depth > limit:
             raise ValueError(f"cones are deeper than {limit} steps")
         reached, frontier = reached.unionByName(fresh), fresh
         if depth % 8 == 0:
-            reached = reached.localCheckpoint()
+            reached = checkpointed(reached)
     return reached
 
 

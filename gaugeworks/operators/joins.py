@@ -1,7 +1,8 @@
 """Joins beyond the built-in ones.
 
-Every range condition goes with an equality, so Spark hashes on that key and a
-hot key is split by adaptive execution; no operator here builds a cross product.
+Every range condition goes with an equality on a key and on a stretch of days, so
+rows of one key meet only where their dates are near; a hot key is split by
+adaptive execution, and no operator here builds a cross product.
 """
 
 from __future__ import annotations
@@ -18,16 +19,27 @@ def keep_first(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> Da
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def overlap_first_match(left: DataFrame, right: DataFrame, on: Sequence[str], id_cols: Sequence[str], overlap: Column, prefer: Column, take: Sequence[str]) -> DataFrame:
-    """Left rows with the columns ``take`` of the preferred right row that overlaps them, null without one.
+def stretches(begin: Column, end: Column, days: int) -> Column:
+    """Numbers of the stretches of ``days`` days that an interval touches; none for an empty or null one."""
+    first, last = (F.floor(F.datediff(x, F.lit("1970-01-01").cast("date")) / days).cast("int") for x in (begin, end))
+    return F.when(first <= last, F.sequence(first, last))
 
-    The right side is aggregated to one struct for each left row before it comes
+
+def overlap_first_match(
+    left: DataFrame, right: DataFrame, on: Sequence[str], id_cols: Sequence[str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], prefer: Column, take: Sequence[str], days: int = 32
+) -> DataFrame:
+    """Left rows with the columns ``take`` of the preferred right row whose span overlaps theirs, null without one.
+
+    Spans are pairs of dates, both ends included.  Sides meet on the key and the
+    stretches of ``days`` days that their spans touch.  The right side is aggregated to one struct for each left row before it comes
     back: ``max_by`` combines partial results, so a left row with many matches
     never gathers them.
     """
+    near = left.select(*id_cols, *(c for c in on if c not in id_cols), left_span[0].alias("_l0"), left_span[1].alias("_l1")).withColumn("_stretch", F.explode(stretches(F.col("_l0"), F.col("_l1"), days)))
+    far = right.withColumns({"_r0": right_span[0], "_r1": right_span[1]}).withColumn("_stretch", F.explode(stretches(F.col("_r0"), F.col("_r1"), days)))
     best = (
-        left.join(right, list(on))
-        .where(overlap)
+        near.join(far, [*on, "_stretch"])
+        .where("_r0 <= _l1 and _r1 >= _l0")
         .groupBy(*id_cols)
         .agg(F.max_by(F.struct(*take), prefer).alias("_best"))
     )
@@ -47,10 +59,15 @@ def expand_and_split(rows: DataFrame, crosswalk: DataFrame, on: str, value: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, left_date: str, right_date: str, days: int, take: Sequence[str], tie: str) -> DataFrame:
-    """Left rows with the right row of nearest date within ``days`` either way; ties go to the least ``tie``."""
-    gap = F.abs(F.datediff(right_date, left_date))
+    """Left rows with the right row of nearest date within ``days`` either way; ties go to the least ``tie``.
+
+    Sides meet on the key and a stretch of days, two for each left row at most.
+    """
+    gap, width = F.abs(F.datediff(right_date, left_date)), 2 * days + 1
+    around = left.withColumn("_stretch", F.explode(stretches(F.date_sub(left_date, days), F.date_add(left_date, days), width)))
+    far = right.withColumn("_stretch", F.explode(stretches(F.col(right_date), F.col(right_date), width)))
     best = (
-        left.join(right, list(on))
+        around.join(far, [*on, "_stretch"])
         .where(gap <= days)
         .groupBy(left_id)
         .agg(F.min_by(F.struct(gap.alias("gap"), *take), F.struct(gap, F.col(tie))).alias("_best"))

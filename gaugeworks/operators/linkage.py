@@ -32,7 +32,7 @@ def merged(rows: DataFrame, key: str, name: str, amount: str, overrides: DataFra
     the alphabet.
     """
     if overrides is not None:
-        rows = rows.join(F.broadcast(overrides.select(F.col("name").alias(name), "target")), name, "left").withColumn(key, F.coalesce("target", key)).drop("target")
+        rows = rows.join(overrides.select(F.col("name").alias(name), "target"), name, "left").withColumn(key, F.coalesce("target", key)).drop("target")
     lower = F.length(F.regexp_replace(name, "[^a-z]", ""))
     per_name = rows.groupBy(key, name).agg(F.sum(F.col(amount).cast("decimal(18,2)")).alias("_a"), F.count("*").alias("_n"))
     order = F.struct(lower, F.col("_a"), -F.length(name))

@@ -53,7 +53,7 @@ def interval_overlap_first_match(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     left = events.where("event_type = 'purchase'").groupBy("user_id", _day("ts").alias("day")).agg(F.min("event_id").alias("event_id"))
     right = events.where("event_type = 'signup'").select("user_id", _day("ts").alias("seen"), F.col("event_id").alias("signup_id"))
-    out = joins.overlap_first_match(left, right, ["user_id"], ["user_id", "day"], F.col("seen").between(F.date_sub("day", 4), F.date_add("day", 1)), F.col("signup_id"), ["signup_id"])
+    out = joins.overlap_first_match(left, right, ["user_id"], ["user_id", "day"], (F.date_sub("day", 4), F.date_add("day", 1)), (F.col("seen"), F.col("seen")), F.col("signup_id"), ["signup_id"])
     return out.select("user_id", F.col("day").cast("string").alias("day"), "event_id", "signup_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import classify, names
 from gaugeworks.operators import aggregates, sinks
+from gaugeworks.operators.ranges import running
 from gaugeworks.sources.readers import table
 
 from .catalog import _day, query
@@ -50,8 +51,7 @@ def counts_at_least(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-19: rows and positives at or above every value, by a running count instead of a theta join."""
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
     by = rows.groupBy(F.col("n_chars").alias("at_least")).agg(F.count("*").alias("c"), F.count_if(F.col("toxic") == 1).alias("p"))
-    run = Window.orderBy(F.desc("at_least")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.select("at_least", F.sum("c").over(run).alias("n"), F.sum("p").over(run).alias("positives"))
+    return running(by, (), "at_least", ["c", "p"], descending=True).select("at_least", F.col("c_upto").alias("n"), F.col("p_upto").alias("positives"))
 
 
 @query("""

@@ -63,8 +63,8 @@ def declared(panel: DataFrame, incidents: DataFrame, before: int = 4, after: int
     overlaps when it begins by ``after`` days past the episode and ends no more
     than ``before`` days ahead of it.
     """
-    overlap = (F.col("incident_begin") <= F.date_add("end", after)) & (F.col("incident_end") >= F.date_sub("begin", before))
-    out = overlap_first_match(panel, incidents, ["fips"], ["fips", "episode"], overlap, F.col("dn"), ["dn", "cost"])
+    mine, theirs = (F.date_sub("begin", before), F.date_add("end", after)), (F.col("incident_begin"), F.col("incident_end"))
+    out = overlap_first_match(panel, incidents, ["fips"], ["fips", "episode"], mine, theirs, F.col("dn"), ["dn", "cost"])
     return out.withColumn("declared", F.col("dn").isNotNull().cast("int"))
 
 

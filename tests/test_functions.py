@@ -62,8 +62,8 @@ def test_interval_edge_after(spark, gap, dn):
     end = dt.date(2020, 5, 5)
     left = spark.createDataFrame([("a", 1, dt.date(2020, 5, 1), end)], "fips string, ep int, b date, e date")
     right = spark.createDataFrame([("a", 7, end + dt.timedelta(gap), end + dt.timedelta(90))], "fips string, dn int, ib date, ie date")
-    overlap = (F.col("ib") <= F.date_add("e", 10)) & (F.col("ie") >= F.date_sub("b", 4))
-    out = joins.overlap_first_match(left, right, ["fips"], ["fips", "ep"], overlap, F.col("dn"), ["dn"])
+    spans = (F.date_sub("b", 4), F.date_add("e", 10)), (F.col("ib"), F.col("ie"))
+    out = joins.overlap_first_match(left, right, ["fips"], ["fips", "ep"], *spans, F.col("dn"), ["dn"])
     assert out.first().dn == dn
 
 
