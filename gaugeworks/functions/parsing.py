@@ -77,3 +77,10 @@ def infer_year(month: Column, day: Column, seen_on: Column, grace_days: int = 0)
 def epoch_date(millis: Column) -> Column:
     """UTC date of epoch milliseconds."""
     return F.to_date(F.timestamp_millis(millis))
+
+
+def clock_label(x: Column) -> Column:
+    """``2:05 PM`` of ``14:05``; null for other text."""
+    hour, minute = (F.regexp_extract(x, r"^(\d{1,2}):(\d{2})$", k).try_cast("int") for k in (1, 2))
+    label = F.concat(((hour + 11) % 12 + 1).cast("string"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.when(hour < 12, " AM").otherwise(" PM"))
+    return F.when((hour < 24) & (minute < 60), label)

@@ -75,3 +75,16 @@ def header_array(rows: DataFrame, document: str = "document") -> DataFrame:
 def fresh_keys(wanted: DataFrame, landed: DataFrame, key: str) -> DataFrame:
     """Keys that were not landed yet: what a resumed pull still has to fetch."""
     return wanted.join(landed.select(key).distinct(), key, "left_anti")
+
+
+def gridded_days(rows: DataFrame, document: str = "document") -> DataFrame:
+    """(fips, day, mean, most) of JSON rows ``[day, {fips: mean}, {fips: most}]``; a county without a mean drops out."""
+    each = rows.select(F.explode(F.from_json(document, "array<array<string>>")).alias("r"))
+    maps = each.select(F.col("r")[0].cast("date").alias("day"), *(F.from_json(F.col("r")[k], "map<string,double>").alias(n) for k, n in ((1, "means"), (2, "peaks"))))
+    found = maps.select("day", "peaks", F.explode("means").alias("fips", "mean"))
+    return found.select("fips", "day", "mean", F.try_element_at("peaks", F.col("fips")).alias("most"))
+
+
+def field_names(rows: DataFrame, document: str = "document") -> DataFrame:
+    """(name) of every ``"name"`` anywhere in a JSON field dictionary, however deep."""
+    return rows.select(F.explode(F.regexp_extract_all(document, F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1))).alias("name"))
