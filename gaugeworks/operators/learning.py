@@ -18,8 +18,8 @@ def _score(columns: Sequence[str], weights: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def logistic(rows: DataFrame, columns: Sequence[str], label: str, steps: int = 25, ridge: float = 1e-6, least_positives: int = 20) -> np.ndarray | None:
-    """Intercept and weights on standardized columns by Newton steps; None with too few positives.
+def logistic(rows: DataFrame, columns: Sequence[str], label: str, steps: int = 100, ridge: float = 1e-6, least_positives: int = 20) -> np.ndarray | None:
+    """Intercept and weights on standardized columns by Newton steps; None with too few positives, an error if they do not converge.
 
     Each step aggregates the gradient and the (small) Hessian on the executors;
     only those sums reach the driver.
@@ -42,9 +42,10 @@ def logistic(rows: DataFrame, columns: Sequence[str], label: str, steps: int = 2
         change = np.linalg.solve(hessian, got[:k] + ridge * w)
         w -= change
         if np.abs(change).max() < 1e-9:
-            break
+            data.unpersist()
+            return w
     data.unpersist()
-    return w
+    raise ValueError(f"the weights did not converge in {steps} steps")
 
 
 def scored(rows: DataFrame, columns: Sequence[str], weights: np.ndarray) -> DataFrame:
