@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.aggregates import standardized
@@ -60,6 +60,31 @@ def calibration(rows: DataFrame, p: str, label: str, bins: int = 10) -> DataFram
     return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 
+def permutation_importance(rows: DataFrame, key: str, columns: Sequence[str], label: str, score: Callable[..., Column], repeats: int = 8, bins: int = 64) -> DataFrame:
+    """(column, repeat, harm): how much the Brier score of ``score(*columns)`` grows when one column is shuffled.
+
+    In each repeat rows are dealt by a hash of their key to ``bins`` and passed on
+    by one place in the order of that hash, the last to the first, so a window
+    holds a bin and not the table: choose ``bins`` by the rows.  One window serves
+    all columns.  Keys are expected to be unique; rows without key or label are
+    left out, missing values count as 0, and a bin of one row keeps its value.
+    """
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    clean = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"), F.struct(*values).alias("_v"))
+    dealt = clean.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    dealt = dealt.withColumn("_h", F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.col("repeat").cast("string"))))
+    bin_ = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % bins
+    order = Window.partitionBy("repeat", bin_).orderBy("_h", "_k")
+    given = dealt.select("repeat", "_y", "_v", F.coalesce(F.lead("_v").over(order), F.first("_v").over(order)).alias("_g"))
+
+    def missed(changed: str | None) -> Column:
+        p = score(*(F.col("_g" if c == changed else "_v")[c] for c in columns))
+        return (p - F.col("_y")) * (p - F.col("_y"))
+
+    harms = given.groupBy("repeat").agg(*(F.avg(missed(c) - missed(None)).alias(c) for c in columns))
+    return harms.unpivot(["repeat"], list(columns), "column", "harm")
+
+
 def shifted_intercept(w0: float, sample_rate: float, population_rate: float) -> float:
     """Intercept corrected for a sample that holds more positives than the population."""
     return w0 - float(np.log((1 - population_rate) / population_rate * sample_rate / (1 - sample_rate)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import classify
-from gaugeworks.operators import aggregates, buckets, sinks, windows
+from gaugeworks.operators import aggregates, buckets, learning, sinks, windows
 from gaugeworks.sources.readers import table
 
 from .catalog import _day, query
@@ -131,6 +131,24 @@ def cost_lines(spark: SparkSession, d: str) -> DataFrame:
     return fit.select("c_mktsegment", "n", F.round("s", 5).alias("slope"), F.round("i", 5).alias("intercept"), F.round("r", 5).alias("r2"), F.round(spread, 5).alias("residual_sd"))
 
 
+@query(f"""
+with x as (select o_orderkey as k, case when o_orderstatus = 'F' then 1.0 else 0.0 end as y, o_totalprice as price, c_acctbal as balance, cast(o_custkey % 7 as double) as noise, r, md5(o_orderkey || ':' || r) as h from {_O}, generate_series(0, 7) g(r)),
+v as (select *, cast('0x' || substr(h, 1, 8) as bigint) % 64 as b from x),
+g as (select *, coalesce(lead(price) over w, first_value(price) over w) as price2, coalesce(lead(balance) over w, first_value(balance) over w) as balance2 from v window w as (partition by r, b order by h, k)),
+s as (select r, power(1 / (1 + exp(-(0.3 + price / 200000 - balance / 5000))) - y, 2) as own, power(1 / (1 + exp(-(0.3 + price2 / 200000 - balance / 5000))) - y, 2) as price, power(1 / (1 + exp(-(0.3 + price / 200000 - balance2 / 5000))) - y, 2) as balance from g)
+select "column", r as repeat, round(harm, 6) + 0.0 as harm from (select 'price' as "column", cast(r as int) as r, avg(price - own) as harm from s group by 2 union all select 'balance', cast(r as int), avg(balance - own) from s group by 2 union all select 'noise', cast(r as int), 0.0 from s group by 2)
+""")
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """ML-05, WIN-09: what each shuffled column costs a fixed score, in eight repeats."""
+    rows = _orders(spark, d).select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_totalprice").alias("price"), F.col("c_acctbal").alias("balance"), (F.col("o_custkey") % 7).alias("noise"))
+
+    def score(price, balance, noise):
+        return 1 / (1 + F.exp(-(0.3 + price / 200000 - balance / 5000 + 0 * noise)))
+
+    out = learning.permutation_importance(rows, "o_orderkey", ["price", "balance", "noise"], "y", score)
+    return out.select("column", "repeat", (F.round("harm", 6) + 0.0).alias("harm"))
+
+
 @query("""
 select * from (values ('flood', 0.4, -0.405465), ('tornado', 0.2, -1.386294), ('wind', 0.5, 0.0)) t(kind, base, logit)
 """)

@@ -3,9 +3,13 @@
     spark.dataSource.register(PagedSource)
     spark.read.format("paged").schema(S).option("url", "https://...").option("key", "Items").load()
 
-Pages are fetched by the executors, with retries; filters are passed on in the
-``filter`` option.  When the pages together hold fewer rows than the service
-counted, the read fails instead of returning a short table.
+Pages are fetched by the executors, with retries.  A partition is a page, or with
+``sweep`` ("column,low,high,step") a range of keys, or a list of at most ``LIST``
+keys where a condition names them.  Conditions that the service understands are
+passed on (with ``spark.sql.python.filterPushdown.enabled``), the ``filter`` option
+adds one in the service's own words.  When pages hold fewer rows than the service
+counted, or rows lie outside the swept keys, the read fails instead of returning
+a short table.
 """
 
 from __future__ import annotations
@@ -17,9 +21,17 @@ from dataclasses import dataclass
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+from pyspark.sql import datasource
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PAGE = 1000
+PAGE, LIST = 1000, 45
+_OPERATORS = {
+    datasource.EqualTo: "eq",
+    datasource.GreaterThan: "gt",
+    datasource.GreaterThanOrEqual: "ge",
+    datasource.LessThan: "lt",
+    datasource.LessThanOrEqual: "le",
+}
 
 
 def fetch(url: str, tries: int = 4, wait: float = 1.0, opener: Callable = urlopen) -> dict:
@@ -35,36 +47,93 @@ def fetch(url: str, tries: int = 4, wait: float = 1.0, opener: Callable = urlope
     raise ValueError("tries must be positive")
 
 
+def _literal(value: object) -> str | None:
+    """A value in the service's words; None where it has none."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else None
+
+
+def clause(condition: datasource.Filter) -> str | None:
+    """A condition on one column in the service's words; None where Spark has to judge it."""
+    if isinstance(condition, datasource.Not):
+        inner = clause(condition.child)
+        return None if inner is None else f"not ({inner})"
+    column = "/".join(condition.attribute)
+    if isinstance(condition, datasource.IsNotNull | datasource.IsNull):
+        return f"{column} {'ne' if isinstance(condition, datasource.IsNotNull) else 'eq'} null"
+    if isinstance(condition, datasource.In):
+        values = [_literal(v) for v in condition.value]
+        return None if None in values or not values else "(" + " or ".join(f"{column} eq {v}" for v in values) + ")"
+    word, value = _OPERATORS.get(type(condition)), _literal(getattr(condition, "value", None))
+    return None if word is None or value is None else f"{column} {word} {value}"
+
+
 @dataclass
 class Page(InputPartition):
+    """Rows from ``skip`` on, or with ``rows`` -1 all rows that meet ``keys``."""
+
     skip: int
     rows: int
+    keys: str = ""
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options: dict):
         self.names, self.options = [f.name for f in schema.fields], options
-
-    def _url(self, **more: object) -> str:
-        query = {"$format": "json", **more}
-        if "filter" in self.options:
-            query["$filter"] = self.options["filter"]
+        self.pushed, self.lists = [options["filter"]] if "filter" in options else [], []
+        self.size = int(options.get("page", PAGE))
+
+    def pushFilters(self, filters: list[datasource.Filter]) -> Iterator[datasource.Filter]:
+        for f in filters:
+            words = clause(f)
+            if words is None or isinstance(f, datasource.Not):
+                yield f  # services differ in what a negation makes of null, so Spark judges it too
+            if words is None:
+                continue
+            if isinstance(f, datasource.In) and len(f.value) > LIST and not self.lists:
+                # one request takes no more keys, so each list is a partition
+                keys = sorted(set(f.value))
+                self.lists = [clause(datasource.In(f.attribute, tuple(keys[k : k + LIST]))) for k in range(0, len(keys), LIST)]
+            else:
+                self.pushed.append(words)
+
+    def _url(self, keys: str = "", **more: object) -> str:
+        query, every = {"$format": "json", **more}, [*self.pushed, *([keys] if keys else [])]
+        if every:
+            query["$filter"] = every[0] if len(every) == 1 else " and ".join(f"({c})" for c in every)
         return f"{self.options['url']}?{urlencode(query)}"
 
+    def _count(self, keys: str = "") -> int:
+        return int(fetch(self._url(keys, **{"$top": 1, "$inlinecount": "allpages"}))["metadata"]["count"])
+
     def partitions(self) -> list[Page]:
-        total = int(fetch(self._url(**{"$top": 1, "$inlinecount": "allpages"}))["metadata"]["count"])
-        size = int(self.options.get("page", PAGE))
-        return [Page(k, min(size, total - k)) for k in range(0, total, size)] or [Page(0, 0)]
+        if self.lists:
+            return [Page(0, -1, keys) for keys in self.lists]
+        if "sweep" in self.options:
+            column, low, high, step = (part.strip() for part in self.options["sweep"].split(","))
+            low, high, step = int(low), int(high), int(step)
+            outside = self._count() - self._count(f"{column} ge {low} and {column} lt {high}")
+            if outside:
+                raise ValueError(f"{outside} rows lie outside the swept keys")
+            return [Page(0, -1, f"{column} ge {k} and {column} lt {min(k + step, high)}") for k in range(low, high, step)]
+        total = self._count()
+        return [Page(k, min(self.size, total - k)) for k in range(0, total, self.size)] or [Page(0, 0)]
+
+    def _page(self, skip: int, rows: int, keys: str) -> list[dict]:
+        order = self.options.get("orderby", "id")
+        got = fetch(self._url(keys, **{"$top": rows, "$skip": skip, "$orderby": order, "$select": ",".join(self.names)}))[self.options["key"]]
+        if len(got) < rows:
+            raise ValueError(f"short pull: {len(got)} of {rows} rows from {skip}")
+        return got
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        if not partition.rows:
-            return
-        order = self.options.get("orderby", "id")
-        got = fetch(self._url(**{"$top": partition.rows, "$skip": partition.skip, "$orderby": order, "$select": ",".join(self.names)}))[self.options["key"]]
-        if len(got) < partition.rows:
-            raise ValueError(f"short pull: {len(got)} of {partition.rows} rows from {partition.skip}")
-        for row in got:
-            yield tuple(row.get(n) for n in self.names)
+        total = self._count(partition.keys) if partition.rows < 0 else partition.rows
+        for k in range(0, total, self.size):
+            for row in self._page(partition.skip + k, min(self.size, total - k), partition.keys):
+                yield tuple(row.get(n) for n in self.names)
 
 
 class PagedSource(DataSource):

@@ -65,3 +65,12 @@ def test_tab_separated_with_a_row_of_formats(spark, tmp_path):
     (tmp_path / "a.rdb").write_text("# note\nsite\tlevel\n5s\t10n\n00012\t3.5\n00013\t\n")
     got = [tuple(r) for r in readers.rdb(spark, f"file://{tmp_path}/a.rdb", "site string, level string").orderBy("site").collect()]
     assert got == [("00012", "3.5"), ("00013", None)]
+
+
+def test_importance_of_a_shuffled_column(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 2).alias("told"), F.lit(5).alias("flat"), F.lit(None).cast("double").alias("none"))
+    got = learning.permutation_importance(rows, "id", ["told", "flat", "none"], "y", lambda told, flat, none: told + 0 * flat + none, repeats=3, bins=4).collect()
+    assert len(got) == 9
+    for r in got:  # half of all rows get the other label's value
+        assert abs(r.harm - 0.5) < 0.1 if r.column == "told" else r.harm == 0
+    assert learning.permutation_importance(rows.where("false"), "id", ["told"], "y", lambda x: x).count() == 0
