@@ -74,6 +74,17 @@ def infer_year(month: Column, day: Column, seen_on: Column, grace_days: int = 0)
     return F.coalesce(*(F.when(dated(k) <= limit, dated(k)) for k in (0, 1, 2)))
 
 
+def printed_date(text: Column, seen_on: Column) -> Column:
+    """Date of ``Oct 24``, ``June 3`` or ``Jul 3, 2023``; without a year the most recent one not after ``seen_on``, null if unreadable."""
+
+    def part(k: int) -> Column:
+        return F.regexp_extract(text, r"^\s*([A-Za-z]{3,})\s+(\d{1,2})(?:,\s*(\d{4}))?", k)
+
+    month = F.date_format(F.try_to_date(F.concat(F.initcap(F.left(part(1), F.lit(3))), F.lit(" 2000")), "MMM yyyy"), "MM")
+    full = F.try_to_date(F.concat_ws("-", F.nullif(part(3), F.lit("")), month, pad_code(part(2), 2)), "yyyy-MM-dd")
+    return F.when(part(3) != "", full).otherwise(infer_year(month, part(2), seen_on))
+
+
 def epoch_date(millis: Column) -> Column:
     """UTC date of epoch milliseconds."""
     return F.to_date(F.timestamp_millis(millis))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, catalog_extra, catalog_more, catalog_rest, catalog_rollups, catalog_rules  # noqa: F401  (all fill the same tables)
+from . import catalog, catalog_extra, catalog_more, catalog_rest, catalog_rollups, catalog_rules, catalog_sources  # noqa: F401  (all fill the same tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

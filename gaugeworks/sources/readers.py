@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.parsing import compact_date, money, number, pad_code, tornado_scale
@@ -17,7 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def storm_events(spark: SparkSession, paths: str | list[str], states: list[str] | None = None) -> DataFrame:
     """Storm event CSV (gzip), Latin-1, columns found by header; one task a file, so rows are dealt anew."""
-    rows = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(paths).select(*STORM_COLUMNS)
+    rows = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(paths)
+    return storm_rows(rows, states).repartition("state", "episode")
+
+
+def storm_rows(rows: DataFrame, states: list[str] | None = None) -> DataFrame:
+    """Typed storm events of text columns named as in the files; with ``states``, of these states' codes only."""
+    rows = rows.select(*STORM_COLUMNS)
     if states:
         rows = rows.where(pad_code(F.col("STATE_FIPS"), 2).isin(states))
     return rows.select(
@@ -32,13 +38,17 @@ def storm_events(spark: SparkSession, paths: str | list[str], states: list[str]
         F.col("MAGNITUDE_TYPE").alias("magnitude_type"),
         tornado_scale(F.col("TOR_F_SCALE")).alias("scale"),
         money(F.col("DAMAGE_PROPERTY")).alias("damage"),
-    ).repartition("state", "episode")
+    )
 
 
 def zone_counties(spark: SparkSession, path: str) -> DataFrame:
     """Pipe-delimited crosswalk: (zone_key, fips), both of the right length and of one state."""
     names = "STATE string, ZONE string, CWA string, NAME string, STATE_ZONE string, COUNTY string, FIPS string, TIME_ZONE string, FE_AREA string, LAT string, LON string"
-    rows = spark.read.option("sep", "|").schema(names).csv(path)
+    return crosswalk(spark.read.option("sep", "|").schema(names).csv(path))
+
+
+def crosswalk(rows: DataFrame) -> DataFrame:
+    """(zone_key, fips) of crosswalk rows whose zone and county codes have five characters and one state."""
     key, fips = F.trim("STATE_ZONE"), F.trim("FIPS")
     return rows.select(key.alias("zone_key"), fips.alias("fips"), F.trim("STATE").alias("state")).where((F.length("fips") == 5) & (F.length("zone_key") == 5) & F.col("zone_key").startswith(F.col("state"))).select("zone_key", "fips").distinct()
 
@@ -50,6 +60,14 @@ def rdb(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(~F.col(first).rlike(r"^\d+[sdn]$"))
 
 
+def rdb_documents(rows: DataFrame, schema: str, document: str = "document") -> DataFrame:
+    """Landed tab-separated documents, one a row: comments, the header and the row of formats go; other columns stay."""
+    lines = F.filter(F.split(document, "\\r?\\n"), lambda x: ~x.startswith("#") & (F.trim(x) != ""))
+    body = F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))
+    parsed = rows.withColumn("_line", F.explode(body)).withColumn("_r", F.from_csv("_line", schema, {"sep": "\t"}))
+    return parsed.drop(document, "_line").select("*", "_r.*").drop("_r")
+
+
 def station_days(rows: DataFrame, county: str = "fips", start: str = "sdate", stations: str = "stations") -> DataFrame:
     """(fips, station, day, value): arrays of daily values dated from their start; M and S are null, T is 0."""
     each = rows.select(county, start, F.posexplode(stations).alias("station", "values")).select(county, start, "station", F.posexplode("values").alias("k", "text"))
@@ -88,3 +106,32 @@ def gridded_days(rows: DataFrame, document: str = "document") -> DataFrame:
 def field_names(rows: DataFrame, document: str = "document") -> DataFrame:
     """(name) of every ``"name"`` anywhere in a JSON field dictionary, however deep."""
     return rows.select(F.explode(F.regexp_extract_all(document, F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1))).alias("name"))
+
+
+def features(rows: DataFrame, attributes: str, document: str = "document") -> DataFrame:
+    """Attributes of landed feature-service pages and ``more``: whether the service holds further pages; other columns stay."""
+    schema = f"struct<features:array<struct<attributes:struct<{attributes}>>>,exceededTransferLimit:boolean>"
+    page = rows.withColumn("_p", F.from_json(document, schema)).drop(document)
+    each = page.withColumn("more", F.coalesce("_p.exceededTransferLimit", F.lit(False))).withColumn("_f", F.explode("_p.features"))
+    return each.select("*", "_f.attributes.*").drop("_p", "_f")
+
+
+def polygon_rings(rows: DataFrame, document: str = "document") -> DataFrame:
+    """(ring, points): the rings of GeoJSON polygons and multipolygons in their order; other shapes have none, other columns stay."""
+    kind, text = F.get_json_object(document, "$.type"), F.get_json_object(document, "$.coordinates")
+    one = F.from_json(text, "array<array<array<double>>>")
+    many = F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    each = rows.select("*", F.posexplode(rings).alias("ring", "_c")).drop(document)
+    return each.withColumn("points", F.transform("_c", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))).drop("_c")
+
+
+def document_link(link: Column) -> Column:
+    """A link that ends in ``.pdf``, appended where it is missing."""
+    return F.when(F.lower(link).endswith(".pdf"), link).otherwise(F.concat(link, F.lit(".pdf")))
+
+
+def listed(path: Column, own: list[str]) -> Column:
+    """Whether a listing shows a file: its name does not start with ``_`` and is none of ``own``."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return ~(name.startswith("_") | name.isin(own))
