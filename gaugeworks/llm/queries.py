@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, suffix_dedup, token_files, toxicity, warc
+from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, periodic, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.repeated_runs(periodic.with_repeating_tails(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_best_fit_packing,
         op10_toxicity,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in every}
 
@@ -76,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_array_dedup": oracles.REPEATED_SPANS,
         "op6_warc": oracles.ARCHIVES,
         "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
+        "op12_periodic_runs": periodic.ORACLE_SQL,
     }
