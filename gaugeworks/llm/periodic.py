@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mapped
+from .oracles import CRC32
 from .runs import runs_of
 
 #: Whole periods and words of a run at least.
@@ -96,10 +97,6 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-_STEP = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x // 2, (x % 2) * 3988292384))"
-#: crc32 of an ASCII string in DuckDB
-CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: " + _STEP + "), 4294967295)"
-
 #: Equal words at a distance q, in stretches of consecutive places, are the runs of period q.
 ORACLE_SQL = (
     r"""

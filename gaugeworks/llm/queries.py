@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, periodic, suffix_dedup, token_files, toxicity, warc
+from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, periodic, spelling, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.repeated_runs(periodic.with_repeating_tails(_table(spark, sf_dir, "documents"))))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), spoil=199)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_benchmark_decontamination,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_best_fit_packing,
         op10_toxicity,
         op12_periodic_runs,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 
@@ -82,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": oracles.ARCHIVES,
         "op7_embedding_near_dedup": oracles.NEAR_VECTORS,
         "op12_periodic_runs": periodic.ORACLE_SQL,
+        "op13_spelling_variants": oracles.SPELLING_VARIANTS,
     }
