@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, periodic, spelling, suffix_dedup, token_files, toxicity, warc
+from . import decontaminate, embed_dedup, langid, license_scan, near_dedup, oracles, packing, periodic, pii, spelling, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.repeated_runs(periodic.with_repeating_tails(_table(spark, sf_dir, "documents"))))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_best_fit_packing,
         op10_toxicity,
+        op11_personal_data,
         op12_periodic_runs,
         op13_spelling_variants,
     )
