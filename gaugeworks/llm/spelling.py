@@ -39,6 +39,8 @@ from .store import Scratch, looked_up
 LEAST_LETTERS, LEAST_COUNT, TIMES = 6, 5, 5
 #: Longest gram; words of one block of a posting list, about; words a task counts before it emits them.
 LONGEST_GRAM, BLOCK, HELD = 5, 2000, 200_000
+#: Words of a posting list that are verified at once, without merging their postings.
+FEW = 8
 
 
 def word_counts(docs: DataFrame, letters: int = LEAST_LETTERS, spoil: int | None = None) -> DataFrame:
@@ -109,6 +111,12 @@ def linked(longer: int, key: tuple[str, int], words: list[tuple[str, int]], cros
     q = gram_size(longer)
     least = longer - 2 * q  # T without the list's own gram
     words = sorted(set(words))
+    if len(words) <= FEW:  # merging postings of so few words is dearer than reading them
+        for i, (word, block) in enumerate(words):
+            for other, at in words[i + 1 :]:
+                if longer in (len(word), len(other)) and not (crossed and at == block) and one_edit(word, other):
+                    yield word, other
+        return
     index: dict[tuple[str, int], list[int]] = {}
     for i, (word, _) in enumerate(words):
         if len(word) == longer:

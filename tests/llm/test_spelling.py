@@ -61,6 +61,24 @@ def vocabulary(seed, size, letters, sizes):
     return {w: rng.choice([5, 6, 20, 30, 140, 900, 5000]) for w in words if len(w) >= 6}
 
 
+@pytest.mark.parametrize(("few", "blocks"), [(0, 1), (8, 1), (0, 3)])
+def test_a_list_gives_the_pairs_of_its_words(monkeypatch, few, blocks):
+    """Merged by the heap or verified at once, within a block or between blocks."""
+    monkeypatch.setattr(spelling, "FEW", few)
+    rng = random.Random(few)
+    for longer in (6, 7, 9, 12):
+        q, at = spelling.gram_size(longer), 1
+        for _ in range(60):
+            words = {}
+            for _ in range(rng.randint(2, 30)):
+                size = rng.choice([longer, longer, longer - 1])
+                w = "".join(rng.choice("ab") for _ in range(size))
+                words[w[:at] + "b" * q + w[at + q :]] = rng.randrange(blocks)
+            got = list(spelling.linked(longer, ("b" * q, at), list(words.items()), blocks > 1))
+            expected = {(x, y) for x in words for y in words if x < y and near(x, y) and longer in (len(x), len(y)) and (blocks == 1 or words[x] != words[y])}
+            assert set(got) == expected and len(got) == len(expected)
+
+
 @pytest.mark.parametrize(("seed", "letters", "sizes", "block"), [(1, "ab", (6, 9), 2000), (2, "ab", (6, 8), 16), (3, "aeinrstéÿ", (6, 13), 2000), (4, "abc", (20, 30), 7), (5, "a", (6, 40), 3)])
 def test_variants_are_those_of_all_pairs(spark, monkeypatch, seed, letters, sizes, block):
     monkeypatch.setattr(spelling, "BLOCK", block)
