@@ -22,11 +22,12 @@ collected or broadcast but counted tables (``store.looked_up``).
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 from itertools import groupby
 
 import pyarrow as pa
@@ -104,8 +105,7 @@ def gram_size(longer: int) -> int:
 def linked(longer: int, key: tuple[str, int], words: list[tuple[str, int]], crossed: bool) -> Iterator[tuple[str, str]]:
     """Pairs one edit apart of one posting list: ``words`` (word, block) that hold gram ``key``.
 
-    The indexed words are those of length ``longer``; each word queries them,
-    those of the same length only once a pair.  With ``crossed``, words of one
+    The indexed words are those of length ``longer``; each word queries them.  With ``crossed``, words of one
     block are not compared: another task does.
     """
     q = gram_size(longer)
@@ -124,15 +124,48 @@ def linked(longer: int, key: tuple[str, int], words: list[tuple[str, int]], cros
                 index.setdefault((word[p : p + q], p), []).append(i)
     index.pop(key, None)
     for i, (word, block) in enumerate(words):
-        shifts = (0,) if len(word) == longer else (0, 1)
-        lists = [at for p in range(len(word) - q + 1) for s in shifts if (at := index.get((word[p : p + q], p + s))) is not None]
-        for j, same in groupby(heapq.merge(*lists)):
-            if (len(word) == longer and j <= i) or (crossed and words[j][1] == block):
-                continue
-            if sum(1 for _ in same) >= least and one_edit(word, words[j][0]):
+        same = len(word) == longer
+        lists, heap = [], []
+        for p in range(len(word) - q + 1):
+            for s in (p,) if same else (p, p + 1):
+                at = index.get((word[p : p + q], s))
+                if at is not None:
+                    first = bisect_right(at, i) if same else 0  # equal lengths meet once a pair
+                    if first < len(at):
+                        heap.append(at[first] << _LISTS | len(lists))
+                        lists.append((at, first))
+        for j, times in merged(heap, lists):
+            if times >= least and not (crossed and words[j][1] == block) and one_edit(word, words[j][0]):
                 yield min(word, words[j][0]), max(word, words[j][0])
 
 
+#: Bits for the number of a posting list beside an entry on the heap; more lists than that need longer words than ``2 ** 39`` letters.
+_LISTS = 40
+
+
+def merged(heap: list[int], lists: list[tuple[list[int], int]]) -> Iterator[tuple[int, int]]:
+    """(entry, how many lists hold it), ascending: ascending lists, each from a place on, merged by a heap of entries and list numbers."""
+    heapify(heap)
+    places = [first for _, first in lists]
+    now, times, mask = -1, 0, (1 << _LISTS) - 1
+    while heap:
+        j, k = heap[0] >> _LISTS, heap[0] & mask
+        if j == now:
+            times += 1
+        else:
+            if times:
+                yield now, times
+            now, times = j, 1
+        places[k] += 1
+        at = lists[k][0]
+        if places[k] < len(at):
+            heapreplace(heap, at[places[k]] << _LISTS | k)
+        else:
+            heappop(heap)
+    if times:
+        yield now, times
+
+
 def near_words(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), a < b in code-point order, of all words of a written table (word) that are one edit apart.
 
