@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.sources.scratch import written
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """``rows`` computed and written to the checkpoint folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset and Spark runs in one machine is a temporary one set.
-    """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="gaugeworks-")
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` computed, written to the folder that all executors share, and read back; removed when the process ends."""
+    return written(rows, "range")
 
 
 def running(by_value: DataFrame, group: Sequence[str], value: str, counts: Sequence[str], descending: bool = False) -> DataFrame:
