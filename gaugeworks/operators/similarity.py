@@ -1,12 +1,14 @@
-"""Analogs of a few queries: exact nearest neighbours by kernel weight."""
+"""Analogs of a few queries: exact nearest neighbours by kernel weight, and what they suggest."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows in one broadcast block, about (ids are dealt by hash); more queries are taken block by block.
-BLOCK = 256
+#: Query rows in one block, about (ids are dealt by hash); query rows that are broadcast at most.
+BLOCK, BROADCAST = 256, 16_384
 
 
 def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind: str, keep: int = 5, width: float = 1.0, bonus: float = 0.1) -> DataFrame:
@@ -14,19 +16,44 @@ def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind:
 
     Weight: ``exp(-d**2 / (2 * width**2))`` plus ``bonus`` for an equal kind, d
     the Euclidean distance; ties by id.  A stated query set meets all rows in
-    blocks of ``BLOCK`` queries; each partition keeps its own best before the
-    final ranking.
+    one scan, in blocks of ``BLOCK`` queries; the blocks are broadcast up to
+    ``BROADCAST`` queries and dealt with the rows beyond.  Each partition keeps
+    its own best before the final ranking.
     """
     ids = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"), F.col(kind).alias("_k"))
-    n = -(-queries.count() // BLOCK)
-    blocks = ids.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(max(n, 1))))
-    out = None
-    for b in range(n):
-        block = F.broadcast(blocks.where(F.col("_block") == b).drop("_block"))
-        d2 = F.aggregate(F.zip_with(vector, "_q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-        weight = F.exp(-d2 / (2 * width * width)) + F.when(F.col(kind).eqNullSafe(F.col("_k")), F.lit(bonus)).otherwise(F.lit(0.0))
-        met = rows.join(block, F.col(id_col) != F.col("query")).select("query", F.col(id_col).alias("neighbour"), F.round(weight, 9).alias("weight"))
-        top = Window.partitionBy("query").orderBy(F.desc("weight"), "neighbour")
-        best = met.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= keep)
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query long, neighbour long, weight double, rank int")
+    n = queries.count()
+    blocks = ids.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(-(-n // BLOCK), 1)))).agg(F.collect_list(F.struct("query", "_q", "_k")).alias("_block")).select("_block")
+    if n <= BROADCAST:
+        blocks = F.broadcast(blocks)
+    met = rows.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_v"), F.col(kind).alias("_kind")).join(blocks).select("neighbour", "_v", "_kind", F.inline("_block"))
+    d2 = F.aggregate(F.zip_with("_v", "_q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    weight = F.exp(-d2 / (2 * width * width)) + F.when(F.col("_kind").eqNullSafe(F.col("_k")), F.lit(bonus)).otherwise(F.lit(0.0))
+    pairs = met.where("neighbour <> query").select("query", "neighbour", F.round(weight, 9).alias("weight"))
+    top = Window.partitionBy("query").orderBy(F.desc("weight"), "neighbour")
+    return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= keep)
+
+
+def suggested(neighbours: DataFrame, facts: DataFrame, targets: DataFrame, fact: str, target: str, amount: str, people: str, tails: Sequence[float] = (0.1, 0.9)) -> DataFrame:
+    """(query, analogs, low, typical, high, expected): what the analogs' costs mean for the queries' own people.
+
+    ``neighbours`` is (query, neighbour, weight) with a few rows a query;
+    ``facts`` has each neighbour's amount and people, ``targets`` the queries'
+    people.  Amounts a head are weighted: ``low`` and ``high`` are their
+    ``tails`` and ``typical`` their median, a quantile being the least value
+    whose running weight reaches its share; ``expected`` is their weighted mean.
+    All are scaled to the target's people.  Neighbours without people, amount or
+    weight say nothing.
+    """
+    known = facts.select(F.col(fact).alias("neighbour"), F.col(amount).cast("double").alias("_a"), F.col(people).cast("double").alias("_n")).where("_n > 0 and _a is not null")
+    heads = neighbours.where("weight > 0").join(known, "neighbour").select("query", "neighbour", "weight", (F.col("_a") / F.col("_n")).alias("_x"))
+    order = Window.partitionBy("query").orderBy("_x", "neighbour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = heads.withColumns({"_upto": F.sum("weight").over(order), "_all": F.sum("weight").over(Window.partitionBy("query"))})
+
+    def reached(share: float):
+        return F.min(F.when(F.col("_upto") >= F.col("_all") * share * (1 - 1e-12), F.col("_x")))
+
+    found = running.groupBy("query").agg(
+        F.count("*").alias("analogs"), reached(tails[0]).alias("low"), reached(0.5).alias("typical"), reached(tails[1]).alias("high"), (F.sum(F.col("weight") * F.col("_x")) / F.sum("weight")).alias("expected")
+    )
+    own = targets.select(F.col(target).alias("query"), F.col(people).cast("double").alias("_people"))
+    return found.join(own, "query").select("query", "analogs", *((F.col(c) * F.col("_people")).alias(c) for c in ("low", "typical", "high", "expected")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import aggregates, fits, learning
+from gaugeworks.operators import aggregates, fits, learning, similarity
 from gaugeworks.sources.readers import table
 
 from .catalog import query
@@ -82,3 +82,23 @@ def two_part_costs(spark: SparkSession, d: str) -> DataFrame:
     found = fits.hurdle_costs(rows, ["requests", "balance"], "paid", "state")
     parts = [F.round(F.avg(c), 4).alias(c) for c in ("p", "effect", "expected", "tweedie")]
     return found.groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("paid") > 0).alias("positive"), F.round(F.avg(F.coalesce("paid", F.lit(0.0))), 4).alias("observed"), *parts)
+
+
+@query("""
+with q as (select * from embeddings where vec_id % 100 = 0),
+w as (select q.vec_id as query, e.vec_id as neighbour, round(exp(-list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) / 2.0) + case when e.label is not distinct from q.label then 0.1 else 0.0 end, 9) as weight from embeddings e join q on e.vec_id <> q.vec_id),
+n as (select * from (select *, row_number() over (partition by query order by weight desc, neighbour) as r from w) where r <= 20),
+f as (select c_custkey as k, sum(cast(o_totalprice as decimal(18,2))) as amount, case when c_custkey % 10 = 3 then 0 else 100 + c_custkey % 900 end as people from customer left join orders on o_custkey = c_custkey group by 1),
+h as (select query, neighbour, weight, cast(amount as double) / people as x from n join f on k = neighbour where people > 0 and amount is not null),
+r as (select *, sum(weight) over (partition by query order by x, neighbour rows unbounded preceding) as upto, sum(weight) over (partition by query) as whole from h),
+s as (select query, count(*) as analogs, min(x) filter (upto >= 0.1 * whole) as low, min(x) filter (upto >= 0.5 * whole) as typical, min(x) filter (upto >= 0.9 * whole) as high, sum(weight * x) / sum(weight) as expected from r group by 1)
+select query, analogs, round(low * people, 4) as low, round(typical * people, 4) as typical, round(high * people, 4) as high, round(expected * people, 4) as expected from s join f on k = query
+""")
+def nearest_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """DOC-02: weighted interval of the costs a head of the 20 nearest analogs, scaled to the people of each query."""
+    rows = table(spark, d, "embeddings")
+    near = similarity.analogs(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", "label", keep=20)
+    paid = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"))
+    facts = table(spark, d, "customer").join(paid, "c_custkey", "left").select("c_custkey", "amount", F.when(F.col("c_custkey") % 10 == 3, 0).otherwise(100 + F.col("c_custkey") % 900).alias("people"))
+    found = similarity.suggested(near, facts, facts, "c_custkey", "c_custkey", "amount", "people")
+    return found.select("query", "analogs", *(F.round(c, 4).alias(c) for c in ("low", "typical", "high", "expected")))
