@@ -94,12 +94,16 @@ def contaminated(
     shingles, sketches = scratch.table(shingles, "shingles"), scratch.table(sketches, "sketches")
 
     probes = F.broadcast(sketches) if sketches.count() <= BROADCAST_SKETCHES else sketches
-    tokens = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    tokens = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"), F.lit(False).alias("apart"))
+    # an id of several rows is one text, whose size no row tells: all its rows are probed
+    twice = scratch.table(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        tokens = by_ids(tokens, twice, "left_anti").unionByName(by_ids(tokens, twice, "left_semi").withColumn("apart", F.lit(True)))
     hits = (
         _positions(tokens, "hashes", width)
-        .select("doc_id", (F.size("hashes") - width + 1).alias("places"), _hash("hashes", width).alias("hash"))
+        .select("doc_id", "apart", (F.size("hashes") - width + 1).alias("places"), _hash("hashes", width).alias("hash"))
         .join(probes, "hash")
-        .where("places >= least_size")
+        .where("apart or places >= least_size")
         .groupBy("doc_id", "item_id", "size_class", "least_hits", "hash")
         .agg(F.lit(1).alias("held"))
         .groupBy("doc_id", "item_id", "size_class", "least_hits")

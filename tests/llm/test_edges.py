@@ -10,7 +10,7 @@ import pytest
 from test_dedup import Union, covered, shingles
 
 import corpus_pipeline
-from gaugeworks.llm import embed_dedup, langid, near_dedup, packing, suffix_dedup, toxicity
+from gaugeworks.llm import decontaminate, embed_dedup, langid, near_dedup, packing, suffix_dedup, toxicity
 
 
 def test_crowds_count_every_link(spark):
@@ -225,3 +225,13 @@ def test_stages_of_empty_tables_and_further_columns(spark, name):
     rows = [(1, "the house and the dog " * 30, "en", "a", 1, "p", 7, "s"), (None, "words of no document", "en", None, None, None, None, None), (2, None, None, None, 0, None, None, None)]
     out = stage(spark, spark.createDataFrame(rows, schema), "/root/testdata/sf0.001")
     assert out.count() >= 1 and (name == "best_fit" or out.columns == none.columns)
+
+
+def test_a_text_in_two_rows_is_one_document(spark):
+    """Neither row is as large as the item's class asks, both together hold it."""
+    item = [f"w{k}" for k in range(24)]
+    parts = [(1, " ".join(item[:14])), (1, " ".join(item[10:])), (2, " ".join(item)), (3, " ".join(item[:14])), (4, " ".join(item[:14])), (4, None), (None, " ".join(item))]
+    docs, items = spark.createDataFrame(parts, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {tuple(r)[:4] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 7, 20, 20), (2, 7, 20, 20)}
+    assert got == {tuple(r)[:4] for r in decontaminate.contaminated(docs.where("doc_id < 3"), items).collect()}
