@@ -261,13 +261,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return network
 
 
-def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row: ``und`` and 0 for texts in no learned language.
+def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", refuse: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row: ``und`` and 0 for null texts and those without a letter (Unicode category L).
 
-    These are null texts, those without a letter (Unicode category L), and those
-    that have more than half of their letters in pieces that no language explains.
-    Of equally likely languages the first in the alphabet is named.  Texts for which
-    the best language is not judged (of too few documents) are not refused.
+    All others get the likeliest of the learned languages, of equally likely ones
+    the first in the alphabet.  With ``refuse``, texts that have more than half of
+    their letters in pieces that no language explains are ``und`` too; those for
+    which the best language is not judged (of too few documents) are not refused.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -282,7 +282,7 @@ def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id",
                     raw, at = utf8(part.column("text"))
                     windows, owner, used = cut(raw, at)
                     p, strange = np.empty((len(windows), len(network.languages))), np.zeros((2, len(windows)))
-                    judge = network.usual if network.usual is not None and network.usual.judged.any() else None
+                    judge = network.usual if refuse and network.usual is not None and network.usual.judged.any() else None
                     for lo in range(0, len(windows), 64):
                         some = windows[lo : lo + 64]
                         p[lo : lo + 64] = softmax(pooled(some, tables, network.bias) @ network.out + network.out_bias)
@@ -308,8 +308,9 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Trains on rows whose language is not null and whose fold (crc32 of the id as
     text, modulo 5) is not 0; fold 0 is held out.  Predictions see the text
-    alone; texts in no learned language are ``und``.  Rows with a null id are
-    scored, held_out null; repeated rows are scored each.  Without any labelled
+    alone and name a learned language for every text with a letter, ``und`` for
+    others.  Rows with a null id are scored, held_out null; repeated rows are
+    scored each.  Without any labelled
     row all predictions are ``und``.  An empty table gives an empty result; other
     columns are not read.
     """

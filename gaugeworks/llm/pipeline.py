@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``docs`` must have the column ``lang``, from which the classifier learns.
     """
     scratch = Scratch(spark, "stage1")
-    found = langid.identified(docs, langid.train(docs))
+    found = langid.identified(docs, langid.train(docs), refuse=True)
     rejected = scratch.table(found.where(F.col("lang_pred") == "und").select("doc_id").where("doc_id is not null").distinct(), "rejected")
     return by_ids(docs, rejected, "left_anti").select(*docs.columns)
 

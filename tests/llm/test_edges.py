@@ -157,7 +157,7 @@ def test_prediction_is_the_plain_forward_pass(spark):
             total += p / p.sum() * len(piece)
         own = got[r.doc_id]
         assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
-        if own.lang_pred != "und":
+        if own.lang_pred != "und" or any(c.isalpha() for c in r.text or ""):
             assert own.lang_pred == net.languages[int(total.argmax())] and abs(own.score - total.max() / max(len(raw), 1)) < 1e-3
 
 
@@ -235,3 +235,16 @@ def test_a_text_in_two_rows_is_one_document(spark):
     got = {tuple(r)[:4] for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(1, 7, 20, 20), (2, 7, 20, 20)}
     assert got == {tuple(r)[:4] for r in decontaminate.contaminated(docs.where("doc_id < 3"), items).collect()}
+
+
+def test_every_text_with_a_letter_gets_a_learned_language(spark):
+    """Only the pipeline refuses texts in no learned language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6, "Съешь же ещё этих мягких французских булок, да выпей чаю"), (10**6 + 1, "zxqj vkwp qqzx jjkv xzqw pvkj " * 9), (10**6 + 2, "x"), (10**6 + 3, "12 34 !"), (10**6 + 4, None)]
+    every = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "cast(null as string) as lang"))
+    learned = {r.lang for r in docs.collect() if r.lang}
+    got = {r.doc_id: r for r in langid.languages(every).collect()}
+    assert all(got[10**6 + k].lang_pred in learned and 0 < got[10**6 + k].score <= 1 for k in range(3))
+    assert got[10**6 + 3].lang_pred == got[10**6 + 4].lang_pred == "und" and got[10**6 + 3].score == 0
+    refused = {r.doc_id: r.lang_pred for r in langid.identified(every, langid.train(every), refuse=True).collect()}
+    assert refused[10**6] == refused[10**6 + 1] == "und"
