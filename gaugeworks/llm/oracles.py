@@ -44,10 +44,10 @@ union all select doc_id, 0, n, doc_id <> rep, rep from long where copies > 1
 
 ARCHIVES = r"""
 with p as (select page_id, coalesce(html, '') as payload from pages where page_id is not null),
-h as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as hex, max(page_id) over (partition by payload) as owner from p)
+h as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as hex, max(page_id) over (partition by payload) as owner, row_number() over (partition by payload order by page_id desc) as r from p)
 select page_id, cast(payload_bytes as bigint) as payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((('0x' || substr(hex, cast(1 + 5 * (i // 4) as bigint), 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) as bigint), 1)), '') as payload_digest,
-case when page_id = owner then 'response' else 'revisit' end as record_type, case when page_id <> owner then owner end as refers_to from h
+case when r = 1 then 'response' else 'revisit' end as record_type, case when r > 1 then owner end as refers_to from h
 """
 
 NEAR_VECTORS = (

@@ -116,10 +116,11 @@ def digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(file, n_records) of the archives that this call writes, lazily.
 
-    Payloads of at least ``least_bytes`` are stored once.  Null html is an empty
-    payload; a null url an empty one.  Rows with a null id are left out; of rows
-    that share an id and a payload one is written, and rows that share an id
-    only are written each, the payload deciding.  Other columns are not read.
+    There is a record for every row.  Payloads of at least ``least_bytes`` are
+    stored once: of rows that share an id and a payload one is the response, if
+    the id is the payload's largest, and the others revisit it.  Null html is an
+    empty payload; a null url an empty one.  Rows with a null id are left out.
+    Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "digests")
     rows = digests(pages, id_col, url_col, html_col)
@@ -132,7 +133,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done, size = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
-        seen: tuple[int, str] | None = None
+        seen: tuple[int, str] | None = None  # rows of one id and payload follow each other
 
         def flush() -> pa.RecordBatch:
             nonlocal done, size
@@ -147,10 +148,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
             columns = [batch.column(k) for k in ("page_id", "url", "payload", "digest", "owner")]
             for page_id, url, payload, digest, owner in zip(*columns, strict=True):
                 key = (page_id.as_py(), base64.b32encode(digest.as_py()).decode())
-                if key == seen:
-                    continue
+                body, refers_to = payload.as_py(), owner.as_py()
+                if key == seen and refers_to is None and len(body) >= least_bytes:
+                    refers_to = key[0]
                 seen = key
-                held.append(record(key[0], url.as_py(), payload.as_py(), key[1], owner.as_py()))
+                held.append(record(key[0], url.as_py(), body, key[1], refers_to))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()

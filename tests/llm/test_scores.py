@@ -52,12 +52,23 @@ def test_license_statements(spark):
 def test_archives(spark):
     pages = [(1, "http://a", "same", 0), (2, None, "same", 0), (3, "http://c", None, 0), (4, "u", "", 0), (5, "u\r\nX: y", "é" * 1000, 0), (None, "u", "same", 0), (2, None, "same", 0)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, owner int")
-    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    every = warc.round_trip(df).collect()
+    assert len(every) == 6  # a record for each row with an id
+    assert sorted((r.record_type, r.refers_to) for r in every if r.page_id == 2) == [("response", None), ("revisit", 2)]
+    got = {r.page_id: r for r in every if (r.page_id, r.record_type) != (2, "revisit")}
     want = {i: (h or "").encode() for i, _, h, _ in pages if i is not None}
     assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(h), base64.b32encode(hashlib.sha1(h).digest()).decode()) for i, h in want.items()}
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None)}
     assert warc.round_trip(df.limit(0)).count() == 0
-    assert {r.record_type for r in warc.round_trip(df, least_bytes=10).collect()} == {"response"}
+    few = warc.round_trip(df, least_bytes=10).collect()
+    assert {r.record_type for r in few} == {"response"} and len(few) == 6
+
+
+def test_repeated_rows_are_revisits(spark):
+    """Of many equal rows one record holds the payload; rows of one id with unlike payloads are kept apart."""
+    pages = [(1, "u", "aa")] * 3 + [(1, "u", "bb"), (0, "u", "aa"), (0, "v", "aa"), (3, "u", "cc")]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or -1) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect())
+    assert got == sorted([(1, 2, "response", -1), (1, 2, "revisit", 1), (1, 2, "revisit", 1), (1, 2, "response", -1), (0, 2, "revisit", 1), (0, 2, "revisit", 1), (3, 2, "response", -1)])
 
 
 def test_records_are_frames_of_their_own():
