@@ -95,3 +95,9 @@ def clock_label(x: Column) -> Column:
     hour, minute = (F.regexp_extract(x, r"^(\d{1,2}):(\d{2})$", k).try_cast("int") for k in (1, 2))
     label = F.concat(((hour + 11) % 12 + 1).cast("string"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.when(hour < 12, " AM").otherwise(" PM"))
     return F.when((hour < 24) & (minute < 60), label)
+
+
+def grounded(text: Column, name: Column) -> Column:
+    """Whether a script names a column as one: after a quote, a dot or a bracket, as a whole word, letter case aside."""
+    literal = F.regexp_replace(F.lower(name), r"([^a-z0-9_])", r"\\$1")
+    return F.regexp(F.lower(text), F.concat(F.lit("[\"'.\\[]"), literal, F.lit("(?![a-z0-9_])")))

@@ -104,3 +104,23 @@ def standardized(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         joined = joined.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0))
     return joined.select(*rows.columns)
+
+
+def scopes(rows: DataFrame, levels: Sequence[str], names: Sequence[str], amount: str) -> DataFrame:
+    """(scope, levels.., n, amount, holds): rows and exact amounts of all rows and of each level below.
+
+    ``names`` are the scopes from all rows down.  Rows without a value of a level
+    belong to the scopes above it only; ``holds`` tells whether the amounts of
+    the scopes just below add up to a scope's own, and is true at the bottom.
+    One aggregation at the finest grain; the scopes above are sums of its rows.
+    """
+    fine = rows.groupBy(*levels).agg(F.count("*").alias("n"), F.sum(amount).alias("amount"))
+    out = None
+    for depth, name in enumerate(names):
+        keys, below = list(levels[:depth]), levels[depth : depth + 1]
+        placed = F.expr(" and ".join(f"{k} is not null" for k in below) or "true")
+        whole = fine.where(" and ".join(f"{k} is not null" for k in keys) or "true").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.sum(F.when(placed, F.col("amount"))).alias("_below"))
+        rest = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in levels[depth:]]
+        part = whole.select(F.lit(name).alias("scope"), *keys, *rest, "n", "amount", (F.coalesce("_below", F.lit(0)) == F.col("amount")).alias("holds"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -56,3 +56,31 @@ def anomalies(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     counted = rows.agg(*(F.count_if(c).alias(k) for k, c in rules.items()))
     pairs = F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in rules))
     return counted.select(F.explode(pairs).alias("r")).select("r.rule", "r.n")
+
+
+def tolerance(total: Column, least: Column | float = 5) -> Column:
+    """What two figures of one thing may differ by: half a percent, ``least`` at least."""
+    return F.greatest(F.lit(least) if not isinstance(least, Column) else least, 0.005 * F.greatest(total, F.lit(1)))
+
+
+def audit(objects: DataFrame, key: str, rules: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(rule, checked, broken, net, worst, worst_gap): figures that ought to agree, all rules in one aggregation.
+
+    A rule is (stated, found, broken): two figures, and a test of them, null
+    where the rule does not apply to an object.  ``net`` is what the objects
+    state beyond what was found, over all that were checked; ``worst`` the
+    broken object with the largest gap, of equals the largest key.
+    """
+    parts = []
+    for i, (stated, found, broken) in enumerate(rules.values()):
+        gap = (stated - found).cast("double")
+        top = F.max(F.when(broken, F.struct(F.round(F.abs(gap), 2).alias("g"), F.col(key).alias("k"))))
+        parts += [F.count(broken).alias(f"_c{i}"), F.count_if(broken).alias(f"_b{i}"), F.round(F.sum(F.when(broken.isNotNull(), (stated - found).cast("decimal(38,2)"))).cast("double"), 2).alias(f"_n{i}"), top.alias(f"_t{i}")]
+    sums = objects.agg(*parts)
+    rows = [F.struct(F.lit(r).alias("rule"), F.col(f"_c{i}").alias("checked"), F.col(f"_b{i}").alias("broken"), F.col(f"_n{i}").alias("net"), F.col(f"_t{i}.k").alias("worst"), F.col(f"_t{i}.g").alias("worst_gap")) for i, r in enumerate(rules)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def conserved(expected: Column, fetched: Column, kept: Column, aside: Column, least: int = 2000, share: float = 0.01) -> Column:
+    """(conserved, complete): whether every fetched row was kept or set aside, and whether as many came as were announced, give or take."""
+    return F.struct((fetched == kept + aside).alias("conserved"), (F.abs(fetched - expected) <= F.greatest(F.lit(least), F.floor(expected * share))).alias("complete"))

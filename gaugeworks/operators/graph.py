@@ -43,3 +43,47 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     dangling = ends.join(nodes.select("node"), "node", "left_anti").select(F.lit("dangling").alias("rule"), "node")
     orphan = nodes.select("node").distinct().join(ends, "node", "left_anti").select(F.lit("orphan").alias("rule"), "node")
     return dangling.unionByName(orphan)
+
+
+def lineage_problems(
+    artifacts: DataFrame, files: DataFrame, transforms: DataFrame, scripts: DataFrame, writes: DataFrame, reads: DataFrame, sources: DataFrame, used: DataFrame, dictionaries: DataFrame
+) -> DataFrame:
+    """(rule, node, detail) of every break in a lineage that is written down against what there is.
+
+    artifacts (id, file, producer, retired), files (file), transforms (id,
+    script), scripts (script, text), writes and reads (transform, id), sources
+    (id, name, dictionary), used (source, column), dictionaries (dictionary,
+    column).  Rules: a file that is no artifact; an artifact without its file, or
+    without a producer unless retired; a transform without its script; a write
+    to no artifact, a read of neither artifact nor source; a write whose file, or
+    a read whose source, the script does not name; a used column that its
+    dictionary lacks (letter case aside), a source whose dictionary is missing.
+    Each rule is a join by key that keeps what found no partner.
+    """
+
+    def broken(rule: str, rows: DataFrame, node: str, detail: str) -> DataFrame:
+        return rows.select(F.lit(rule).alias("rule"), F.col(node).cast("string").alias("node"), F.col(detail).cast("string").alias("detail"))
+
+    ends = artifacts.select("id").unionByName(sources.select("id")).distinct()
+    texts = transforms.join(scripts, "script").select(F.col("id").alias("transform"), "text")
+    written = writes.join(artifacts.select("id", "file"), "id").join(texts, "transform")
+    read = reads.join(sources.select("id", "name"), "id").join(texts, "transform")
+    listed = dictionaries.select("dictionary", F.lower("column").alias("_c")).distinct()
+    columns = used.join(sources.select(F.col("id").alias("source"), "dictionary"), "source").withColumn("_c", F.lower("column"))
+    known = columns.join(listed.select("dictionary").distinct(), "dictionary", "left_semi")
+    found = [
+        broken("orphan file", files.join(artifacts, "file", "left_anti"), "file", "file"),
+        broken("missing file", artifacts.join(files, "file", "left_anti"), "id", "file"),
+        broken("no producer", artifacts.where("producer is null and not coalesce(retired, false)"), "id", "file"),
+        broken("missing script", transforms.join(scripts, "script", "left_anti"), "id", "script"),
+        broken("unknown write", writes.join(artifacts, "id", "left_anti"), "transform", "id"),
+        broken("unknown read", reads.join(ends, "id", "left_anti"), "transform", "id"),
+        broken("write not in script", written.where("not contains(text, file)"), "transform", "file"),
+        broken("read not in script", read.where("not contains(text, name)"), "transform", "name"),
+        broken("column not in dictionary", known.join(listed, ["dictionary", "_c"], "left_anti"), "source", "column"),
+        broken("missing dictionary", sources.where("dictionary is not null").join(listed.select("dictionary").distinct(), "dictionary", "left_anti"), "id", "dictionary"),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

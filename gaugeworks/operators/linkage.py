@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import names
+
 
 def subset_pairs(rows: DataFrame, block: str, id_col: str, tokens: str) -> DataFrame:
     """(block, a, b, a_rows, b_rows, similarity): where all tokens of ``a`` are among those of ``b``, with their Jaccard similarity.
@@ -27,17 +29,17 @@ def subset_pairs(rows: DataFrame, block: str, id_col: str, tokens: str) -> DataF
 def merged(rows: DataFrame, key: str, name: str, amount: str, overrides: DataFrame | None = None) -> DataFrame:
     """Groups of rows by key with their variants, total and best display name.
 
-    ``overrides`` (name, target) replaces keys first.  The best name has the most
-    lower-case letters, then the largest amount, then is shortest, then first in
-    the alphabet.
+    ``overrides`` (name, target) replaces keys first.  The best name is not
+    marked as retired, then has capitals and small letters, then the most rows,
+    then the largest amount, then is shortest, then first in the alphabet.
     """
     if overrides is not None:
         rows = rows.join(overrides.select(F.col("name").alias(name), "target"), name, "left").withColumn(key, F.coalesce("target", key)).drop("target")
-    lower = F.length(F.regexp_replace(name, "[^a-z]", ""))
+    mixed = F.col(name).rlike("[a-z]") & F.col(name).rlike("[A-Z]")
     per_name = rows.groupBy(key, name).agg(F.sum(F.col(amount).cast("decimal(18,2)")).alias("_a"), F.count("*").alias("_n"))
-    order = F.struct(lower, F.col("_a"), -F.length(name))
+    order = F.struct((~names.retired(F.col(name))).alias("_u"), mixed.alias("_m"), "_n", "_a", (-F.length(name)).alias("_l"))
     ties = per_name.withColumn("_o", order)
     best = ties.groupBy(key).agg(F.max("_o").alias("_o"))
-    names = ties.join(best, [key, "_o"]).groupBy(key).agg(F.min(name).alias("display"))
+    shown = ties.join(best, [key, "_o"]).groupBy(key).agg(F.min(name).alias("display"))
     total = per_name.groupBy(key).agg(F.count("*").alias("variants"), F.sum("_n").alias("n"), F.sum("_a").cast("double").alias("amount"))
-    return total.join(names, key)
+    return total.join(shown, key)

@@ -71,10 +71,11 @@ def log_interpolated(points: DataFrame, table: DataFrame, key: Sequence[str], x:
     return points.join(segments, list(key)).where(inside & below_next).withColumn(to, value).drop("_x0", "_y0", "_x1", "_y1", "_r")
 
 
-def dense_months(rows: DataFrame, month: str, fill: Sequence[str]) -> DataFrame:
-    """Every month between the first and the last, ``fill`` columns 0 where there was no row."""
-    axis = rows.agg(F.explode(F.sequence(F.min(month), F.max(month), F.expr("interval 1 month"))).alias(month))
-    return axis.join(rows, month, "left").select(month, *(F.coalesce(c, F.lit(0)).alias(c) if c in fill else F.col(c) for c in rows.columns if c != month))
+def dense_months(rows: DataFrame, month: str, fill: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
+    """Every month between a key's first and last, ``fill`` columns 0 where there was no row; ``rows`` has one a key and month."""
+    ends = rows.groupBy(*key).agg(F.min(month).alias("_a"), F.max(month).alias("_b"))
+    axis = ends.select(*key, F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias(month))
+    return axis.join(rows, [*key, month], "left").select(*key, month, *(F.coalesce(c, F.lit(0)).alias(c) if c in fill else F.col(c) for c in rows.columns if c not in (*key, month)))
 
 
 def sessions(rows: DataFrame, key: Sequence[str], at: str, gap: str) -> DataFrame:

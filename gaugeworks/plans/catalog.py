@@ -341,13 +341,13 @@ def first_last_seen_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with o as (select user_id, min(event_id) as opened, arg_min(ts, event_id) as opened_at from events where event_type = 'error' group by 1),
-s as (select e.user_id, min(event_id) as settled from events e join o using (user_id) where event_type = 'purchase' and event_id >= opened group by 1)
+with o as (select user_id, min(event_id) as opened, arg_min(ts, event_id) as opened_at from events where event_type = 'error' and value >= 80 group by 1),
+s as (select e.user_id, min(event_id) as settled from events e join o using (user_id) where event_type = 'purchase' and value >= 120 and event_id >= opened group by 1)
 select o.user_id, opened, settled, case when settled is not null then 'settled' when date '2024-01-30' - cast(opened_at as date) > 21 then 'stale' else 'pending' end as state from o left join s using (user_id)
 """)
 def appeal_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-07: first error of a user, the first purchase after it, and what is open too long."""
-    opens, settles = F.col("event_type") == "error", F.col("event_type") == "purchase"
+    """WIN-07: first large error of a user, the first large purchase after it, and what is open too long."""
+    opens, settles = (F.col("event_type") == "error") & (F.col("value") >= 80), (F.col("event_type") == "purchase") & (F.col("value") >= 120)
     out = windows.opened_and_settled(table(spark, d, "events"), "user_id", "event_id", "ts", opens, settles, F.lit("2024-01-30").cast("date"), 21)
     return out.select("user_id", "opened", "settled", "state")
 
@@ -366,24 +366,23 @@ def loglog_interpolation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with m as (select date_trunc('month', o_orderdate)::date as month, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as amount from orders where o_orderpriority = '1-URGENT' and o_totalprice >= 490000 group by 1),
-a as (select unnest(generate_series((select min(month) from m)::timestamp, (select max(month) from m)::timestamp, interval 1 month))::date as month)
-select cast(a.month as varchar) as month, coalesce(n, 0) as n, amount from a left join m using (month)
+with m as (select o_custkey, date_trunc('month', o_orderdate)::date as month, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as amount from orders group by 1, 2),
+a as (select o_custkey, unnest(generate_series(min(month)::timestamp, max(month)::timestamp, interval 1 month))::date as month from m group by 1)
+select o_custkey, cast(a.month as varchar) as month, coalesce(n, 0) as n, amount from a left join m using (o_custkey, month)
 """)
 def dense_month_axis(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-10: months without rows appear; counts are 0 there and amounts null."""
-    rows = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice >= 490000")
-    months = rows.groupBy(F.trunc(_day("o_orderdate"), "month").alias("month")).agg(F.count("*").alias("n"), aggregates.exact_sum("o_totalprice").alias("amount"))
-    return windows.dense_months(months, "month", ["n"]).withColumn("month", F.col("month").cast("string"))
+    """WIN-10: each customer's months without rows appear; counts are 0 there and amounts null."""
+    months = table(spark, d, "orders").groupBy("o_custkey", F.trunc(_day("o_orderdate"), "month").alias("month")).agg(F.count("*").alias("n"), aggregates.exact_sum("o_totalprice").alias("amount"))
+    return windows.dense_months(months, "month", ["n"], ["o_custkey"]).withColumn("month", F.col("month").cast("string"))
 
 
 @query("""
-select l_suppkey, bit_or((case when l_returnflag = 'R' then 1 else 0 end) | (case when l_linestatus = 'F' then 2 else 0 end) | (case when l_discount > 0.05 then 4 else 0 end)) as mask, bool_or(l_tax > 0.07) as taxed, bool_and(l_quantity > 0) as positive from lineitem group by 1
+select l_orderkey, bit_or((case when l_returnflag = 'R' then 1 else 0 end) | (case when l_linestatus = 'F' then 2 else 0 end) | (case when l_discount > 0.05 then 4 else 0 end)) as mask, bool_or(l_tax > 0.07) as taxed, bool_and(l_quantity > 5) as plenty from lineitem group by 1
 """)
 def bitmask_or(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-04, AGG-05, PRJ-07: flags of all lines of a supplier."""
+    """AGG-04, AGG-05, PRJ-07: flags of all lines of an order."""
     mask = classify.bitmask([(F.col("l_returnflag") == "R", 1), (F.col("l_linestatus") == "F", 2), (F.col("l_discount") > 0.05, 4)])
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.bit_or(mask).alias("mask"), F.bool_or(F.col("l_tax") > 0.07).alias("taxed"), F.bool_and(F.col("l_quantity") > 0).alias("positive"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bit_or(mask).alias("mask"), F.bool_or(F.col("l_tax") > 0.07).alias("taxed"), F.bool_and(F.col("l_quantity") > 5).alias("plenty"))
 
 
 @query("""

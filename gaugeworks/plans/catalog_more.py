@@ -85,7 +85,7 @@ with w as (select p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a
 select array_to_string(list_sort(t), ' ') as key, count(*) as n, count(distinct p_brand) as brands, cast(sum(cast(p_retailprice as decimal(18,2))) as double) as amount from w group by 1
 """)
 def normalized_name_groups(spark: SparkSession, d: str) -> DataFrame:
-    """UDF-01: names merged by their sorted distinct words."""
+    """Names merged by their sorted distinct words."""
     key = F.array_join(F.sort_array(F.array_distinct(names.words(F.col("p_name")))), " ")
     return table(spark, d, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"), aggregates.exact_sum("p_retailprice").alias("amount"))
 
@@ -100,17 +100,37 @@ def token_subset_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linkage.subset_pairs(rows, "p_brand", "p_partkey", "t")
 
 
-@query("""
-with v as (select lower(p_brand) as key, p_brand || case when p_partkey % 3 = 0 then ' co' else '' end as name, p_retailprice from part),
+_APPLICANTS = """
+with v as (select p_partkey, p_retailprice, case p_partkey % 8 when 0 then 'CITY OF BURG ' || p_type when 1 then 'Burg ' || lower(p_type) || ', City of' when 2 then 'Burg ' || lower(p_type) || ' City Of (2)' when 3 then 'DO NOT USE - burg ' || lower(p_type) || ' city' when 4 then '(do not use) Burg ' || p_type || ' / Dept. City' when 5 then 'Burg ' || p_type || ' Hwy Dept. / HWY DEPT' when 6 then 'burg ' || p_type || ' Co Op & Svcs' else 'Town of Burg ' || p_type || ' (DUPLICATE)' end as name,
+p_brand || '|' || case when p_partkey % 8 < 4 then 'city of burg ' || lower(p_type) when p_partkey % 8 = 4 then 'city of burg ' || lower(p_type) || ' department' when p_partkey % 8 = 5 then 'burg ' || lower(p_type) || ' highway department' when p_partkey % 8 = 6 then 'burg ' || lower(p_type) || ' cooperative services' else 'town of burg ' || lower(p_type) end as key from part)
+"""
+
+
+def _applicants(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as applicants of a county (the brand) whose names are spelled in many ways."""
+    k, low = F.col("p_partkey") % 8, F.lower("p_type")
+    spelled = [
+        F.concat(F.lit("CITY OF BURG "), "p_type"), F.concat(F.lit("Burg "), low, F.lit(", City of")), F.concat(F.lit("Burg "), low, F.lit(" City Of (2)")), F.concat(F.lit("DO NOT USE - burg "), low, F.lit(" city")),
+        F.concat(F.lit("(do not use) Burg "), "p_type", F.lit(" / Dept. City")), F.concat(F.lit("Burg "), "p_type", F.lit(" Hwy Dept. / HWY DEPT")), F.concat(F.lit("burg "), "p_type", F.lit(" Co Op & Svcs")), F.concat(F.lit("Town of Burg "), "p_type", F.lit(" (DUPLICATE)")),
+    ]
+    name = F.get(F.array(*spelled), k.cast("int"))
+    return table(spark, d, "part").select("p_partkey", "p_retailprice", name.alias("name"), F.concat_ws("|", "p_brand", names.applicant_key(name)).alias("key"))
+
+
+@query(_APPLICANTS + "select p_partkey, name, key from v")
+def applicant_keys(spark: SparkSession, d: str) -> DataFrame:
+    """UDF-01: names without marks, record numbers and repeated endings, abbreviations spelled out, kinds of places in front."""
+    return _applicants(spark, d).select("p_partkey", "name", "key")
+
+
+@query(_APPLICANTS + """,
 n as (select key, name, sum(cast(p_retailprice as decimal(18,2))) as a, count(*) as n from v group by 1, 2),
-r as (select *, row_number() over (partition by key order by length(regexp_replace(name, '[^a-z]', '', 'g')) desc, a desc, length(name), name) as r from n)
+r as (select *, row_number() over (partition by key order by not regexp_matches(name, '(?i)do not use|duplicate') desc, regexp_matches(name, '[a-z]') and regexp_matches(name, '[A-Z]') desc, n desc, a desc, length(name), name) as r from n)
 select key, count(*) as variants, cast(sum(n) as bigint) as n, cast(sum(a) as double) as amount, max(name) filter (r = 1) as display from r group by 1
 """)
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
-    """UDAF-02: variants of a key with totals and the best display name."""
-    name = F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, " co").otherwise(""))
-    rows = table(spark, d, "part").select(F.lower("p_brand").alias("key"), name.alias("name"), "p_retailprice")
-    return linkage.merged(rows, "key", "name", "p_retailprice")
+    """UDAF-02: variants of a key with totals and the best display name: not marked, with small letters, of most rows, dearest, shortest."""
+    return linkage.merged(_applicants(spark, d), "key", "name", "p_retailprice")
 
 
 @query("""
@@ -127,14 +147,16 @@ def knn_gaussian_analogs(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with recursive e as (select 'r' || r_regionkey as src, 'n' || n_nationkey as dst from nation join region on r_regionkey = n_regionkey union all select 'n' || s_nationkey, 's' || s_suppkey from supplier),
 c as (select 'r' || r_regionkey as root, 'r' || r_regionkey as node, 0 as depth from region union all select root, dst, depth + 1 from c join e on src = node)
-select root, count(*) as nodes, max(depth) as depth from c group by 1
+select root, count(*) as nodes, max(depth) as depth, max(case when s_acctbal < -900 then 2 when s_acctbal < 0 then 1 when s_acctbal is not null then 0 end) as worst, count(s_suppkey) as inputs from c left join supplier on node = 's' || s_suppkey group by 1
 """)
 def recursive_cone(spark: SparkSession, d: str) -> DataFrame:
-    """GRF-03: everything downstream of a region."""
+    """GRF-03: everything downstream of a region, and the worst health of anything in it."""
     n, s, r = table(spark, d, "nation"), table(spark, d, "supplier"), table(spark, d, "region")
     edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).unionByName(s.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst")))
     found = graph.cone(edges, r.select(F.concat(F.lit("r"), "r_regionkey").alias("node")))
-    return found.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+    rank = F.when(F.col("s_acctbal") < -900, 2).when(F.col("s_acctbal") < 0, 1).otherwise(0)
+    worst = graph.worst_input(found, s.select(F.concat(F.lit("s"), "s_suppkey").alias("node"), rank.alias("rank")))
+    return found.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth")).join(worst, "root", "left")
 
 
 @query("""
@@ -199,14 +221,41 @@ def modified_z_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select 'late' as rule, count(*) filter (cast(l_shipdate as date) - cast(o_orderdate as date) > 90) as n from lineitem join orders on l_orderkey = o_orderkey union all
-select 'free', count(*) filter (l_discount >= 0.1) from lineitem join orders on l_orderkey = o_orderkey union all select 'mismatch', count(*) filter (l_extendedprice > o_totalprice) from lineitem join orders on l_orderkey = o_orderkey
-""")
+with c as (select l_orderkey, count(*) as n, max(l_linenumber) as stated, sum(x) as total, sum(case when l_discount > 0 then x end) as sorted, sum(case when l_shipdate < timestamp '2001-06-01' then x end) as dated,
+sum(case when l_returnflag = 'A' then x end) as ha, sum(case when l_returnflag = 'R' then x end) as ona, sum(case when l_linestatus = 'F' then x end) as ab, max(l_linestatus) as mirror from (select *, cast(l_extendedprice as decimal(18,2)) as x from lineitem) group by 1),
+o as (select c.*, cast(o_totalprice as decimal(18,2)) as pa, o_orderstatus from c join orders on o_orderkey = l_orderkey),
+r as (select 'count' as rule, l_orderkey as k, cast(stated as decimal(38,2)) as a, cast(n as decimal(38,2)) as b, stated <> n as broken from o
+union all select 'by year', l_orderkey, pa, coalesce(dated, 0), coalesce(dated, 0) - pa > greatest(5, 0.005 * greatest(pa, 1)) from o where dated is not null
+union all select 'breakdown', l_orderkey, total, sorted, abs(total - sorted) > greatest(5, 0.005 * greatest(total, 1)) from o where sorted is not null
+union all select 'two parts', l_orderkey, total, coalesce(ha, 0) + coalesce(ona, 0), abs(total - coalesce(ha, 0) - coalesce(ona, 0)) > 1 from o where ha is not null or ona is not null
+union all select 'within', l_orderkey, pa, coalesce(ab, 0), coalesce(ab, 0) - pa > 1 from o
+union all select 'mirror', l_orderkey, cast(case when o_orderstatus = 'P' then null when o_orderstatus <> mirror then 1 else 0 end as decimal(38,2)), 0, o_orderstatus <> mirror from o where o_orderstatus <> 'P')
+select rule, count(*) as checked, count(*) filter (broken) as broken, round(cast(sum(a - b) as double), 2) as net, max({'g': round(cast(abs(a - b) as double), 2), 'k': k}) filter (broken)['k'] as worst, round(cast(max(abs(a - b)) filter (broken) as double), 2) as worst_gap from r group by 1
+""".replace("max({'g': round(cast(abs(a - b) as double), 2), 'k': k}) filter (broken)['k']", "arg_max(k, {'g': round(cast(abs(a - b) as double), 2), 'k': k}) filter (broken)"))
 def rule_violations(spark: SparkSession, d: str) -> DataFrame:
-    """AUD-01..06: rows that break each of several rules, counted in one pass."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    late = F.datediff(_day("l_shipdate"), _day("o_orderdate")) > 90
-    return buckets.anomalies(rows, {"late": late, "free": F.col("l_discount") >= 0.1, "mismatch": F.col("l_extendedprice") > F.col("o_totalprice")})
+    """AUD-01, AUD-03, AUD-04, AUD-06: counts, years, breakdowns and parts of every order against what it states, within the tolerances, in one aggregation."""
+    x, flag = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_returnflag")
+
+    def of(test):
+        return F.sum(F.when(test, x))
+
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.max("l_linenumber").alias("stated"), F.sum(x).alias("total"), of(F.col("l_discount") > 0).alias("sorted"), of(F.col("l_shipdate") < F.lit("2001-06-01").cast("timestamp_ntz")).alias("dated"),
+        of(flag == "A").alias("ha"), of(flag == "R").alias("ona"), of(F.col("l_linestatus") == "F").alias("ab"), F.max("l_linestatus").alias("mirror"),
+    )
+    rows = lines.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("pa", F.col("o_totalprice").cast("decimal(18,2)"))
+    none = F.lit(0).cast("decimal(38,2)")
+    pa, total, dated, parts, ab = F.col("pa"), F.col("total"), F.coalesce("dated", none), F.coalesce("ha", none) + F.coalesce("ona", none), F.coalesce("ab", none)
+    other = F.col("o_orderstatus") != F.col("mirror")
+    rules = {
+        "count": (F.col("stated"), F.col("n"), F.col("stated") != F.col("n")),
+        "by year": (pa, dated, F.when(F.col("dated").isNotNull(), dated - pa > buckets.tolerance(pa))),
+        "breakdown": (total, F.col("sorted"), F.abs(total - F.col("sorted")) > buckets.tolerance(total)),
+        "two parts": (total, parts, F.when(F.col("ha").isNotNull() | F.col("ona").isNotNull(), F.abs(total - parts) > 1)),
+        "within": (pa, ab, ab - pa > 1),
+        "mirror": (F.when(other, 1).otherwise(0), none, F.when(F.col("o_orderstatus") != "P", other)),
+    }
+    return buckets.audit(rows, "l_orderkey", rules)
 
 
 @query("""

@@ -157,15 +157,15 @@ def first_contained_word(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with m as (select l_suppkey, case when sum(l_quantity) < 1000 then 0 when sum(l_quantity) < 1400 then 1 when sum(l_quantity) < 1600 then 2 else 3 end as bin, max(case when l_discount >= 0.1 then 1 else 0 end) as declared from lineitem where l_returnflag <> 'N' group by 1),
+with m as (select l_suppkey, case when avg(l_quantity) < 24.5 then 0 when avg(l_quantity) < 25.5 then 1 when avg(l_quantity) < 26.5 then 2 else 3 end as bin, case when 20 * count(*) filter (l_discount >= 0.1) >= count(*) then 1 else 0 end as declared from lineitem where l_returnflag <> 'N' group by 1),
 k as (select s_nationkey, bin, count(*) as n, sum(declared) as d from m join supplier on s_suppkey = l_suppkey group by 1, 2)
 select s_nationkey, bin, n, cast(sum(n) over (partition by s_nationkey) as bigint) as pool, round(d / cast(n as double), 3) as rate from k
 """)
 def pooled_histogram(spark: SparkSession, d: str) -> DataFrame:
     """AGG-42: a parameter's bins within each state's pool and the declared share of every bin."""
-    total = F.sum("l_quantity")
-    bins = F.when(total < 1000, 0).when(total < 1400, 1).when(total < 1600, 2).otherwise(3)
-    m = table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy("l_suppkey").agg(bins.alias("bin"), F.max(F.when(F.col("l_discount") >= 0.1, 1).otherwise(0)).alias("declared"))
+    mean = F.avg("l_quantity")
+    bins = F.when(mean < 24.5, 0).when(mean < 25.5, 1).when(mean < 26.5, 2).otherwise(3)
+    m = table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy("l_suppkey").agg(bins.alias("bin"), F.when(20 * F.count_if(F.col("l_discount") >= 0.1) >= F.count("*"), 1).otherwise(0).alias("declared"))
     k = m.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("s_nationkey", "bin").agg(F.count("*").alias("n"), F.sum("declared").alias("declared"))
     pool = F.sum("n").over(Window.partitionBy("s_nationkey"))
     return k.select("s_nationkey", "bin", "n", pool.alias("pool"), F.round(F.col("declared") / F.col("n"), 3).alias("rate"))

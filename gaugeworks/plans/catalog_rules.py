@@ -47,12 +47,12 @@ def unit_conversions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, case when p_type like '%BRASS%' then 'flood' when p_size >= 40 then 'tornado' when p_type like 'SMALL%' then 'wind' when p_name like '%hot%' then 'heat' else 'other' end as family,
+select p_partkey, case when p_type like '%PROMO%' then 'flood' when p_size >= 40 then 'tornado' when p_type like 'SMALL%' then 'wind' when p_name like '%hot%' then 'heat' else 'other' end as family,
 (p_size > 25 or p_retailprice > 1500) as declared, case p_brand[7:7] when '1' then 'IL' when '2' then 'IN' when '3' then 'MI' else '??' end as state from part
 """)
 def hazard_families(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-08, PRJ-12, PRJ-16, FLT-11: a class by priority, a flag by OR, a code by a constant map."""
-    rules = [(F.col("p_type").contains("BRASS"), "flood"), (F.col("p_size") >= 40, "tornado"), (F.col("p_type").startswith("SMALL"), "wind"), (F.col("p_name").contains("hot"), "heat")]
+    rules = [(F.col("p_type").contains("PROMO"), "flood"), (F.col("p_size") >= 40, "tornado"), (F.col("p_type").startswith("SMALL"), "wind"), (F.col("p_name").contains("hot"), "heat")]
     codes = F.create_map(*map(F.lit, ("1", "IL", "2", "IN", "3", "MI")))
     code = F.coalesce(F.try_element_at(codes, F.substring("p_brand", 7, 1)), F.lit("??"))
     return table(spark, d, "part").select("p_partkey", classify.first_matching(rules, "other").alias("family"), ((F.col("p_size") > 25) | (F.col("p_retailprice") > 1500)).alias("declared"), code.alias("state"))
@@ -89,15 +89,15 @@ def dominant_incident(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select p_partkey, case when left(p_type, 1) in ('S', 'M') then 'in' when left(p_type, 1) in ('L', 'P') then 'out' else 'unk' end as zone,
-case when lower(p_type) like '%steel%' then 'fire' when lower(p_type) like '%tin%' then 'prep' when lower(p_type) like '%copper%' or lower(p_type) like '%nickel%' then 'port' end as program,
-case when p_brand = 'Brand#11' then 'covid' when p_size < 20 then 'em' else 'dr' end as class from part
+case when p_name like '%gear%' then 'fire' when p_name like '%old%' then 'prep' when p_name like '%bolt%' or p_name like '%gizmo%' then 'port' end as program,
+case when p_brand = 'Brand#1' then 'covid' when p_size < 20 then 'em' else 'dr' end as class from part
 """)
 def zone_program_and_class(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-20, PRJ-21, PRJ-23: classes by first letter, by keyword priority, and exclusive ones."""
-    low, first = F.lower("p_type"), F.left("p_type", F.lit(1))
+    low, first = F.lower("p_name"), F.left("p_type", F.lit(1))
     zone = classify.first_matching([(first.isin("S", "M"), "in"), (first.isin("L", "P"), "out")], "unk")
-    program = classify.first_matching([(low.contains("steel"), "fire"), (low.contains("tin"), "prep"), (low.contains("copper") | low.contains("nickel"), "port")], None)
-    kind = classify.first_matching([(F.col("p_brand") == "Brand#11", "covid"), (F.col("p_size") < 20, "em")], "dr")
+    program = classify.first_matching([(low.contains("gear"), "fire"), (low.contains("old"), "prep"), (low.contains("bolt") | low.contains("gizmo"), "port")], None)
+    kind = classify.first_matching([(F.col("p_brand") == "Brand#1", "covid"), (F.col("p_size") < 20, "em")], "dr")
     return table(spark, d, "part").select("p_partkey", zone.alias("zone"), program.alias("program"), kind.alias("class"))
 
 
@@ -178,12 +178,30 @@ def exact_attribution(spark: SparkSession, d: str) -> DataFrame:
 select doc_id, (contains(lower(text), 'license') or contains(lower(text), 'idiot')) and not contains(lower(text), 'mit license') as banned, regexp_matches(text, '(?i)["''.\\[ ]license\\b') as grounded from documents
 """)
 def banned_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-18, FN-20: banned phrases with an allowed one, and a name that stands as a name."""
+    """FLT-18: banned phrases with an allowed one, and a word that stands as a word."""
     low = F.lower("text")
     banned = (low.contains("license") | low.contains("idiot")) & ~low.contains("mit license")
     return table(spark, d, "documents").select("doc_id", banned.alias("banned"), F.col("text").rlike(r"""(?i)["'.\[ ]license\b""").alias("grounded"))
 
 
+@query("""
+with u as (select p_partkey, p_partkey % 6 as k, p_name || ' (' || p_brand || ')' as col from part)
+select p_partkey, col as "column", k in (0, 1, 2) as grounded from u
+""")
+def grounded_columns(spark: SparkSession, d: str) -> DataFrame:
+    """FN-20: whether a script names a dictionary's column after a quote, a dot or a bracket, as a whole word."""
+    k, name = F.col("p_partkey") % 6, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    script = (
+        F.when(k == 0, F.concat(F.lit("row.get('"), name, F.lit("')")))
+        .when(k == 1, F.concat(F.lit('df["'), F.upper(name), F.lit('"] ; df.'), name, F.lit("s")))
+        .when(k == 2, F.concat(F.lit("x["), name, F.lit("]")))
+        .when(k == 3, F.concat(F.lit("# the "), name, F.lit(" of each row")))
+        .when(k == 4, F.concat(F.lit("row['"), name, F.lit("_total']")))
+        .otherwise(F.concat(F.lit("row['"), F.replace(name, F.lit("("), F.lit("[")), F.lit("']")))
+    )
+    return table(spark, d, "part").select("p_partkey", name.alias("column"), parsing.grounded(script, name).alias("grounded"))
+
+
 @query("""
 select c_custkey, s.n as population, coalesce(s.h, c_acctbal) as housing, cast(null as double) as optional from customer left join (select s_nationkey, count(*) as n, max(case when s_acctbal > 9000 then s_acctbal end) as h from supplier group by 1) s on s_nationkey = c_nationkey
 """)
@@ -219,11 +237,11 @@ def cells_by_parameter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with f as (select *, row_number() over (partition by user_id, cast(ts as date) order by event_id) as r from events)
-select o_orderkey, event_id as first_event from orders left join f on user_id = o_custkey and cast(ts as date) = cast(o_orderdate as date) and r = 1
+select o_orderkey, event_id as first_event from orders left join f on user_id = o_custkey and cast(ts as date) - 8766 = cast(o_orderdate as date) and r = 1
 """)
 def first_detail(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-22, WIN-03: the first detail row of a key and raw date, merged onto each row."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("o_custkey"), _day("ts").alias("day"), F.col("event_id").alias("first_event"))
+    """JOIN-22, WIN-03: the first detail row of a key and raw date, merged onto each row; events are dated 24 years back, onto the orders."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("o_custkey"), F.date_sub(_day("ts"), 8766).alias("day"), F.col("event_id").alias("first_event"))
     first = joins.keep_first(e, ["o_custkey", "day"], "first_event")
     return table(spark, d, "orders").withColumn("day", _day("o_orderdate")).join(first, ["o_custkey", "day"], "left").select("o_orderkey", "first_event")
 
@@ -272,16 +290,24 @@ def display_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with e as (select s_suppkey, regexp_replace(case when s_suppkey % 3 = 0 then 'Band ' || s_suppkey else n_name || s_suppkey end, '[0-9]+$', '') as name from supplier join nation on n_nationkey = s_nationkey)
-select s_suppkey, trim(name) as name, coalesce(cast(n_nationkey as varchar), 'tribal') as entity from e left join nation on n_name = trim(name)
+with s as (select chr(65 + n_nationkey // 5) || chr(65 + n_nationkey % 5) as code, r_name as region, n_nationkey from nation join region on r_regionkey = n_regionkey),
+e as (select s_suppkey, s_suppkey % 6 as k, code, region from supplier join s on n_nationkey = s_nationkey)
+select s_suppkey, case when k < 2 then 'state' else 'tribal' end as kind, case when k < 2 then code when k = 5 then 'ZZ' else 'Nation' end as code, case k when 2 then 'Upper River Band ' || code when 3 then 'Band of the Lake, ' || code when 4 then 'Lost Band' end as name,
+case k when 0 then code when 1 then code when 2 then 'BC' when 3 then code end as state, case k when 2 then (select region from s where code = 'BC') when 4 then null when 5 then null else region end as region from e
 """)
 def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
-    """FN-19, UDF-03: names without trailing numbers, looked up; others are of their own kind."""
-    n = table(spark, d, "nation")
-    s = table(spark, d, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("given")), "s_nationkey")
-    raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Band "), F.col("s_suppkey").cast("string"))).otherwise(F.concat("given", F.col("s_suppkey").cast("string")))
-    named = s.select("s_suppkey", F.trim(F.regexp_replace(raw, "[0-9]+$", "")).alias("name"))
-    return named.join(n.select(F.col("n_name").alias("name"), "n_nationkey"), "name", "left").select("s_suppkey", "name", F.coalesce(F.col("n_nationkey").cast("string"), F.lit("tribal")).alias("entity"))
+    """FN-19, UDF-03: entities as lists print them: codes with a footnote's number, nations named by footnotes, placed by a part of the name or its end."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    code = F.concat(*(F.expr(f"char(65 + {x})") for x in ("n_nationkey div 5", "n_nationkey % 5")))
+    states = n.select("n_nationkey", code.alias("code"), "r_name")
+    every = states.agg(F.map_from_entries(F.collect_list(F.struct("code", "r_name"))).alias("states"))  # one row, an entry a state
+    rows = table(spark, d, "supplier").join(states, F.col("n_nationkey") == F.col("s_nationkey")).join(F.broadcast(every))
+    k, mark = F.col("s_suppkey") % 6, F.col("s_suppkey").cast("string")
+    raw = F.when(k == 0, F.concat("code", mark)).when(k == 1, F.concat(F.lit("  "), F.lower("code"), F.lit(" "))).when(k == 5, "ZZ").otherwise(F.concat(F.lit("Nation "), mark))
+    note = F.when(k == 2, F.concat(F.lit("Upper River Band "), "code")).when(k == 3, F.concat(F.lit("Band of the Lake, "), "code")).otherwise("Lost Band")
+    tribes = F.create_map(*map(F.lit, ("river band", "BC", "lost band of", "AA")))
+    found = names.resolved_entity(raw, F.create_map(mark, note), F.col("states"), tribes)
+    return rows.select("s_suppkey", found.alias("e")).select("s_suppkey", "e.*")
 
 
 @query("""
@@ -332,13 +358,13 @@ def header_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select o_orderkey, coalesce(i.v, d.v) as level, case when i.v is not null then 'instant' when d.v is not null then 'daily' end as kind from orders
-left join (select user_id, cast(ts as date) as day, max(value) as v from events where event_type = 'view' group by 1, 2) i on i.user_id = o_custkey and i.day = cast(o_orderdate as date)
+left join (select user_id, cast(ts as date) - 8766 as day, max(value) as v from events where event_type = 'view' group by 1, 2) i on i.user_id = o_custkey and i.day = cast(o_orderdate as date)
 left join (select user_id, max(value) as v from events group by 1) d on d.user_id = o_custkey
 """)
 def instant_else_daily(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-11: the finer source first, the coarser one for what it lacks."""
+    """SRC-11: the finer source first, the coarser one for what it lacks; readings are dated 24 years back, onto the orders."""
     e = table(spark, d, "events").withColumnRenamed("user_id", "o_custkey")
-    fine = e.where("event_type = 'view'").groupBy("o_custkey", _day("ts").alias("day")).agg(F.max("value").alias("i"))
+    fine = e.where("event_type = 'view'").groupBy("o_custkey", F.date_sub(_day("ts"), 8766).alias("day")).agg(F.max("value").alias("i"))
     coarse = e.groupBy("o_custkey").agg(F.max("value").alias("d"))
     rows = table(spark, d, "orders").withColumn("day", _day("o_orderdate")).join(fine, ["o_custkey", "day"], "left").join(coarse, "o_custkey", "left")
     return rows.select("o_orderkey", F.coalesce("i", "d").alias("level"), classify.first_matching([(F.col("i").isNotNull(), "instant"), (F.col("d").isNotNull(), "daily")], None).alias("kind"))

@@ -56,7 +56,7 @@ def episodes(rows: DataFrame) -> DataFrame:
     )
 
 
-def declared(panel: DataFrame, incidents: DataFrame, before: int = 4, after: int = 10) -> DataFrame:
+def declared(panel: DataFrame, incidents: DataFrame, before: int = 10, after: int = 4) -> DataFrame:
     """The panel with ``declared``, ``dn`` and ``cost`` of the highest-numbered incident of the county that overlaps.
 
     ``incidents``: (fips, dn, incident_begin, incident_end, cost).  An incident

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, catalog_documents, catalog_extra, catalog_models, catalog_more, catalog_rest, catalog_rollups, catalog_rules, catalog_sources, catalog_state  # noqa: F401  (all fill the same tables)
+from . import catalog, catalog_documents, catalog_extra, catalog_lineage, catalog_models, catalog_more, catalog_rest, catalog_rollups, catalog_rules, catalog_sources, catalog_state  # noqa: F401  (all fill the same tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,9 +33,12 @@ def test_panel(spark, tmp_path):
     assert set(got) == {"27001", "27003"}
     a = got["27001"]
     assert (a.begin, a.end, a.gust, a.ef, a.tornadoes, a.damage, a.flood, a.zoned) == (D(2010, 5, 3), D(2010, 5, 4), 69, 2, 1, 2506000, True, True)
-    incidents = spark.createDataFrame([("27001", 9, D(2010, 5, 14), D(2010, 6, 1), 5.0), ("27001", 8, D(2010, 5, 1), D(2010, 5, 9), 7.0), ("27003", 9, D(2010, 5, 15), D(2010, 6, 1), 5.0)], "fips string, dn int, incident_begin date, incident_end date, cost double")
+    incidents = spark.createDataFrame([("27001", 9, D(2010, 5, 8), D(2010, 6, 1), 5.0), ("27001", 8, D(2010, 5, 1), D(2010, 5, 9), 7.0), ("27003", 9, D(2010, 5, 9), D(2010, 6, 1), 5.0)], "fips string, dn int, incident_begin date, incident_end date, cost double")
     labelled = panel.declared(episodes, incidents)
     assert {r.fips: (r.declared, r.dn) for r in labelled.collect()} == {"27001": (1, 9), "27003": (0, None)}
+    # an episode may begin ten days after an incident's end and end four days before its begin
+    edges = spark.createDataFrame([("27001", 5, D(2010, 4, 1), D(2010, 4, 23), 1.0), ("27003", 5, D(2010, 4, 1), D(2010, 4, 23), 1.0)], incidents.schema)
+    assert {r.fips: r.declared for r in panel.declared(episodes, edges).collect()} == {"27001": 1, "27003": 0}
     rain = spark.createDataFrame([("27001", D(2010, 5, d), 0.5, 1.0 * d) for d in (1, 3, 4, 5)] + [("27001", D(2010, 4, 22), 2.0, 9.0)], "fips string, day date, mean double, most double")
     wet = {r.fips: r for r in panel.with_rain(labelled, rain).collect()}
     assert (wet["27001"].rain_day_max, wet["27001"].rain_event, wet["27001"].rain_before_7, wet["27001"].rain_before_14) == (4.0, 1.0, 0.5, 2.5)
