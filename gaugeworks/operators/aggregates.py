@@ -51,6 +51,19 @@ def percentiles(rows: DataFrame, group: Sequence[str], value: str, at: Mapping[s
     return sizes.join(found, list(group), "left").select(*group, "n", *between)
 
 
+def percent_ranks(rows: DataFrame, group: Sequence[str], value: str, to: str) -> DataFrame:
+    """``rows`` with ``to``: the share of the group's other rows whose value is smaller; 0 in a group of one, null for a null value.
+
+    Values are counted and ranked by ranges, so neither a hot group nor the
+    whole table is one task.
+    """
+    by_value = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    sizes = by_value.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    ranked = running(by_value, group, value, ["_c"]).join(sizes, list(group))
+    place = F.when(F.col("_n") > 1, (F.col("_c_upto") - F.col("_c")) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    return rows.join(ranked.select(*group, value, place.alias(to)), [*group, value], "left")
+
+
 def upper_median(rows: DataFrame, group: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
     """Middle value, the upper one of an even count; values are counted and ranked by ranges."""
     by_value = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.aggregates import percentiles
+
 
 def largest_adjacent_drop(series: DataFrame, key: Sequence[str], day: str, value: str) -> DataFrame:
     """Largest fall from one calendar day to the next; a missing day breaks the pair; at least 0."""
@@ -84,9 +86,12 @@ def sessions(rows: DataFrame, key: Sequence[str], at: str, gap: str) -> DataFram
 
 
 def outliers(rows: DataFrame, group: Sequence[str], value: str, limit: float = 3.5) -> DataFrame:
-    """High values by modified z-score: 0.6745 * (x - median) / MAD over ``limit`` and more than twice the median."""
-    middle = rows.groupBy(*group).agg(F.percentile(value, 0.5).alias("median"))
+    """High values by modified z-score: 0.6745 * (x - median) / MAD over ``limit`` and more than twice the median.
+
+    Medians run over ranges of values, so a hot group is spread over tasks.
+    """
+    middle = percentiles(rows, group, value, {"median": 0.5}).drop("n")
     off = rows.join(middle, list(group)).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    spread = off.groupBy(*group).agg(F.percentile("_d", 0.5).alias("mad"))
+    spread = percentiles(off, group, "_d", {"mad": 0.5}).drop("n")
     score = 0.6745 * (F.col(value) - F.col("median")) / F.col("mad")
     return off.join(spread, list(group)).where((F.col("mad") > 0) & (score > limit) & (F.col(value) > 2 * F.col("median"))).drop("_d")

@@ -218,7 +218,7 @@ select c_nationkey, cast(floor(quantile_cont(c_acctbal, 0.5)) as bigint) as floo
 def median_variants(spark: SparkSession, d: str) -> DataFrame:
     """AGG-12: floor of the interpolated median, and the upper middle value."""
     rows = table(spark, d, "customer")
-    floor = rows.groupBy("c_nationkey").agg(F.floor(F.percentile("c_acctbal", 0.5)).cast("long").alias("floor_median"))
+    floor = aggregates.percentiles(rows, ["c_nationkey"], "c_acctbal", {"m": 0.5}).select("c_nationkey", F.floor("m").cast("long").alias("floor_median"))
     return floor.join(aggregates.upper_median(rows, ["c_nationkey"], "c_acctbal"), "c_nationkey")
 
 

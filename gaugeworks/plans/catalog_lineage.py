@@ -15,10 +15,10 @@ _FILE = "'f' || p_partkey || '.json'"
 
 
 @query(f"""
-with a as (select p_partkey as id, {_FILE} as file, case when p_size > 2 then p_partkey % 100 end as producer, p_size = 1 as retired from part where p_retailprice < 1880),
-f as (select {_FILE} as file from part where p_retailprice >= 920), s as (select p_partkey, p_partkey % 100 as t from part),
+with a as (select p_partkey as id, {_FILE} as file, case when p_size > 2 then p_partkey % 100 end as producer, p_size = 1 as retired from part where p_size <> 7),
+f as (select {_FILE} as file from part where p_size <> 11), s as (select p_partkey, p_partkey % 100 as t from part),
 t as (select s_suppkey as id, 's' || s_suppkey as script from supplier), x as (select 's' || s_suppkey as script, s_suppkey as t from supplier where s_acctbal > -500),
-src as (select n_nationkey + 1000000 as id, n_name as name, case when n_nationkey % 5 < 4 then 'd' || n_regionkey end as dictionary from nation),
+src as (select n_nationkey + 1000000 as id, n_name as name, case when n_nationkey % 4 < 3 then 'd' || n_regionkey end as dictionary from nation),
 dict as (select 'd' || n_regionkey as dictionary, n_name as col from nation where n_regionkey <> 4)
 select 'orphan file' as rule, file as node, file as detail from f where file not in (select file from a)
 union all select 'missing file', id::varchar, file from a where file not in (select file from f)
@@ -36,12 +36,12 @@ def lineage_problems(spark: SparkSession, d: str) -> DataFrame:
     part, supplier, nation = table(spark, d, "part"), table(spark, d, "supplier"), table(spark, d, "nation")
     file = F.concat(F.lit("f"), "p_partkey", F.lit(".json"))
     maker = F.col("p_partkey") % 100
-    artifacts = part.where("p_retailprice < 1880").select(F.col("p_partkey").alias("id"), file.alias("file"), F.when(F.col("p_size") > 2, maker).alias("producer"), (F.col("p_size") == 1).alias("retired"))
-    files = part.where("p_retailprice >= 920").select(file.alias("file"))
+    artifacts = part.where("p_size <> 7").select(F.col("p_partkey").alias("id"), file.alias("file"), F.when(F.col("p_size") > 2, maker).alias("producer"), (F.col("p_size") == 1).alias("retired"))
+    files = part.where("p_size <> 11").select(file.alias("file"))
     transforms = supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s"), "s_suppkey").alias("script"))
     writes = part.select(maker.alias("transform"), F.col("p_partkey").alias("id"))
     reads = supplier.select(F.col("s_suppkey").alias("transform"), (F.col("s_nationkey") + 1_000_000 + F.when(F.col("s_suppkey") % 9 == 0, 50).otherwise(0)).cast("long").alias("id"))
-    sources = nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 < 4, F.concat(F.lit("d"), "n_regionkey")).alias("dictionary"))
+    sources = nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 < 3, F.concat(F.lit("d"), "n_regionkey")).alias("dictionary"))
     used = nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("source"), F.concat(F.lit("n"), F.substring("n_name", 2, 99), F.when(F.col("n_nationkey") % 3 == 0, "x").otherwise("")).alias("column"))
     dictionaries = nation.where("n_regionkey <> 4").select(F.concat(F.lit("d"), "n_regionkey").alias("dictionary"), F.col("n_name").alias("column"))
     # a script names the files that it writes, but for every seventh, and the source that it reads, but for every fourth script

@@ -286,9 +286,10 @@ cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by o_custkey order
 """)
 def shares_and_standing(spark: SparkSession, d: str) -> DataFrame:
     """WIN-15, WIN-16, DOC-07: share of a group, percent rank and running total."""
-    by, rank = Window.partitionBy("o_custkey"), Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
+    by = Window.partitionBy("o_custkey")
     run = by.orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / F.sum("o_totalprice").over(by), 8).alias("share"), F.round(F.percent_rank().over(rank), 8).alias("standing"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(run).cast("double").alias("running"))
+    ranked = aggregates.percent_ranks(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "standing")
+    return ranked.select("o_orderkey", F.round(F.col("o_totalprice") / F.sum("o_totalprice").over(by), 8).alias("share"), F.round("standing", 8).alias("standing"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(run).cast("double").alias("running"))
 
 
 @query("""

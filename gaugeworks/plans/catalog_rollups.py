@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import classify
 from gaugeworks.operators import aggregates, buckets, learning, sinks, windows
+from gaugeworks.operators.ranges import running
 from gaugeworks.sources.readers import table
 
 from .catalog import _day, query
@@ -92,7 +93,7 @@ with n as (select distinct p_brand from part) select p_partkey, p_brand, cast((s
 def dictionary_codes(spark: SparkSession, d: str) -> DataFrame:
     """SNK-01, SNK-02: names as numbers of a dictionary, the table through JSON and back."""
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    codes = part.select("p_brand").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("p_brand")) - 1)  # one row a brand
+    codes = running(part.groupBy("p_brand").agg(F.lit(1).alias("one")), (), "p_brand", ["one"]).select("p_brand", (F.col("one_upto") - 1).cast("int").alias("code"))
     text = part.join(codes, "p_brand").select(F.to_json(F.struct("p_partkey", "p_brand", "code")).alias("j"))
     return text.select(F.from_json("j", "p_partkey long, p_brand string, code int").alias("r")).select("r.*")
 
