@@ -138,45 +138,15 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _rays(compared: DataFrame, comp: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between rays of one star that are not connected yet.
-
-    A ray is what it lost and what it added to the hub, so the intersection of
-    two rays follows from their differences, without their full sets.  For a link
-    two rays must share a number of added (or else of lost) items; each ray is
-    listed under its rarest items only, as many as make sure that a pair with
-    enough in common meets under one of them, so an item that many rays added (a
-    footer, say) pairs none for its own sake.
-    """
+    """(a, b): links between rays of one star that are not connected yet."""
     groups = scratch.table(
         compared.groupBy("hub").agg(F.count("*").alias("rays"), F.count_if(~F.col("link")).alias("apart")).where("rays > 1 and apart > 0").select("hub"), "groups"
     )
+    if groups.isEmpty():
+        return groups.select(F.col("hub").alias("a"), F.col("hub").alias("b"))
     rays = compared.join(groups, "hub", "left_semi").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     rays = scratch.table(rays.withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id"), "rays")
-    few, many = F.least("u.n", "y.n"), F.greatest("u.n", "y.n")
-    least = F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent))
-
-    def meeting(kind: str) -> DataFrame:
-        # no partner asks less of a ray than one of the least size that may link with it
-        asked = F.ceil(F.col("n") * percent / 100) - F.col("hub_n") + F.size("lost")
-        if kind == "lost":
-            asked = F.lit(1)  # sharing one is all that is known
-        facts = F.struct("rep", "n", "link", "comp", F.size("lost").alias("lost"), F.size("added").alias("added"))
-        items = rays.select("hub", "hub_n", F.explode(kind).alias("item"), facts.alias("r"), asked.alias("asked"))
-        common = items.groupBy("hub", "item").agg(F.count("*").alias("rays"), F.count_if(~F.col("r.link")).alias("apart")).where("rays > 1 and apart > 0")
-        listed = items.join(scratch.table(common.select("hub", "item", "rays"), "common"), ["hub", "item"])
-        mine = Window.partitionBy("hub", "r.rep")
-        ranked = listed.withColumn("held", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("rays", "item")))
-        kept = scratch.table(ranked.where(F.col("rank") <= F.col("held") - F.greatest("asked", F.lit(1)) + 1).select("hub", "hub_n", "item", "r"), kind)
-        u, y = kept.where("not r.link").withColumnRenamed("r", "u"), kept.drop("hub_n").withColumnRenamed("r", "y")
-        need = least - F.col("hub_n") + F.greatest("u.lost", "y.lost")
-        may = (F.col("u.comp") != F.col("y.comp")) & (F.col("y.link") | (F.col("u.rep") < F.col("y.rep"))) & (100 * few >= percent * many)
-        if kind == "lost":  # where no added item need be shared
-            may &= need <= 0
-            need = least - F.col("hub_n") + F.col("u.lost") + F.col("y.lost") - F.least("u.added", "y.added")
-        may &= need <= F.least(f"u.{kind}", f"y.{kind}")  # neither has more to share
-        return u.join(y, ["hub", "item"]).where(may).select("hub", F.col("u.rep").alias("a"), F.col("y.rep").alias("b"))
-
-    pairs = scratch.table(meeting("added").unionByName(meeting("lost")).distinct(), "pairs")
+    pairs = scratch.table(meeting(rays, percent, scratch), "pairs")
     x = rays.select("hub", "hub_n", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("lost").alias("al"), F.col("added").alias("aa"))
     z = rays.select("hub", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("lost").alias("bl"), F.col("added").alias("ba"))
     shared = F.col("hub_n") - F.size(F.array_union("al", "bl")) + F.size(F.array_intersect("aa", "ba"))
@@ -184,6 +154,46 @@ def _rays(compared: DataFrame, comp: DataFrame, percent: int, scratch: Scratch)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def meeting(rays: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(hub, a, b): rays of one star that may link and are not connected; no link is left out.
+
+    ``rays``: hub, hub_n, rep, n, lost, added, link, comp, in a written table.
+    Two rays share |h| - lost(u) - lost(y) + common lost + common added, so a
+    link needs ``least - |h| + lost(u) + lost(y)`` common differences, one at least
+    where one of them is not linked with the hub.  Rays are classed by size and
+    number lost.  For each class that may hold a partner a ray is listed under
+    its rarest differences only, as many as leave fewer than are needed, counting
+    those that another ray of the star has too.  So what many rays lost or added
+    (a footer, say) pairs none for its own sake.
+    """
+    lost = F.size("lost")
+    step = (F.floor(F.log(F.col("n")) / F.log(F.lit(1.03))) * 1000 + F.floor(F.log1p(lost) / F.log(F.lit(1.12)))).cast("int")
+    facts = rays.select("hub", "hub_n", "rep", "n", "link", "comp", lost.alias("l"), (lost + F.size("added")).alias("d"), step.alias("c"))
+    classes = facts.groupBy("hub", F.col("c").alias("with")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("l").alias("least_l"), F.bool_or(~F.col("link")).alias("apart"))
+    tagged = [rays.select("hub", "rep", F.col("link"), F.explode(kind).alias("item"), F.lit(kind == "lost").alias("gone")) for kind in ("lost", "added")]
+    items = tagged[0].unionByName(tagged[1])
+    common = items.groupBy("hub", "gone", "item").agg(F.count("*").alias("rays"), F.count_if(~F.col("link")).alias("apart")).where("rays > 1 and apart > 0")
+    mine = Window.partitionBy("hub", "rep")
+    listed = items.drop("link").join(scratch.table(common.select("hub", "gone", "item", "rays"), "common"), ["hub", "gone", "item"])
+    ranked = scratch.table(
+        listed.select("hub", "rep", "gone", "item", F.count("*").over(mine).alias("held"), F.row_number().over(mine.orderBy("rays", "gone", "item")).alias("rank")), "ranked"
+    )
+    # what any partner of a class asks for at least
+    asked = F.greatest(F.ceil(percent * (F.col("n") + F.col("least_n")) / (100 + percent)) - F.col("hub_n") + F.col("l") + F.col("least_l"), F.lit(1))
+    sizes = (100 * F.col("n") >= percent * F.col("least_n")) & (100 * F.col("most_n") >= percent * F.col("n"))
+    wanted = facts.join(scratch.table(classes, "classes"), "hub").where((~F.col("link") | F.col("apart")) & sizes).withColumn("asked", asked).where(F.col("asked") <= F.col("d"))
+    wanted = wanted.select("hub", "rep", F.least("c", "with").alias("c1"), F.greatest("c", "with").alias("c2"), "asked", F.struct("rep", "n", "link", "comp", "l", "d", "c", "hub_n").alias("r"))
+    kept = scratch.table(
+        wanted.join(ranked, ["hub", "rep"]).where(F.col("rank") <= F.col("held") - F.col("asked") + 1).select("hub", "c1", "c2", "gone", "item", "r"), "kept"
+    )
+    u, y = kept.withColumnRenamed("r", "u"), kept.withColumnRenamed("r", "y")
+    few, many = F.least("u.n", "y.n"), F.greatest("u.n", "y.n")
+    need = F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent)) - F.col("u.hub_n") + F.col("u.l") + F.col("y.l")
+    once = F.when(F.col("c1") == F.col("c2"), F.col("u.rep") < F.col("y.rep")).otherwise((F.col("u.c") == F.col("c1")) & (F.col("y.c") == F.col("c2")))
+    may = once & (F.col("u.comp") != F.col("y.comp")) & ~(F.col("u.link") & F.col("y.link")) & (100 * few >= percent * many) & (need <= F.least("u.d", "y.d"))
+    return u.join(y, ["hub", "c1", "c2", "gone", "item"]).where(may).select("hub", F.col("u.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def _one_set(sk: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Sketches with one set an id; where ids have several, the rows as they were given come second."""
     ends = F.struct("n_shingles", "k1", "k2")
@@ -245,8 +255,8 @@ def near_duplicates(
     )
     scratch.drop(buckets, members, fame, famous, hubs)
     compared = scratch.table(
-        star.join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("x")), "hub")
-        .join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
+        star.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
+        .join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("x")), "hub")
         .select("hub", "hub_n", "rep", "n", F.array_except("x", "y").alias("lost"), F.array_except("y", "x").alias("added"))
         .withColumn("link", (100 + percent) * (F.col("hub_n") - F.size("lost")) >= percent * (F.col("hub_n") + F.col("n"))),
         "compared",
