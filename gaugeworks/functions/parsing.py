@@ -17,7 +17,7 @@ def falsy_to(x: Column, *others: Column, default: object = 0) -> Column:
 
 
 def money(x: Column) -> Column:
-    """Dollars of ``2.50K``, ``10M``, ``1.2B``, ``3T`` or a plain amount; unreadable text is 0."""
+    """Dollars of an amount with a final K, M, B or T (thousands to trillions) or without; unreadable text is 0."""
     text = F.upper(F.trim(x.cast("string")))
     scale = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for p in (("K", 1e3), ("M", 1e6), ("B", 1e9), ("T", 1e12)) for v in p)), F.right(text, F.lit(1))), F.lit(1.0))
     digits = F.regexp_extract(text, r"^(-?[0-9]*\.?[0-9]+)[KMBT]?$", 1)
@@ -75,14 +75,15 @@ def infer_year(month: Column, day: Column, seen_on: Column, grace_days: int = 0)
 
 
 def printed_date(text: Column, seen_on: Column) -> Column:
-    """Date of ``Oct 24``, ``June 3`` or ``Jul 3, 2023``; without a year the most recent one not after ``seen_on``, null if unreadable."""
-
-    def part(k: int) -> Column:
-        return F.regexp_extract(text, r"^\s*([A-Za-z]{3,})\s+(\d{1,2})(?:,\s*(\d{4}))?", k)
-
-    month = F.date_format(F.try_to_date(F.concat(F.initcap(F.left(part(1), F.lit(3))), F.lit(" 2000")), "MMM yyyy"), "MM")
-    full = F.try_to_date(F.concat_ws("-", F.nullif(part(3), F.lit("")), month, pad_code(part(2), 2)), "yyyy-MM-dd")
-    return F.when(part(3) != "", full).otherwise(infer_year(month, part(2), seen_on))
+    """Date of a month's name and a day, as ``Apr 9`` or ``April 9, 2021``; without a year the most recent one not after ``seen_on``, null if unreadable."""
+    head, rest = F.get(F.split(text, ","), F.lit(0)), F.trim(F.get(F.split(text, ","), F.lit(1)))
+    words = F.split(F.trim(head), r"\s+")
+    name, day = F.get(words, F.lit(0)), F.get(words, F.lit(1)).substr(1, 2)
+    number = F.coalesce(day.try_cast("int"), F.left(day, F.lit(1)).try_cast("int"))
+    month = F.month(F.try_to_date(F.concat(F.initcap(F.left(name, F.lit(3))), F.lit(" 2000")), "MMM yyyy"))
+    year = F.when(F.size(words) == 2, F.left(rest, F.lit(4)).try_cast("int"))
+    whole = F.try_to_date(F.concat_ws("-", year, pad_code(month, 2), pad_code(number, 2)), "yyyy-MM-dd")
+    return F.when(year >= 1000, whole).otherwise(infer_year(month, number, seen_on))
 
 
 def epoch_date(millis: Column) -> Column:

@@ -12,10 +12,10 @@ from gaugeworks.sources import readers
 
 def test_printed_dates(spark):
     seen = dt.date(2024, 3, 1)
-    texts = ["Oct 24", "June 3", "Jul 3, 2025", "Feb 29", "Feb 30", "Foo 3", "Jul 41, 2023", "", None, "mar 1"]
+    texts = ["Nov 24", "July 3", "Aug 3, 2025", "Feb 29", "Feb 30", "Foo 3", "Aug 41, 2023", "", None, "mar 1"]
     rows = spark.createDataFrame([(k, t, seen) for k, t in enumerate(texts)], "k int, t string, s date")
     got = [r.d for r in rows.select("k", parsing.printed_date(F.col("t"), F.col("s")).alias("d")).orderBy("k").collect()]
-    assert got == [dt.date(2023, 10, 24), dt.date(2023, 6, 3), dt.date(2025, 7, 3), dt.date(2024, 2, 29), None, None, None, None, None, dt.date(2024, 3, 1)]
+    assert got == [dt.date(2023, 11, 24), dt.date(2023, 7, 3), dt.date(2025, 8, 3), dt.date(2024, 2, 29), None, None, None, None, None, dt.date(2024, 3, 1)]
 
 
 def test_polygon_rings_and_centroids(spark):
