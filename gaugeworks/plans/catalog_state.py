@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import sinks
 from gaugeworks.sources import scratch
 from gaugeworks.sources.readers import table
 from gaugeworks.sources.versions import Versions, rewritten
-from gaugeworks.streaming import inventory, revisions
+from gaugeworks.streaming import inventory, revisions, windows
 
 from .catalog import query
 
@@ -81,3 +81,53 @@ def stamped_versions(spark: SparkSession, d: str) -> DataFrame:
     held.clean()
     seen += [told("published", held.read()), told("pinned", pinned)]
     return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+
+
+def _run(stream: DataFrame, kind: str) -> DataFrame:
+    """What a stream of rows without updates has written when it has read all there is."""
+    home = scratch.folder(stream.sparkSession, kind)
+    windows.run_available(stream, f"{home}/checkpoint", f"{home}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{home}/rows")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""
+select event_type, user_id, cast(min(cast(ts as date)) as varchar) as day from events group by event_type, user_id
+""")
+def streamed_sightings(spark: SparkSession, d: str) -> DataFrame:
+    """STR-04: each key of a recurring listing once, by a stream that forgets what the watermark has passed; its first day from what is left."""
+    stream = _stream(spark, d)
+    daily = _run(windows.once(stream.withColumn("day", F.col("ts").cast("date")), "40 days", "event_type", "user_id", "day"), "sightings")
+    return daily.groupBy("event_type", "user_id").agg(F.min("day").cast("string").alias("day"))
+
+
+@query("""
+with t as (select user_id, max(value) as threshold from events where event_type = 'purchase' group by 1)
+select event_id, e.user_id, round(value / threshold, 6) as share from events e join t using (user_id) where event_type = 'error' and value >= threshold
+""")
+def streamed_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """STR-08: live readings that reach their place's past peak, a stream joined with a static table."""
+    peaks = table(spark, d, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.max("value").alias("threshold"))
+    found = _run(windows.alerts(_stream(spark, d).where("event_type = 'error'").select("event_id", "user_id", "value"), peaks, "user_id"), "alerts")
+    return found.select("event_id", "user_id", F.round("share", 6).alias("share"))
+
+
+@query("""
+with e as (select user_id % 10 as region, cast(ts as date) as day, value from events where event_type = 'purchase'), n as (select max(day) as newest from e),
+a as (select region, unnest(generate_series(newest - 13, newest, interval 1 day))::date as day from (select distinct region from e), n),
+r as (select a.region, a.day, count(value) as n, coalesce(cast(sum(cast(value as decimal(18,2))) as double), 0) as amount from a left join e on e.region = a.region and e.day = a.day group by 1, 2)
+select region, cast(day as varchar) as day, n, amount, cast(sum(n) over (partition by region order by day rows between 6 preceding and current row) as bigint) as week from r
+""")
+def trailing_feed(spark: SparkSession, d: str) -> DataFrame:
+    """STR-05: the last 14 days of a feed by region, days without rows as 0, each with the count of the week that it ends; rebuilt from the table each day."""
+    e = table(spark, d, "events").where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("region"), F.col("ts").cast("date").alias("day"), "value")
+    newest = e.agg(F.max("day").alias("newest"))
+    regions = e.select("region").distinct().join(F.broadcast(newest))  # one row
+    axis = regions.select("region", F.explode(F.sequence(F.date_sub("newest", 13), F.col("newest"))).alias("day"))
+    daily = e.groupBy("region", "day").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("amount"))
+    feed = axis.join(daily, ["region", "day"], "left").select("region", "day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    week = Window.partitionBy("region").orderBy("day").rowsBetween(-6, 0)  # 14 rows a region
+    return feed.select("region", F.col("day").cast("string").alias("day"), "n", "amount", F.sum("n").over(week).alias("week"))

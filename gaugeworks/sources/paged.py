@@ -18,11 +18,14 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, date, datetime, timedelta
+from decimal import Decimal
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
 from pyspark.sql import datasource
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import DataType, DateType, DecimalType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
 PAGE, LIST = 1000, 45
 _OPERATORS = {
@@ -48,14 +51,42 @@ def fetch(url: str, tries: int = 4, wait: float = 1.0, opener: Callable = urlope
 
 
 def _literal(value: object) -> str | None:
-    """A value in the service's words; None where it has none."""
+    """A value in the service's words, times in UTC; None where it has none."""
     if isinstance(value, bool):
         return str(value).lower()
-    if isinstance(value, int):
+    if isinstance(value, int | Decimal):
         return str(value)
+    if isinstance(value, datetime):
+        whole = value.astimezone(UTC) if value.tzinfo else value.replace(tzinfo=UTC)
+        return f"'{whole:%Y-%m-%dT%H:%M:%S}.{whole.microsecond // 1000:03d}z'" if whole.microsecond % 1000 == 0 else None
+    if isinstance(value, date):
+        return f"'{value:%Y-%m-%d}T00:00:00.000z'"
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else None
 
 
+def _compared(column: str, word: str, value: object) -> str | None:
+    """``column word value`` in the service's words; a day stands for all its times there."""
+    if isinstance(value, date) and not isinstance(value, datetime):
+        day, next_ = _literal(value), _literal(value + timedelta(1))
+        words = {"eq": f"({column} ge {day} and {column} lt {next_})", "gt": f"{column} ge {next_}", "ge": f"{column} ge {day}", "lt": f"{column} lt {day}", "le": f"{column} lt {next_}"}
+        return words[word]
+    text = _literal(value)
+    return None if text is None else f"{column} {word} {text}"
+
+
+def _value(x: object, kind: DataType) -> object:
+    """A JSON value as a column of ``kind`` takes it: dates and times are text there, numbers may be."""
+    if x is None or x == "":
+        return x if isinstance(kind, StringType) else None
+    if isinstance(kind, DateType | TimestampType | TimestampNTZType):
+        moment = datetime.fromisoformat(str(x).upper().replace("Z", "+00:00"))
+        moment = moment.astimezone(UTC) if moment.tzinfo else moment.replace(tzinfo=UTC)
+        return moment.date() if isinstance(kind, DateType) else moment.replace(tzinfo=None) if isinstance(kind, TimestampNTZType) else moment
+    if isinstance(kind, DecimalType):
+        return Decimal(str(x))
+    return float(x) if isinstance(kind, DoubleType | FloatType) else x
+
+
 def clause(condition: datasource.Filter) -> str | None:
     """A condition on one column in the service's words; None where Spark has to judge it."""
     if isinstance(condition, datasource.Not):
@@ -65,10 +96,10 @@ def clause(condition: datasource.Filter) -> str | None:
     if isinstance(condition, datasource.IsNotNull | datasource.IsNull):
         return f"{column} {'ne' if isinstance(condition, datasource.IsNotNull) else 'eq'} null"
     if isinstance(condition, datasource.In):
-        values = [_literal(v) for v in condition.value]
-        return None if None in values or not values else "(" + " or ".join(f"{column} eq {v}" for v in values) + ")"
-    word, value = _OPERATORS.get(type(condition)), _literal(getattr(condition, "value", None))
-    return None if word is None or value is None else f"{column} {word} {value}"
+        values = [_compared(column, "eq", v) for v in condition.value]
+        return None if None in values or not values else "(" + " or ".join(values) + ")"
+    word = _OPERATORS.get(type(condition))
+    return None if word is None else _compared(column, word, getattr(condition, "value", None))
 
 
 @dataclass
@@ -82,7 +113,7 @@ class Page(InputPartition):
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options: dict):
-        self.names, self.options = [f.name for f in schema.fields], options
+        self.names, self.kinds, self.options = [f.name for f in schema.fields], [f.dataType for f in schema.fields], options
         self.pushed, self.lists = [options["filter"]] if "filter" in options else [], []
         self.size = int(options.get("page", PAGE))
 
@@ -133,7 +164,7 @@ class PagedReader(DataSourceReader):
         total = self._count(partition.keys) if partition.rows < 0 else partition.rows
         for k in range(0, total, self.size):
             for row in self._page(partition.skip + k, min(self.size, total - k), partition.keys):
-                yield tuple(row.get(n) for n in self.names)
+                yield tuple(_value(row.get(n), kind) for n, kind in zip(self.names, self.kinds, strict=True))
 
 
 class PagedSource(DataSource):

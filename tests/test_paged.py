@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.sources import paged
 
-ROWS = [{"id": k, "name": f"n'{k % 3}", "v": None if k % 5 == 0 else k} for k in range(230)]
+ROWS = [{"id": k, "name": f"n'{k % 3}", "v": None if k % 5 == 0 else k, "at": None if k % 11 == 0 else f"2020-0{1 + k % 3}-1{k % 4}T{k % 24:02d}:30:00.000z"} for k in range(230)]
 _WORDS = {" eq null": " is None", " ne null": " is not None", " eq ": " == ", " ge ": " >= ", " gt ": " > ", " le ": " <= ", " lt ": " < "}
 
 
@@ -65,6 +65,22 @@ def test_conditions_are_passed_on(spark, service):
     assert any("name eq 'n''1'" in a and "id ge 100" in a for a in asked)
 
 
+def test_days_and_times_are_passed_on(spark, service):
+    url, asked = service
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(paged.PagedSource)
+    for kind, tests in {
+        "date": [("= '2020-02-11'", lambda x: x[:10] == "2020-02-11"), ("> '2020-02-11'", lambda x: x[:10] > "2020-02-11"), ("<= '2020-01-12'", lambda x: x[:10] <= "2020-01-12"), ("< '2020-01-12'", lambda x: x[:10] < "2020-01-12"), ("in ('2020-01-10', '2020-03-13')", lambda x: x[:10] in ("2020-01-10", "2020-03-13"))],
+        "timestamp": [(">= timestamp '2020-02-11T05:30:00Z'", lambda x: x >= "2020-02-11T05:30:00.000z"), ("= timestamp '2020-01-10T12:30:00Z'", lambda x: x == "2020-01-10T12:30:00.000z")],
+    }.items():
+        rows = spark.read.format("paged").schema(f"id int, at {kind}").options(url=url, key="items", page="50").load()
+        for words, meets in tests:
+            asked.clear()
+            got = rows.where(f"at {words}").collect()
+            assert sorted(r.id for r in got) == [r["id"] for r in ROWS if r["at"] and meets(r["at"])], words
+            assert any("at " in a and "2020-" in a for a in asked), words
+
+
 def test_key_sweep_takes_all_rows_or_fails(spark, service):
     url, _ = service
     assert sorted(r.id for r in _read(spark, url, sweep="id,0,240,70").collect()) == list(range(230))
