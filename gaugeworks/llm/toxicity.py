@@ -26,8 +26,10 @@ from .store import Scratch, by_ids, looked_up, one_text
 from .words import Words, mix, slices, utf8
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Labelled documents that the trees are fitted on at most (about); the lexicon counts all.
+#: Labelled documents that the trees are fitted on at most (about).
 FIT_ROWS = 20_000
+#: Bytes of labelled texts that the lexicon counts at most (about), drawn by a hash of the id; this bounds what reaches the driver and the tasks.
+LEARN_BYTES = 2 << 30
 #: Documents with label 1 that a learned entry needs.
 SUPPORT = 3
 
@@ -182,7 +184,7 @@ def _odds(t: np.ndarray, c: np.ndarray, n_toxic: float, n_clean: float) -> np.nd
 
 
 def lexicon(labelled: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
-    """Learn log odds from (text, toxic); keeps every entry well above chance (about 32 bytes each on the driver)."""
+    """Learn log odds from (text, toxic); keeps every entry well above chance, about 32 bytes each, on the driver: bound what is given."""
     counts = mapped(labelled.select("text", "toxic"), _counted, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t") + 0.1, F.col("c") + 0.5
     odds = F.log(t / (n_toxic - F.col("t") + 0.9)) - F.log(c / (n_clean - F.col("c") + 0.5))
@@ -201,19 +203,28 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from labelled documents outside the held-out fold."""
+    """Learn from labelled documents outside the held-out fold, from about ``LEARN_BYTES`` of their texts at most."""
     scratch = Scratch(docs.sparkSession, "toxic")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     marks = scratch.table(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     texts = one_text(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), scratch)
     labelled = looked_up(texts, marks, "doc_id")
-    total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_clean, n_toxic = total.get(0, 0), total.get(1, 0)
+
+    def measured(rows: DataFrame) -> dict[int, tuple[int, int]]:
+        return {r["toxic"]: (r["n"], r["b"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+
+    total = measured(labelled)
+    known = min(1.0, LEARN_BYTES / max(sum(b for _, b in total.values()), 1))
+    if known < 1:
+        marks = scratch.table(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < known * (1 << 30)), "known")
+        labelled = looked_up(texts, marks, "doc_id")
+        total = measured(labelled)
+    n_clean, n_toxic = (total.get(k, (0, 0))[0] for k in (0, 1))
     if not n_clean or not n_toxic:
         base = float(n_toxic > 0) if n_clean + n_toxic else 0.0
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros((3, 0))), trees.Boosted(steps=(np.array([0.0]), np.array([base]))))
     words = lexicon(labelled, n_toxic, n_clean)
-    share = min(1.0, FIT_ROWS / (n_clean + n_toxic))
+    share = known * min(1.0, FIT_ROWS / (n_clean + n_toxic))
     drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     drawn = looked_up(by_ids(texts, drawn.select("doc_id"), "left_semi"), marks, "doc_id")
 
