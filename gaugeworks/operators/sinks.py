@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 
 class Refused(ValueError):
-    """A gate found rows that break its rule; nothing was written."""
+    """A gate found rows that break its rules; nothing was written. ``broken`` counts them by rule."""
+
+    def __init__(self, broken: dict[str, int]):
+        super().__init__(f"not written: {broken}")
+        self.broken = broken
 
 
 def gated_write(rows: DataFrame, path: str, checks: dict[str, Callable[[DataFrame], int]], mode: str = "errorifexists") -> None:
     """Write Parquet when every check counts 0 violations, else raise ``Refused`` and write nothing."""
     broken = {k: n for k, f in checks.items() if (n := f(rows))}
     if broken:
-        raise Refused(f"not written: {broken}")
+        raise Refused(broken)
     rows.write.mode(mode).parquet(path)
 
 

@@ -131,3 +131,32 @@ def trailing_feed(spark: SparkSession, d: str) -> DataFrame:
     feed = axis.join(daily, ["region", "day"], "left").select("region", "day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
     week = Window.partitionBy("region").orderBy("day").rowsBetween(-6, 0)  # 14 rows a region
     return feed.select("region", F.col("day").cast("string").alias("day"), "n", "amount", F.sum("n").over(week).alias("week"))
+
+
+@query("""
+select 'orders' as name, count(*) as written, null as broken from orders
+union all select 'customer', 0, count(*) from customer where c_acctbal < 0
+union all select 'customer in credit', count(*), null from customer where c_acctbal >= 0
+""")
+def gated_writes(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-03: tables that are written only if their checks find nothing; a refused one leaves no file."""
+    home = scratch.folder(spark, "gated")
+    customer = table(spark, d, "customer")
+    given = {
+        "orders": (table(spark, d, "orders"), {"without key": lambda rows: rows.where("o_orderkey is null").count()}),
+        "customer": (customer, {"overdrawn": lambda rows: rows.where("c_acctbal < 0").count()}),
+        "customer in credit": (customer.where("c_acctbal >= 0"), {"overdrawn": lambda rows: rows.where("c_acctbal < 0").count()}),
+    }
+    out = None
+    for name, (rows, checks) in given.items():
+        path = f"{home}/{name.replace(' ', '_')}"
+        try:
+            sinks.gated_write(rows, path, checks)
+            seen = spark.read.parquet(path).agg(F.count("*").alias("written")).select(F.lit(name).alias("name"), "written", F.lit(None).cast("long").alias("broken"))
+        except sinks.Refused as refused:
+            system, at = scratch.filesystem(spark, path)
+            if system.exists(at):
+                raise ValueError(f"{path} was written although it was refused") from refused
+            seen = spark.range(1).select(F.lit(name).alias("name"), F.lit(0).cast("long").alias("written"), F.lit(sum(refused.broken.values())).cast("long").alias("broken"))
+        out = seen if out is None else out.unionByName(seen)
+    return out

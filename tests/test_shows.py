@@ -19,6 +19,7 @@ VARIES = {
     "enriched_panel": ["declared", "rain_event", "rain_before_14", "snow_depth_before", "snow_melt"],
     "event_overlay": ["level"],
     "first_detail": ["first_event"],
+    "gated_writes": ["written", "broken"],
     "grounded_columns": ["grounded"],
     "hazard_families": ["family", "state"],
     "instant_else_daily": ["kind"],
@@ -39,6 +40,9 @@ VARIES = {
     "script_matrices": ["days", "last_depth"],
     "seed_constants": ["basis"],
     "stamped_versions": ["stamped"],
+    "streamed_alerts": ["share"],
+    "streamed_sightings": ["day"],
+    "trailing_feed": ["n", "week"],
     "state_panel_rows": ["counties", "declared"],
     "threshold_panel": ["indicator", "large_project"],
     "two_part_costs": ["effect", "expected", "tweedie"],
