@@ -243,10 +243,12 @@ def near_vectors(
     held = members.select("entry", "vec_id").unionByName(single.select(F.col("vec_id").alias("entry"), "vec_id"))
     full, open_ = decided(pairs, entries, entries, "whole")
     # the members of one side against the other as a whole, then vector by vector
-    half = open_.join(held.select(F.col("entry").alias("a"), F.col("vec_id").alias("v")), "a").select(F.col("v").alias("a"), "b")
-    half_full, half_open = decided(scratch.table(half, "half"), vectors, entries, "halves")
-    each = half_open.join(held.select(F.col("entry").alias("b"), F.col("vec_id").alias("v")), "b").select("a", F.col("v").alias("b"))
-    links, _ = decided(scratch.table(each, "each"), vectors, vectors, "links")
+    half_full = links = full.limit(0)
+    if not open_.isEmpty():
+        half = open_.join(held.select(F.col("entry").alias("a"), F.col("vec_id").alias("v")), "a").select(F.col("v").alias("a"), "b")
+        half_full, half_open = decided(scratch.table(half, "half"), vectors, entries, "halves")
+        each = half_open.join(held.select(F.col("entry").alias("b"), F.col("vec_id").alias("v")), "b").select("a", F.col("v").alias("b"))
+        links, _ = decided(scratch.table(each, "each"), vectors, vectors, "links")
     scratch.drop(pairs)
 
     weight, size = entries.select("entry", "weight"), one.select(F.col("vec_id").alias("entry"), F.col("size").alias("weight"))
@@ -281,6 +283,8 @@ def _balls(one: DataFrame, kind: str, cosine: float, scratch: Scratch) -> DataFr
     """(vec_id, entry, size, angle, centre) of the vectors in balls; ``entry`` is the least id of the ball."""
     pairs = one.select("vec_id", F.explode("two").alias("crowd"))
     crowds = scratch.table(pairs.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowds")
+    if crowds.isEmpty():
+        return one.select("vec_id", F.col("vec_id").alias("entry"), "size", F.lit(0.0).alias("angle"), F.col("raw").alias("centre")).limit(0)
     best = pairs.join(crowds, "crowd").groupBy("vec_id").agg(F.max(F.struct("n", "crowd")).alias("c")).select("vec_id", F.col("c.crowd").alias("crowd"))
     crowded = scratch.table(best.join(one.select("vec_id", "size", "raw"), "vec_id"), "crowded")
     # sums of batches first, then of places: a crowd of any size is a few rows
