@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,21 +62,33 @@ def whole_days(label: Column) -> Column:
     return F.when(text.endswith("day"), number.try_cast("double").cast("int"))
 
 
+def _with(value: Column, to: Callable[[Column], Column]) -> Column:
+    """``to(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), to), F.lit(0))
+
+
 def _text(value: Column) -> Column:
     """A variant as text; null for null, empty, zero, false, a list or an object."""
-    kind, text = F.schema_of_variant(value), value.try_cast("string")
-    empty = ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false")) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (text.try_cast("double") == 0)) | kind.rlike("^(ARRAY|OBJECT)")
-    return F.when(~empty, text)
+
+    def told(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
+        empty = ((kind == "STRING") & (text == "")) | ((kind == "BOOLEAN") & (text == "false")) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (text.try_cast("double") == 0)) | kind.rlike("^(ARRAY|OBJECT)")
+        return F.when(~empty, text)
+
+    return _with(value, lambda v: _with(F.struct(F.schema_of_variant(v).alias("kind"), v.try_cast("string").alias("text")), told))
 
 
 def _stated(doc: Column, path: str) -> Column:
     return _text(F.try_variant_get(doc, path, "variant"))
 
 
-def _picked(doc: Column, at: str) -> Column:
+def _key_date(doc: Column, at: str) -> Column:
+    return F.coalesce(*(_stated(doc, f"{at}.{k}") for k in DATE_KEYS))
+
+
+def _newest_part(doc: Column, at: str) -> Column:
     dates = F.map_values(F.try_variant_get(doc, f"{at}.asOf", "map<string,variant>"))
-    newest = F.array_max(F.filter(F.transform(dates, _text), lambda x: x.isNotNull()))
-    return F.coalesce(*(_stated(doc, f"{at}.{k}") for k in DATE_KEYS), newest)
+    return F.array_max(F.filter(F.transform(dates, _text), lambda x: x.isNotNull()))
 
 
 def newest_date(doc: Column, today: Column | str) -> Column:
@@ -95,9 +107,10 @@ def freshness_date(doc: Column, today: Column | str) -> Column:
     in any of its strings (``newest``).  Null if it has none; lists and objects
     are no dates, nor are empty strings, 0 and false.
     """
-    top = _picked(doc, "$")
-    section = F.coalesce(*(F.coalesce(_picked(doc, f"$.{s}"), _stated(doc, f"$.{s}.to")) for s in SECTIONS))
-    newest = newest_date(doc, today)
-    key = F.coalesce(*(_stated(doc, f"$.{k}") for k in DATE_KEYS))
-    way = F.when(key.isNotNull(), "key").when(top.isNotNull(), "as of").when(section.isNotNull(), "section").when(newest.isNotNull(), "newest")
-    return F.when(way.isNotNull(), F.struct(way.alias("way"), F.coalesce(top, section, newest).alias("date")))
+
+    def way(name: str, date: Column) -> Column:
+        return _with(date, lambda x: F.when(x.isNotNull(), F.struct(F.lit(name).alias("way"), x.alias("date"))))
+
+    # the first that there is; the others are not computed
+    sections = [way("section", found) for s in SECTIONS for found in (_key_date(doc, f"$.{s}"), _newest_part(doc, f"$.{s}"), _stated(doc, f"$.{s}.to"))]
+    return F.coalesce(way("key", _key_date(doc, "$")), way("as of", _newest_part(doc, "$")), *sections, way("newest", newest_date(doc, today)))
