@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import graph
+from gaugeworks.sources import scratch
 from gaugeworks.sources.readers import table
 
 from . import panel
@@ -60,8 +61,8 @@ rain as (select user_id % 50 as site, cast(ts as date) - 8766 as day, max(value)
 """
 
 
-def _episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as storm records of 50 counties, one episode an order; incidents are settled orders of the same county."""
+def _episodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Line items as storm records of 50 counties, one episode an order, with ``columns`` of the panel; incidents are settled orders of the same county."""
     n = F.col("l_linenumber")
     site = F.lpad((F.col("l_suppkey") % 50).cast("string"), 5, "0")
     storms = table(spark, d, "lineitem").select(
@@ -70,7 +71,8 @@ def _episodes(spark: SparkSession, d: str) -> DataFrame:
     )
     o, day = table(spark, d, "orders").where("o_orderstatus = 'F'"), _day("o_orderdate")
     incidents = o.select(F.lpad((F.col("o_custkey") % 50).cast("string"), 5, "0").alias("fips"), F.col("o_orderkey").alias("dn"), day.alias("incident_begin"), F.date_add(day, (F.col("o_custkey") % 20).cast("int")).alias("incident_end"), F.col("o_totalprice").alias("cost"))
-    return panel.declared(panel.episodes(storms), incidents)
+    # read for its spans and for its rows: computed once
+    return panel.declared(scratch.written(panel.episodes(storms).select("fips", "episode", "begin", "end", *columns), "episodes"), incidents)
 
 
 @query(f"""
@@ -87,7 +89,7 @@ def enriched_panel(spark: SparkSession, d: str) -> DataFrame:
     site = F.lpad((F.col("user_id") % 50).cast("string"), 5, "0")
     daily = table(spark, d, "events").groupBy(site.alias("fips"), F.date_sub(_day("ts"), 8766).alias("day")).agg(F.max("value").alias("mean"))
     rain, depth = daily.withColumn("most", F.col("mean")), daily.select("fips", "day", F.floor("mean").cast("double").alias("depth"))
-    out = panel.with_snow(panel.with_rain(_episodes(spark, d), rain), depth)
+    out = panel.with_snow(panel.with_rain(_episodes(spark, d, "damage"), rain), depth)
     return out.select("fips", "episode", "damage", "dn", "declared", F.round("cost", 2).alias("cost"), "rain_day_max", "rain_event", "rain_before_7", "rain_before_14", "rain_days_seen", "snow_depth_before", "snow_melt")
 
 
@@ -99,5 +101,5 @@ select p.state, p.episode, cast(min(b) as varchar) as begin, cast(max(e) as varc
 """)
 def state_panel_rows(spark: SparkSession, d: str) -> DataFrame:
     """The panel by state and episode, with the incident that most of its counties have."""
-    out = panel.state_panel(_episodes(spark, d))
+    out = panel.state_panel(_episodes(spark, d, "state", "damage", "tornadoes", "ef", "gust", "hail", "flood", "winter"))
     return out.select("state", "episode", F.col("begin").cast("string").alias("begin"), F.col("end").cast("string").alias("end"), "counties", "damage", "tornadoes", "hail", "dn", "declared")

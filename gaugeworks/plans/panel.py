@@ -20,6 +20,18 @@ WIND = ["Thunderstorm Wind", "High Wind", "Strong Wind"]
 FLOOD = ["Flash Flood", "Flood", "Heavy Rain", "Debris Flow"]
 WINTER = ["Winter Storm", "Heavy Snow", "Blizzard", "Ice Storm", "Winter Weather", "Lake-Effect Snow"]
 MPH, SNOW_WATER, COLD_MONTHS = 1.151, 0.30, (12, 1, 2, 3, 4)
+_SPAN = ["fips", "begin", "end"]
+
+
+def _spans(panel: DataFrame) -> DataFrame:
+    """Each county, begin and end of any episode once: what is looked up by dates is looked up for these."""
+    return panel.select(*_SPAN).distinct()
+
+
+def _told(panel: DataFrame, spans: DataFrame) -> DataFrame:
+    """The panel with what was found for its episodes' spans; one key for all lookups, so the panel is dealt once."""
+    new = [c for c in spans.columns if c not in _SPAN]
+    return panel.join(spans, _SPAN, "left").select(*panel.columns, *new)
 
 
 def county_rows(storms: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -64,22 +76,22 @@ def declared(panel: DataFrame, incidents: DataFrame, before: int = 10, after: in
     than ``before`` days ahead of it.
     """
     mine, theirs = (F.date_sub("begin", before), F.date_add("end", after)), (F.col("incident_begin"), F.col("incident_end"))
-    out = overlap_first_match(panel, incidents, ["fips"], ["fips", "episode"], mine, theirs, F.col("dn"), ["dn", "cost"])
-    return out.withColumn("declared", F.col("dn").isNotNull().cast("int"))
+    found = overlap_first_match(_spans(panel), incidents, ["fips"], _SPAN, mine, theirs, F.col("dn"), ["dn", "cost"])
+    return _told(panel, found).withColumn("declared", F.col("dn").isNotNull().cast("int"))
 
 
 def with_rain(panel: DataFrame, rain: DataFrame) -> DataFrame:
     """Peak day, event total and 7- and 14-day antecedent rain; ``rain``: (fips, day, mean, most).  Missing days count as 0."""
-    during = window_values(panel.select("fips", "episode", "begin", "end"), rain, ["fips"], "begin", "end", "day", before=14)
+    during = window_values(_spans(panel), rain, ["fips"], "begin", "end", "day", before=14)
     inside, days = F.col("day") >= F.col("begin"), F.datediff("begin", "day")
 
     def total(test: Column) -> Column:
         return F.bround(F.coalesce(F.sum(F.when(test, F.col("mean"))), F.lit(0.0)), 2)
 
-    sums = during.groupBy("fips", "episode").agg(
+    sums = during.groupBy(*_SPAN).agg(
         F.bround(F.max(F.when(inside, F.col("most"))), 2).alias("rain_day_max"), total(inside).alias("rain_event"), total(days.between(1, 7)).alias("rain_before_7"), total(days.between(1, 14)).alias("rain_before_14"), F.count_if(inside).alias("rain_days_seen")
     )
-    return panel.join(sums, ["fips", "episode"], "left")
+    return _told(panel, sums)
 
 
 def with_snow(panel: DataFrame, depth: DataFrame) -> DataFrame:
@@ -87,14 +99,14 @@ def with_snow(panel: DataFrame, depth: DataFrame) -> DataFrame:
 
     ``depth``: (fips, day, depth), the largest of the county's stations.
     """
-    cold = panel.where(F.month("begin").isin(*COLD_MONTHS)).select("fips", "episode", "begin", "end")
+    cold = _spans(panel.where(F.month("begin").isin(*COLD_MONTHS)))
     seen = window_values(cold, depth, ["fips"], "begin", "end", "day", before=14)
-    after = seen.select("fips", "episode", F.date_sub("day", 1).alias("day"), F.col("depth").alias("next"))
-    pairs = seen.join(after, ["fips", "episode", "day"], "left")
+    after = seen.select(*_SPAN, F.date_sub("day", 1).alias("day"), F.col("depth").alias("next"))
+    pairs = seen.join(after, [*_SPAN, "day"], "left")
     melt = F.when(F.col("day") >= F.date_sub("begin", 4), F.greatest(F.col("depth") - F.col("next"), F.lit(0.0)))
-    sums = pairs.groupBy("fips", "episode").agg(F.max(F.when(F.col("day") < F.col("begin"), F.col("depth"))).alias("d"), F.max(melt).alias("m"))
+    sums = pairs.groupBy(*_SPAN).agg(F.max(F.when(F.col("day") < F.col("begin"), F.col("depth"))).alias("d"), F.max(melt).alias("m"))
     is_cold = F.month("begin").isin(*COLD_MONTHS)
-    joined = panel.join(sums, ["fips", "episode"], "left")
+    joined = _told(panel, sums)
     depth_, melt_ = (F.when(is_cold, F.bround(c, 1)).otherwise(F.lit(0.0)) for c in ("d", "m"))
     return joined.withColumns({"snow_depth_before": depth_, "snow_melt": melt_}).withColumns({"water_before": F.bround(F.col("snow_depth_before") * SNOW_WATER, 2), "water_melt": F.bround(F.col("snow_melt") * SNOW_WATER, 2)}).drop("d", "m")
 
