@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.classify import first_matching, season
-from gaugeworks.operators.aggregates import mode_first
 from gaugeworks.operators.joins import overlap_first_match, window_values
 
 # Event types by family, miles an hour in a knot, water in snow.
@@ -115,14 +114,20 @@ def state_panel(panel: DataFrame, order: str = "fips") -> DataFrame:
     """One row for each state and episode; missing measures count as 0; ``dn`` is the most frequent one, first seen on ties."""
     over = F.col("flood") | (F.col("ef") >= 1) | (F.col("gust") >= 60) | (F.col("hail") >= 1)
     group = ["state", "episode"]
-    main = panel.groupBy(*group).agg(
+    # dealt once; counts by incident first, as the most frequent one is asked for
+    dealt = panel.withColumn("_order", F.col(order).cast("long")).repartition(*group)
+    by_dn = dealt.groupBy(*group, "dn").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("counties"), F.count_if(over).alias("counties_over"), F.sum("damage").alias("damage"),
         F.sum("tornadoes").alias("tornadoes"), F.max("ef").alias("ef"), F.max(F.coalesce("gust", F.lit(0))).alias("gust"), F.max(F.coalesce("hail", F.lit(0.0))).alias("hail"),
         F.count_if("flood").alias("n_flood"), F.count_if("winter").alias("n_winter"), F.count_if(F.col("tornadoes") > 0).alias("n_tornado"), F.count_if(F.col("gust") > 0).alias("n_wind"), F.count_if(F.col("hail") > 0).alias("n_hail"),
+        F.min("_order").alias("_seen"),
     )
+    sums = ("counties", "counties_over", "damage", "tornadoes", "n_flood", "n_winter", "n_tornado", "n_wind", "n_hail")
+    often = F.when(F.col("dn").isNotNull(), F.struct("counties", -F.col("_seen")))
+    main = by_dn.groupBy(*group).agg(F.min("begin").alias("begin"), *(F.max(c).alias(c) for c in ("end", "ef", "gust", "hail")), *(F.sum(c).alias(c) for c in sums), F.max_by("dn", often).alias("dn"))
     scores: Sequence[tuple[str, str]] = (("n_flood", "Flood"), ("n_tornado", "Tornado"), ("n_winter", "Winter"), ("n_wind", "Wind"), ("n_hail", "Hail"))
     top = F.greatest(*(c for c, _ in scores))
     incident = first_matching([((F.col(c) == top) & (top > 0), v) for c, v in scores], "Severe Storm")
-    dn = mode_first(panel.withColumn("_order", F.col(order).cast("long")), group, "dn", "_order").drop("n")
-    joined = main.withColumns({"incident": incident, "season": season(F.month("begin"))}).drop(*(c for c, _ in scores))
-    return joined.join(dn, group, "left").withColumn("declared", F.col("dn").isNotNull().cast("int"))
+    joined = main.withColumns({"incident": incident, "season": season(F.month("begin"))})
+    columns = ("begin", "end", "counties", "counties_over", "damage", "tornadoes", "ef", "gust", "hail", "incident", "season", "dn")
+    return joined.select(*group, *columns).withColumn("declared", F.col("dn").isNotNull().cast("int"))
