@@ -37,19 +37,26 @@ def lineage_problems(spark: SparkSession, d: str) -> DataFrame:
     part, supplier, nation = table(spark, d, "part"), table(spark, d, "supplier"), table(spark, d, "nation")
     file = F.concat(F.lit("f"), "p_partkey", F.lit(".json"))
     maker = F.col("p_partkey") % 100
-    artifacts = part.where("p_size <> 7").select(F.col("p_partkey").alias("id"), file.alias("file"), F.when(F.col("p_size") > 2, maker).alias("producer"), (F.col("p_size") == 1).alias("retired"))
+    # parts and sources are numbered apart: part 1000050 is not source 1000050
+    item, source = F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1_000_000).cast("long"))
+    artifacts = part.where("p_size <> 7").select(item.alias("id"), file.alias("file"), F.when(F.col("p_size") > 2, maker).alias("producer"), (F.col("p_size") == 1).alias("retired"))
     files = part.where("p_size <> 11").select(file.alias("file"))
     transforms = supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s"), "s_suppkey").alias("script"))
-    writes = part.select(maker.alias("transform"), F.col("p_partkey").alias("id"))
-    reads = supplier.select(F.col("s_suppkey").alias("transform"), (F.col("s_nationkey") + 1_000_000 + F.when(F.col("s_suppkey") % 9 == 0, 50).otherwise(0)).cast("long").alias("id"))
-    sources = nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 < 3, F.concat(F.lit("d"), "n_regionkey")).alias("dictionary"))
-    used = nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("source"), F.concat(F.lit("n"), F.substring("n_name", 2, 99), F.when(F.col("n_nationkey") % 3 == 0, "x").otherwise("")).alias("column"))
+    writes = part.select(maker.alias("transform"), item.alias("id"))
+    reads = supplier.select(F.col("s_suppkey").alias("transform"), F.concat(F.lit("n"), (F.col("s_nationkey") + 1_000_000 + F.when(F.col("s_suppkey") % 9 == 0, 50).otherwise(0)).cast("long")).alias("id"))
+    sources = nation.select(source.alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 < 3, F.concat(F.lit("d"), "n_regionkey")).alias("dictionary"))
+    used = nation.select(source.alias("source"), F.concat(F.lit("n"), F.substring("n_name", 2, 99), F.when(F.col("n_nationkey") % 3 == 0, "x").otherwise("")).alias("column"))
     dictionaries = nation.where("n_regionkey <> 4").select(F.concat(F.lit("d"), "n_regionkey").alias("dictionary"), F.col("n_name").alias("column"))
     # a script names the files that it writes, but for every seventh, and the source that it reads, but for every fourth script
     named = part.where("p_partkey % 7 <> 0").groupBy(maker.alias("s_suppkey")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("write('"), file, F.lit("')")))), "; ").alias("w"))
-    scripts = supplier.where("s_acctbal > -500").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(named, "s_suppkey", "left")
+    scripts = supplier.where("s_acctbal > -500").join(nation, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(named, "s_suppkey", "left")
     text = F.concat_ws("\n", F.coalesce("w", F.lit("")), F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("read('"), "n_name", F.lit("')"))))
-    return graph.lineage_problems(artifacts, files, transforms, scripts.select(F.concat(F.lit("s"), "s_suppkey").alias("script"), text.alias("text")), writes, reads, sources, used, dictionaries)
+    found = graph.lineage_problems(artifacts, files, transforms, scripts.select(F.concat(F.lit("s"), "s_suppkey").alias("script"), text.alias("text")), writes, reads, sources, used, dictionaries)
+
+    def number(column: str, *rules: str):
+        return F.when(F.col("rule").isin(*rules), F.substr(column, F.lit(2))).otherwise(F.col(column)).alias(column)
+
+    return found.select("rule", number("node", "missing file", "no producer", "column not in dictionary", "missing dictionary"), number("detail", "unknown write", "unknown read"))
 
 
 _SITE = "l_suppkey % 50"
