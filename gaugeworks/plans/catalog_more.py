@@ -65,7 +65,9 @@ select o_orderkey, case o_orderkey % 6 when 0 then round(round(o_totalprice / 10
 def money_text(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-04: suffixes, plain amounts and junk."""
     k, price = F.col("o_orderkey") % 6, F.col("o_totalprice")
-    text = F.when(k == 0, F.concat(F.round(price / 1000, 2).cast("decimal(18,2)").cast("string"), F.lit("K"))).when(k == 1, "1.5M").when(k == 2, "2B").when(k == 3, "junk").when(k == 5, price.cast("decimal(18,2)").cast("string"))
+    # the SQL rounds the hundredfold as a double, which may lie below a half that the decimal digits show
+    thousands = F.round(price / 1000 * 100, 0) / 100
+    text = F.when(k == 0, F.concat(thousands.cast("decimal(18,2)").cast("string"), F.lit("K"))).when(k == 1, "1.5M").when(k == 2, "2B").when(k == 3, "junk").when(k == 5, price.cast("decimal(18,2)").cast("string"))
     return table(spark, d, "orders").select("o_orderkey", F.round(parsing.money(text), 2).alias("dollars"))
 
 
