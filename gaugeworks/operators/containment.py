@@ -22,7 +22,9 @@ def candidates(wanted: DataFrame, listing: DataFrame, query: str, needles: Seque
     the entries listed under its rarest gram, and these are compared as strings;
     a gram that no entry holds ends the search.  Needles shorter than ``gram``
     have one gram, themselves, and the index lists grams of their lengths too.
-    Queries without any needle, or with a null one, find nothing.
+    Queries without any needle, or with a null one, find nothing.  Sides are
+    shuffled and sorted: the sizes that Spark expects of exploded grams are those of
+    the files, so it would take an index of all names for small and broadcast it.
     """
     asked = wanted.select(F.col(query).alias("query"), *(F.lower(n).alias(f"_n{i}") for i, n in enumerate(needles)))
     sizes = [F.least(F.length(f"_n{i}"), F.lit(gram)) for i in range(len(needles))]
@@ -33,10 +35,10 @@ def candidates(wanted: DataFrame, listing: DataFrame, query: str, needles: Seque
     names = listing.select(F.col(entry).alias("entry"), F.lower(name).alias("_name"))
     held = F.flatten(F.array(*(F.coalesce(_grams(F.col("_name"), n), F.array().cast("array<string>")) for n in sorted(lengths or [gram]))))
     index = names.select("entry", F.explode(held).alias("gram"))
-    index = index.join(of_query.select("gram").distinct(), "gram", "left_semi")
+    index = index.join(of_query.select("gram").distinct().hint("merge"), "gram", "left_semi")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = of_query.join(often, "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("query", F.col("r.gram").alias("gram"))
-    met = rarest.join(index, "gram").select("query", "entry").join(asked, "query").join(names, "entry")
+    rarest = of_query.join(often.hint("merge"), "gram", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("query", F.col("r.gram").alias("gram"))
+    met = rarest.join(index.hint("merge"), "gram").select("query", "entry").join(asked.hint("merge"), "query").join(names.hint("merge"), "entry")
     met = met.where(" and ".join(f"contains(_name, _n{i})" for i in range(len(needles))))
     order = Window.partitionBy("query").orderBy("entry")
     return met.select("query", "entry", F.row_number().over(order).alias("rank")).where(F.col("rank") <= keep)
@@ -45,5 +47,5 @@ def candidates(wanted: DataFrame, listing: DataFrame, query: str, needles: Seque
 def confirmed(found: DataFrame, details: DataFrame, entry: str, claim: str) -> DataFrame:
     """(query, entry, rank, tried): the first candidate whose own details claim the query's id, and how many were looked up; null entry if none does."""
     own = details.select(F.col(entry).alias("entry"), F.col(claim).alias("_claim"))
-    tried = found.join(own, "entry", "left").groupBy("query").agg(F.min(F.when(F.col("_claim") == F.col("query"), F.struct("rank", "entry"))).alias("hit"), F.count("*").alias("n"))
+    tried = found.join(own.hint("merge"), "entry", "left").groupBy("query").agg(F.min(F.when(F.col("_claim") == F.col("query"), F.struct("rank", "entry"))).alias("hit"), F.count("*").alias("n"))
     return tried.select("query", F.col("hit.entry").alias("entry"), F.col("hit.rank").alias("rank"), F.coalesce("hit.rank", F.col("n")).cast("long").alias("tried"))
