@@ -15,13 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Models of one fit at most; more groups than that are an error, not dropped.
 MODELS = 2000
-#: (linear predictor, y, leverage x'Cx with C the inverse of the last curvature) -> (slope, curvature) of the loss in the predictor.
-Loss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (linear predictor, y, leverage x'Cx with C the inverse of the last curvature, numbers of the models) -> (slope, curvature) of the loss in the predictor.
+Loss = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Member = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -46,7 +47,7 @@ def earlier(models: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.array([[k is not None and k < m for m in models] for k in keys], dtype=bool).reshape(len(keys), len(models))
 
 
-def squares(eta, y, leverage):
+def squares(eta, y, leverage, which):
     return eta - y, np.ones_like(eta)
 
 
@@ -54,19 +55,19 @@ def huber(delta: Sequence[float]) -> Loss:
     """Squares up to ``delta``, a number a model, straight beyond; by reweighting."""
     bound = np.asarray(delta, dtype=float)
 
-    def loss(eta, y, leverage):
-        weight = np.minimum(1.0, bound / np.maximum(np.abs(eta - y), 1e-300))
+    def loss(eta, y, leverage, which):
+        weight = np.minimum(1.0, bound[which] / np.maximum(np.abs(eta - y), 1e-300))
         return weight * (eta - y), weight
 
     return loss
 
 
-def logistic(eta, y, leverage):
+def logistic(eta, y, leverage, which):
     p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
     return p - y, p * (1 - p)
 
 
-def firth(eta, y, leverage):
+def firth(eta, y, leverage, which):
     """Logistic with the penalised score that keeps estimates finite and takes off their first-order bias."""
     p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
     return p - y - p * (1 - p) * leverage * (0.5 - p), p * (1 - p)
@@ -75,7 +76,7 @@ def firth(eta, y, leverage):
 def tweedie(power: float = 1.5) -> Loss:
     """Amounts with many zeros: variance mean ** ``power``, logarithmic link, expected curvature."""
 
-    def loss(eta, y, leverage):
+    def loss(eta, y, leverage, which):
         mean = np.exp(np.clip(eta, -60, 60))
         return -(y - mean) * mean ** (1 - power), mean ** (2 - power)
 
@@ -108,10 +109,31 @@ def fit(
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
     data = rows.where(F.col(y).isNotNull()).select(*values, F.col(y).cast("double").alias("_y"), (F.col(key) if key else F.lit(None).cast("int")).alias("_k")).persist()
 
+    alone = bool(key) and member is own or not key and k == 1
+
     def scan(weights: np.ndarray, inverse: np.ndarray, first: bool) -> np.ndarray:
+        def of_own_models(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+            """A row teaches one model at most, so it is met by that one alone."""
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(p - 1))])
+            target = batch.column(p - 1).to_numpy(zero_copy_only=False)
+            at = np.zeros(len(x), dtype=int)
+            if key:
+                at = pc.fill_null(pc.index_in(batch.column(p), value_set=pa.array(list(models), batch.column(p).type)), -1).to_numpy(zero_copy_only=False).astype(int)
+                x, target, at = x[at >= 0], target[at >= 0], at[at >= 0]
+            parts = [np.ones(len(x)), target]
+            if not first:
+                leverage = np.einsum("ni,nij,nj->n", x, inverse[at], x)
+                slope, curve = loss((x * weights[at]).sum(1), target, leverage, at)
+                parts += [slope * x[:, i] for i in range(p)] + [curve * x[:, i] * x[:, j] for i in range(p) for j in range(p)]
+            for i, part in enumerate(parts):
+                sums[:, i] += np.bincount(at, weights=part, minlength=k)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((k, 2 + p + p * p))
             for batch in batches:
+                if alone:
+                    of_own_models(batch, sums)
+                    continue
                 x = np.column_stack([np.ones(batch.num_rows), *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(p - 1))])
                 target = batch.column(p - 1).to_numpy(zero_copy_only=False)[:, None]
                 inside = member(names, np.array(batch.column(p).to_pylist(), dtype=object)).astype(float) if key else np.ones((len(x), k))
@@ -119,7 +141,7 @@ def fit(
                 sums[:, 1] += (inside * target).sum(0)
                 if not first:
                     leverage = np.einsum("ni,kij,nj->nk", x, inverse, x)
-                    slope, curve = loss(x @ weights.T, target, leverage)
+                    slope, curve = loss(x @ weights.T, target, leverage, np.arange(k))
                     sums[:, 2 : 2 + p] += (inside * slope).T @ x
                     sums[:, 2 + p :] += np.einsum("nk,ni,nj->kij", inside * curve, x, x).reshape(k, -1)
             at = np.indices(sums.shape).reshape(2, -1)

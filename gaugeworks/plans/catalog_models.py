@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import aggregates, fits, learning, similarity
+from gaugeworks.sources import scratch
 from gaugeworks.sources.readers import table
 
 from .catalog import query
@@ -53,7 +54,7 @@ def robust_costs(spark: SparkSession, d: str) -> DataFrame:
     """ML-08: Huber regression of logarithmic costs for each state, its fit and spread; refused under 20 rows."""
     rows = table(spark, d, "supplier").join(table(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.select(F.col("s_nationkey").alias("state"), F.log("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.when(F.col("l_tax") > 0.01, F.col("l_extendedprice")).otherwise(0.0).alias("paid"))
-    return fits.robust_costs(rows, ["quantity", "discount"], "paid", "state")
+    return fits.robust_costs(scratch.written(rows, "costs"), ["quantity", "discount"], "paid", "state")
 
 
 @query("""
