@@ -13,6 +13,9 @@ from gaugeworks.streaming import inventory, revisions, windows
 
 from .catalog import query
 
+#: Statements in one landed file, about: a batch has as many files as it needs, so no task holds a quarter of the table.
+FILE_ROWS = 500_000
+
 
 def _sightings(rows: DataFrame) -> DataFrame:
     """Events as daily sightings of a user's requests: flags of programmes, a period and, rarely, a decision."""
@@ -46,8 +49,9 @@ def revised_totals(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("stated"), F.col("l_shipdate").cast("date").alias("day")
     )
     home = scratch.folder(spark, "revisions")
-    rows.repartitionByRange(4, "day").write.parquet(f"{home}/in")  # four batches, so that statements meet earlier ones
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    files = max(1, -(-rows.count() // (4 * FILE_ROWS)))
+    rows.repartitionByRange(4 * files, "day").write.parquet(f"{home}/in")  # four batches, so that statements meet earlier ones
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{home}/in")
     totals = Versions(spark, f"{home}/table")
     revisions.keep_revised(stream, totals, f"{home}/checkpoint", 8)
     return revisions.rollup(totals).select("grp", "n", F.col("total").cast("double").alias("total"))
