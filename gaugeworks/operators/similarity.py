@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,67 @@ from pyspark.sql import functions as F
 BLOCK, BROADCAST = 256, 16_384
 
 
+def _best_of_task(batches: Iterator[pa.RecordBatch], asked: pa.Table, keep: int, width: float, bonus: float) -> Iterator[pa.RecordBatch]:
+    """(query, neighbour, d2, same): for each query the task's rows that may be among its ``keep`` best, a tile of rows and queries at a time.
+
+    Distances are added up dimension by dimension as the SQL does.  Weights count to
+    nine digits; where rounding leaves a doubt, the row stays for the final ranking.
+    """
+    asked = asked.combine_chunks()
+    of, size = asked.column(0).to_numpy(), len(asked)
+    q = asked.column(1).chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
+    kinds = pc.unique(asked.column(2))
+    of_kind = pc.index_in(asked.column(2), value_set=kinds).to_numpy()
+    blocks = [slice(k, min(k + BLOCK, size)) for k in range(0, size, BLOCK)]
+    best = [tuple(np.zeros(0, t) for t in (int, float, float, of.dtype, float, bool)) for _ in blocks]
+    least, last = np.full(size, -1.0), np.full(size, np.iinfo(of.dtype).max)
+    step = 64  # few rows at first: nothing is ruled out yet
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        kind = pc.fill_null(pc.index_in(batch.column(2), value_set=kinds), -1).to_numpy(zero_copy_only=False)
+        done = 0
+        while done < len(ids):
+            part = slice(done, done + step)
+            done, step = done + step, min(4 * step, 1024)
+            for b, block in enumerate(blocks):
+                d2 = np.zeros((len(ids[part]), block.stop - block.start))
+                for j in range(v.shape[1]):
+                    gap = v[part, j, None] - q[None, block, j]
+                    gap *= gap
+                    d2 += gap
+                same = kind[part, None] == of_kind[None, block]
+                digits = (np.exp(-d2 / (2 * width * width)) + bonus * same) * 1e9 + 0.5
+                digits[np.isnan(digits)] = np.inf
+                low, high, me = np.floor(digits - 1e-5), np.floor(digits + 1e-5), ids[part, None]
+                r, c = np.nonzero(((high > least[block]) | (high == least[block]) & (me <= last[block])) & (me != of[None, block]))
+                if not len(r):
+                    continue
+                new = c + block.start, low[r, c], high[r, c], ids[part][r], d2[r, c], same[r, c]
+                at, low, high, who, d2, same = (np.concatenate(x) for x in zip(best[b], new, strict=True))
+                order = np.lexsort((who, -low, at))
+                first = np.searchsorted(at[order], at[order])
+                limit = order[np.arange(len(order)) - first == keep - 1]
+                least[at[limit]], last[at[limit]] = low[limit], who[limit]
+                stays = (high > least[at]) | (high == least[at]) & (who <= last[at])
+                best[b] = tuple(x[stays] for x in (at, low, high, who, d2, same))
+    for at, _, _, who, d2, same in best:
+        yield pa.RecordBatch.from_arrays([pa.array(of[at]), pa.array(who), pa.array(d2), pa.array(same)], ["query", "neighbour", "d2", "same"])
+
+
+def _met_in_tiles(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind: str, keep: int, width: float, bonus: float) -> DataFrame:
+    def plain(x: DataFrame) -> DataFrame:
+        return x.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>"), F.col(kind))
+
+    asked, name = rows.sparkSession.sparkContext.broadcast(plain(queries).toArrow()), rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _best_of_task(batches, asked.value, keep, width, bonus)
+
+    met = plain(rows).mapInArrow(run, "query long, neighbour long, d2 double, same boolean")
+    return met.select(F.col("query").cast(name), F.col("neighbour").cast(name), "d2", "same")
+
+
 def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind: str, keep: int = 5, width: float = 1.0, bonus: float = 0.1) -> DataFrame:
     """(query, neighbour, rank, weight): the ``keep`` rows of greatest weight for each query row.
 
@@ -20,14 +84,21 @@ def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind:
     ``BROADCAST`` queries and dealt with the rows beyond.  Each partition keeps
     its own best before the final ranking.
     """
-    ids = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"), F.col(kind).alias("_k"))
     n = queries.count()
-    blocks = ids.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(-(-n // BLOCK), 1)))).agg(F.collect_list(F.struct("query", "_q", "_k")).alias("_block")).select("_block")
-    if n <= BROADCAST:
-        blocks = F.broadcast(blocks)
-    met = rows.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_v"), F.col(kind).alias("_kind")).join(blocks).select("neighbour", "_v", "_kind", F.inline("_block"))
-    d2 = F.aggregate(F.zip_with("_v", "_q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    weight = F.exp(-d2 / (2 * width * width)) + F.when(F.col("_kind").eqNullSafe(F.col("_k")), F.lit(bonus)).otherwise(F.lit(0.0))
+    lengths = rows.select(vector).unionByName(queries.select(vector)).agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b"), F.bool_or(F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull())).alias("gaps")).first()
+    whole = lengths.a is not None and 0 < lengths.a == lengths.b and not lengths.gaps
+    if 0 < n <= BROADCAST and whole and rows.schema[id_col].dataType.simpleString() in ("int", "bigint"):
+        met = _met_in_tiles(rows, queries, id_col, vector, kind, keep, width, bonus)
+        d2, same = F.col("d2"), F.col("same")
+    else:  # vectors with gaps or of several lengths, other ids, more queries
+        ids = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_q"), F.col(kind).alias("_k"))
+        blocks = ids.groupBy(F.pmod(F.xxhash64("query"), F.lit(max(-(-n // BLOCK), 1)))).agg(F.collect_list(F.struct("query", "_q", "_k")).alias("_block")).select("_block")
+        if n <= BROADCAST:
+            blocks = F.broadcast(blocks)
+        met = rows.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_v"), F.col(kind).alias("_kind")).join(blocks).select("neighbour", "_v", "_kind", F.inline("_block"))
+        d2 = F.aggregate(F.zip_with("_v", "_q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+        same = F.col("_kind").eqNullSafe(F.col("_k"))
+    weight = F.exp(-d2 / (2 * width * width)) + F.when(same, F.lit(bonus)).otherwise(F.lit(0.0))
     pairs = met.where("neighbour <> query").select("query", "neighbour", F.round(weight, 9).alias("weight"))
     top = Window.partitionBy("query").orderBy(F.desc("weight"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= keep)
