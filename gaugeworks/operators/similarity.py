@@ -1,4 +1,4 @@
-"""Analogs of a few queries: exact nearest neighbours by kernel weight, and what they suggest."""
+"""Analogs of a few queries: exact nearest neighbours by kernel weight or by shared places, and what they suggest."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.sources import scratch
+
 #: Query rows in one block, about (ids are dealt by hash); query rows that are broadcast at most.
 BLOCK, BROADCAST = 256, 16_384
+#: Members in one list of a place; members of a query's places that are gathered before they are counted.
+LISTED, GATHERED = 1_024, 1_048_576
 
 
 def _best_of_task(batches: Iterator[pa.RecordBatch], asked: pa.Table, keep: int, width: float, bonus: float) -> Iterator[pa.RecordBatch]:
@@ -104,6 +108,56 @@ def analogs(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, kind:
     return pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= keep)
 
 
+def _counted(others: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct members in their order and how often each was met."""
+    who, n = np.concatenate(others), np.concatenate(times)
+    order = np.argsort(who, kind="stable")
+    who, n = who[order], n[order]
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][: len(who)])
+    return who[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _most_shared(query: int, lists: Iterator[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` members that are met most often in the lists, the smaller of equals; the query is none of them."""
+    others, times, held = [], [], 0
+    for members in lists:
+        others.append(members)
+        times.append(np.ones(len(members), np.int64))
+        held += len(members)
+        if held >= GATHERED:
+            who, n = _counted(others, times)
+            others, times, held = [who], [n], 0
+    who, n = _counted(others, times)
+    who, n = who[who != query], n[who != query]
+    if len(n) > keep:
+        likely = n >= np.partition(n, -keep)[-keep]
+        who, n = who[likely], n[likely]
+    best = np.argsort(-n, kind="stable")[:keep]
+    return who[best], n[best]
+
+
+def most_shared(rows: DataFrame, member: str, place: str, asked: Column, keep: int = 5) -> DataFrame:
+    """(query, other, shared, rank): the ``keep`` other members that share most places with each member that is ``asked``.
+
+    Members are whole numbers and may be repeated in a place; ties go to the
+    smaller.  Members of a place are listed in arrays of ``LISTED`` at most;
+    lists, not pairs, are dealt to the queries, each of which counts its own.
+    """
+    feet = rows.where(F.col(member).isNotNull() & F.col(place).isNotNull()).select(F.col(place).alias("place"), F.col(member).cast("long").alias("member")).distinct()
+    part = F.row_number().over(Window.partitionBy("place").orderBy("member")) - 1
+    lists = feet.withColumn("part", F.floor(part / LISTED)).groupBy("place", "part").agg(F.collect_list("member").alias("members"))
+    lists = scratch.written(lists.select("place", "members"), "footprints")
+    queries = lists.select("place", F.explode("members").alias(member)).where(asked).select("place", F.col(member).alias("query"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query = key[0].as_py()
+        who, n = _most_shared(query, (b.column("members").flatten().to_numpy() for b in batches), keep)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), query)), pa.array(who), pa.array(n), pa.array(np.arange(1, len(who) + 1, dtype=np.int32))], ["query", "other", "shared", "rank"])
+
+    met = queries.join(lists, "place").select("query", "members")
+    return met.groupBy("query").applyInArrow(run, "query long, other long, shared long, rank int")
+
+
 def suggested(neighbours: DataFrame, facts: DataFrame, targets: DataFrame, fact: str, target: str, amount: str, people: str, tails: Sequence[float] = (0.1, 0.9)) -> DataFrame:
     """(query, analogs, low, typical, high, expected): what the analogs' costs mean for the queries' own people.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import classify
-from gaugeworks.operators import aggregates
+from gaugeworks.operators import aggregates, similarity
 from gaugeworks.sources.readers import table
 
 from .catalog import _day, query
@@ -141,11 +141,7 @@ select query, other, shared, rank from (select *, cast(row_number() over (partit
 def footprint_analogs(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-29: customers whose suppliers overlap most with those of a stated query set, five each."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    feet = rows.select("o_custkey", "l_suppkey").distinct()
-    asked = feet.where("o_custkey % 100 = 0").withColumnRenamed("o_custkey", "query")
-    met = asked.join(feet.withColumnRenamed("o_custkey", "other"), "l_suppkey").where("query <> other").groupBy("query", "other").agg(F.count("*").alias("shared"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "other")))
-    return ranked.where("rank <= 5")
+    return similarity.most_shared(rows, "o_custkey", "l_suppkey", F.col("o_custkey") % 100 == 0, 5)
 
 
 @query("""
